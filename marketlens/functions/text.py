@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import params
@@ -23,13 +23,16 @@ EDGE_SPACES = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{
 NOT_ASCII = r"[^\x00-\x7F]"
 NOT_WORD_OR_SPACE = r"[^a-zA-Z0-9\t\n\x0B\f\r\x1C-\x1F ]"
 
-REST = 2147483647  # slice length meaning "to the end"
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _from(array: Column, position: int) -> Column:
+    """The array from a 1-based position on."""
+    return F.slice(array, position, F.size(array))
+
+
 def null_text_to_empty(text: Column | str) -> Column:
     return F.coalesce(_col(text), F.lit(""))
 
@@ -56,9 +59,12 @@ def split_words(text: Column | str) -> Column:
 
 def tokenize(text: Column | str) -> Column:
     """Word tokens of normalised, punctuation-free text; fused words are split."""
-    text = _col(text)
-    for fused, parts in FUSED_WORDS.items():
-        text = F.regexp_replace(text, rf"\b{fused}\b", parts)
+    halves = [parts.split(" ") for parts in FUSED_WORDS.values()]
+    pattern = r"\b(?:" + "|".join(f"({a})({b})" for a, b in halves) + r")\b"
+    groups = range(1, 2 * len(halves) + 1)
+    # One pass: only the matching alternative's two groups are non-empty.
+    firsts, seconds = ("".join(f"${g}" for g in groups[k::2]) for k in (0, 1))
+    text = F.regexp_replace(_col(text), pattern, f"{firsts} {seconds}")
     return split_words(text)
 
 
@@ -123,40 +129,44 @@ def finance_keywords(text: Column | str, keywords: Iterable[str] = FINANCE_KEYWO
     return contained_terms(F.lower(null_text_to_empty(text)), keywords)
 
 
-def ngrams(tokens: Column | str, low: int = params.NGRAM_MIN,
-           high: int = params.NGRAM_MAX) -> Column:
-    """All n-grams (low <= n <= high) of the tokens with at least two characters."""
-    words = F.filter(_col(tokens), lambda t: F.length(t) >= 2)
+def adjacent(words: Column | str, low: int = params.NGRAM_MIN,
+             high: int = params.NGRAM_MAX) -> Column:
+    """All n-grams (low <= n <= high) of a word array. Pass a column, not an expression: the
+    array is read once per n."""
+    words = _col(words)
     parts, gram = [], words
     for n in range(1, high + 1):
         if n > 1:
-            shifted = F.slice(words, n, REST)
-            gram = F.zip_with(gram, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+            gram = F.zip_with(gram, _from(words, n), lambda a, b: F.concat(a, F.lit(" "), b))
         if n >= low:
-            parts.append(F.filter(gram, lambda g: g.isNotNull()))
+            # A shifted array is shorter; the grams running past the end are null.
+            parts.append(F.array_compact(gram) if n > 1 else gram)
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def term_counts(terms: Column | str) -> Column:
-    """Array of (term, tf) structs counted inside the row: sort, then measure run lengths.
+def ngrams(tokens: Column | str, low: int = params.NGRAM_MIN,
+           high: int = params.NGRAM_MAX) -> Column:
+    """All n-grams of the tokens with at least two characters."""
+    return adjacent(F.filter(_col(tokens), lambda t: F.length(t) >= 2), low, high)
+
+
+def term_counts(df: DataFrame, terms: str, keep: list[str]) -> DataFrame:
+    """Rows (keep, term, tf) from an array column, counted inside each input row.
 
-    This keeps per-document counting off the shuffle; only distinct terms leave the row.
+    The array is sorted and run lengths are measured, so per-document counting needs no
+    shuffle and only distinct terms leave the row. The sorted array and the run ends are
+    columns of their own because both are read twice.
     """
-    ordered = F.array_sort(_col(terms))
-    run_ends = F.filter(
-        F.transform(
-            F.zip_with(ordered, F.slice(ordered, 2, REST),
-                       lambda a, b: F.struct(a.alias("term"), b.alias("after"))),
-            lambda p, i: F.struct(
-                p["term"].alias("term"), (i + 1).alias("seen"),
-                (p["after"].isNull() | (p["after"] != p["term"])).alias("last"))),
-        lambda p: p["last"])
-    before = F.concat(F.array(F.lit(0)), F.transform(run_ends, lambda p: p["seen"]))
-    counted = F.zip_with(
-        run_ends, before,
-        lambda end, seen: F.struct(end["term"].alias("term"),
-                                   (end["seen"] - seen).cast("long").alias("tf")))
-    return F.filter(counted, lambda c: c["term"].isNotNull())
+    ordered = df.select(*keep, F.sort_array(terms).alias("_sorted"))
+    ends = ordered.select(*keep, F.array_compact(F.transform(
+        "_sorted", lambda term, i: F.when(
+            ~F.get("_sorted", i + 1).eqNullSafe(term),
+            F.struct(term.alias("term"), (i + 1).alias("seen"))))).alias("_ends"))
+    counts = F.transform("_ends", lambda end, i: F.struct(
+        end["term"].alias("term"),
+        (end["seen"] - F.coalesce(F.get("_ends", i - 1)["seen"], F.lit(0))).cast("long")
+        .alias("tf")))
+    return ends.select(*keep, F.inline(counts))
 
 
 def display_headline(text: Column | str, width: int = params.DISPLAY_WIDTH) -> Column:

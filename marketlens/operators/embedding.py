@@ -20,11 +20,10 @@ def hashed_buckets(df: DataFrame, text: str, row_id: str,
     Tokens are counted inside the row first, so each distinct token is hashed once per row
     and at most `dim` rows per text are regrouped.
     """
-    counts = term_counts(split_words(F.lower(null_text_to_empty(text))))
-    rows = df.select(row_id, F.explode(counts).alias("_c"))
-    digest = F.conv(F.substring(F.md5(F.col("_c.term")), 1, 8), 16, 10).cast("long")
-    sums = (rows.select(row_id, (digest % dim).cast("int").alias("bucket"),
-                        F.col("_c.tf").alias("tf"))
+    words = df.select(row_id, split_words(F.lower(null_text_to_empty(text))).alias("_words"))
+    rows = term_counts(words, "_words", [row_id])
+    digest = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
+    sums = (rows.select(row_id, (digest % dim).cast("int").alias("bucket"), "tf")
             .groupBy(row_id, "bucket").agg(F.sum("tf").alias("n")))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(row_id)))
     return sums.select(row_id, "bucket", (F.col("n") / norm).alias("weight"))

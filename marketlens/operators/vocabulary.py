@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens import params
-from marketlens.functions.text import ngrams, null_text_to_empty, term_counts
+from marketlens.functions.text import adjacent, null_text_to_empty, term_counts
 
 
 def scoring_tokens(text: str) -> Column:
@@ -24,9 +24,8 @@ def document_terms(docs: DataFrame, text: str, keep: list[str],
                    low: int = params.NGRAM_MIN, high: int = params.NGRAM_MAX) -> DataFrame:
     """One row per (document, n-gram) with its count; no shuffle."""
     tokens = docs.select(*keep, scoring_tokens(text).alias("_tokens"))
-    grams = tokens.select(*keep, ngrams("_tokens", low, high).alias("_grams"))
-    counts = grams.select(*keep, F.explode(term_counts("_grams")).alias("_c"))
-    return counts.select(*keep, F.col("_c.term").alias("term"), F.col("_c.tf").alias("tf"))
+    grams = tokens.select(*keep, adjacent("_tokens", low, high).alias("_grams"))
+    return term_counts(grams, "_grams", keep)
 
 
 def term_statistics(terms: DataFrame) -> DataFrame:

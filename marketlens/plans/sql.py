@@ -95,9 +95,14 @@ def clean(text: str) -> str:
             f"{lemma('t', listing(sorted(DEFAULT_NOUNS)))}), ' ')")
 
 
+def double(x: float) -> str:
+    """Double literal; a bare 0.5 would be a decimal."""
+    return f"{x!r}e0"
+
+
 def values(rows) -> str:
     def cell(x):
-        return quote(x) if isinstance(x, str) else repr(x)
+        return quote(x) if isinstance(x, str) else double(x) if isinstance(x, float) else repr(x)
     return "VALUES " + ", ".join(
         "(" + ", ".join(cell(x) for x in row) + ")" for row in rows)
 

@@ -45,6 +45,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share CPU-heavy row work among all cores when a small table sits in few file splits.
+
+    A large table already has more splits than cores and is left alone. The id is unique, so
+    the hash partitions are even, and later grouping by it needs no second shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more), "doc_id")
+
+
 def _bars(ticks: DataFrame) -> DataFrame:
     """First, highest, lowest, last price and volume per (ticker, date).
 
