@@ -28,6 +28,12 @@ def _vote(c: int) -> Column:
     return F.count(F.when(F.col("prediction") == c, 1))
 
 
+def _mean(p: str) -> Column:
+    """Mean of four-digit values; rounding removes the summation order, so a re-run of a
+    lost task cannot move a value across a rule threshold."""
+    return F.round(F.avg(p), 10)
+
+
 def votes(scores: DataFrame) -> DataFrame:
     """Number of models per predicted class, one row per id."""
     return with_model_class(scores).groupBy("id").agg(
@@ -36,7 +42,7 @@ def votes(scores: DataFrame) -> DataFrame:
 
 def mean_probabilities(scores: DataFrame) -> DataFrame:
     return with_model_class(scores).groupBy("id").agg(
-        *[F.avg(p).alias(p) for p in PROBABILITIES])
+        *[_mean(p).alias(p) for p in PROBABILITIES])
 
 
 def ensemble_vote(scores: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def ensemble_vote(scores: DataFrame) -> DataFrame:
     One aggregation; the collected map holds one entry per model.
     """
     grouped = with_model_class(scores).groupBy("id").agg(
-        *[F.avg(p).alias(p) for p in PROBABILITIES],
+        *[_mean(p).alias(p) for p in PROBABILITIES],
         *[_vote(c).alias(f"votes_{n.lower()}") for c, n in params.LABEL_NAMES.items()],
         F.count(F.lit(1)).alias("n_models"),
         F.map_from_entries(F.array_sort(F.collect_list(

@@ -104,10 +104,13 @@ def fit_gbt(train: DataFrame, features: str = "features", label: str = "label",
         stages = []
         for c in params.CLASSES:
             own = train.withColumn("_is", (F.col(label) == c).cast("double"))
-            stages.append(GBTClassifier(
+            names = _suffixed(c)
+            booster = GBTClassifier(
                 featuresCol=features, labelCol="_is", maxIter=rounds, maxDepth=depth,
                 stepSize=rate, subsamplingRate=rows, featureSubsetStrategy=str(columns),
-                seed=seed, probabilityCol=f"prob_{c}", **_suffixed(c)).fit(own))
+                seed=seed, predictionCol=names["predictionCol"])
+            booster.setRawPredictionCol(names["rawPredictionCol"])
+            stages.append(booster.setProbabilityCol(f"prob_{c}").fit(own))
     finally:
         train.unpersist()
     return PipelineModel(stages)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -74,6 +74,11 @@ def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str, row_id: str,
             .drop("_pairs"))
 
 
+def _sized(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """Declare a vector's length, so assembling needs no pass over the data."""
+    return VectorSizeHint(inputCol=vector, size=size, handleInvalid="optimistic").transform(df)
+
+
 def feature_matrix(df: DataFrame, vocabulary: DataFrame, *, row_id: str = "id",
                    text: str = "clean_text", time: str = "published_at",
                    use_embedding: bool = True, lexicon: Lexicon = DEFAULT_LEXICON,
@@ -82,11 +87,12 @@ def feature_matrix(df: DataFrame, vocabulary: DataFrame, *, row_id: str = "id",
     """Append `output`: term weights, embedding, sentiment, [model embedding], market and
     calendar columns, in that order. Market columns join in when the bars' indicator columns
     are present, calendar columns when `time` is."""
-    wide = tfidf_vectors(df, vocabulary, text, row_id, max_terms)
+    wide = _sized(tfidf_vectors(df, vocabulary, text, row_id, max_terms), "tfidf", max_terms)
     inputs = ["tfidf"]
     if use_embedding:
         wide = hashed_embedding(wide, text, row_id)
-        wide = wide.withColumn("embedding", array_to_vector(F.col("embedding").cast("array<double>")))
+        dense = array_to_vector(F.col("embedding").cast("array<double>"))
+        wide = _sized(wide.withColumn("embedding", dense), "embedding", params.EMBEDDING_DIM)
         inputs.append("embedding")
     wide = sentiment_features(wide, text, lexicon=lexicon)
     inputs += SENTIMENT_FEATURES

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens import params
 from marketlens.functions.labels import label_name, round4
+from marketlens.functions.bind import bind
 from marketlens.functions.lexicon import polarity, token_hits
 from marketlens.lexicons import DEFAULT_LEXICON, STRONG_BEARISH, STRONG_BULLISH, Lexicon
 
@@ -30,7 +31,7 @@ def heuristic_score(df: DataFrame, text: str = "title",
     The neutral share is clamped at 0 before normalising. A row-local projection: the same
     expression serves batch and streaming.
     """
-    base = df.withColumns({
+    base = bind(df, {
         "n_bull": token_hits(text, lexicon.terms("bullish")),
         "n_bear": token_hits(text, lexicon.terms("bearish")),
         "n_neut": token_hits(text, lexicon.terms("neutral")),

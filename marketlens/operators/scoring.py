@@ -52,8 +52,8 @@ def score_ensemble(df: DataFrame, models: Mapping[str, PipelineModel]) -> DataFr
             F.col("prediction"))).drop(*PROBABILITIES, "prediction")
         packs.append(pack)
     n = len(packs)
-    means = {p: sum((F.col(f"{k}.{p}") for k in packs[1:]), F.col(f"{packs[0]}.{p}")) / n
-             for p in PROBABILITIES}
+    means = {p: F.round(sum((F.col(f"{k}.{p}") for k in packs[1:]),
+                            F.col(f"{packs[0]}.{p}")) / n, 10) for p in PROBABILITIES}
     votes = {}
     for c, label in params.LABEL_NAMES.items():
         cast = [(F.col(f"{k}.prediction") == c).cast("long") for k in packs]

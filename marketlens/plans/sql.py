@@ -100,6 +100,11 @@ def double(x: float) -> str:
     return f"{x!r}e0"
 
 
+def decimal_round(x: str, digits: int) -> str:
+    """Round a double by its decimal value; plain round() scales in binary first."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 17)), {digits}) AS DOUBLE)"
+
+
 def values(rows) -> str:
     def cell(x):
         return quote(x) if isinstance(x, str) else double(x) if isinstance(x, float) else repr(x)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketlens.functions.bind import bind
 from marketlens.lexicons import Lexicon
 from marketlens.operators.ensemble import with_model_class
 
@@ -126,11 +127,11 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = model.isin("m1", "m2")
     forced = {"d": F.when(early, 1).otherwise(52), "n": F.lit(1),
               "u": F.when(early, 98).otherwise(47)}
-    return picked.select("id", "model", *[
-        F.when(special, forced[k]).otherwise(
+    return bind(picked, {
+        k: F.when(special, forced[k]).otherwise(
             hash_of(F.concat(model, F.lit(k))) % 97 + 1
-            + F.when(F.col("_f") == c, 300).otherwise(0)).cast("long").alias(k)
-        for c, k in enumerate("dnu")])
+            + F.when(F.col("_f") == c, 300).otherwise(0)).cast("long")
+        for c, k in enumerate("dnu")}).drop("_f")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
