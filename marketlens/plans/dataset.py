@@ -5,24 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketlens import params
 from marketlens.functions.text import clean_text, finance_keywords
 from marketlens.operators.align import align_news_prices, align_untagged_news, filter_ticker
 from marketlens.sources.prices import multi_ticker
 from marketlens.sources.sinks import write_dataset
-from pyspark.sql import functions as F
 
 
 def build_dataset(news: DataFrame, bars: DataFrame,
-                  tickers: Iterable | None = None, start: str = "2020-01-01",
+                  tickers: Iterable | None = params.DEFAULT_TICKERS, start: str = "2020-01-01",
                   end: str | None = None, save_to: str | None = None,
                   close: str = "close") -> DataFrame:
-    """All instruments in one join; untagged news pairs with every instrument of its day."""
-    chosen = list(tickers) if tickers is not None else list(params.DEFAULT_TICKERS)
+    """All instruments in one join; untagged news pairs with every instrument of its day.
+
+    `tickers=None` takes every instrument in `bars`.
+    """
+    chosen = list(tickers) if tickers is not None else None
     prices = multi_ticker(bars, chosen, start, end)
     if "ticker" in news.columns:
-        dataset = align_news_prices(filter_ticker(news, chosen), prices, close=close)
+        tagged = filter_ticker(news, chosen) if chosen is not None else news
+        dataset = align_news_prices(tagged, prices, close=close)
     else:
         dataset = align_untagged_news(news, prices, close=close)
     if save_to:

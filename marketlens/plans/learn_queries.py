@@ -384,11 +384,11 @@ def heuristic_score(spark, sf):
        FROM heur h LEFT JOIN m USING (id)""", "scored", **HEUR_VIEWS,
     m=f"""SELECT id, 'm1' AS model_used, {s.LABEL_NAME.format('prediction')} AS prediction,
                  p_down, p_neutral, p_up FROM scored
-          WHERE model = 'm1' AND greatest(p_down, p_neutral, p_up) >= 0.6e0"""))
+          WHERE model = 'm1' AND greatest(p_down, p_neutral, p_up) >= 0.8e0"""))
 def score_with_fallback(spark, sf):
-    """The model abstains below a confidence of 0.6; the heuristic takes over there."""
+    """The model abstains below a confidence of 0.8; the heuristic takes over there."""
     rows = scored(spark, sf).where((F.col("model") == "m1")
-                                   & (lab.confidence(*P) >= 0.6))
+                                   & (lab.confidence(*P) >= 0.8))
     model = rows.select("id", F.col("model").alias("model_used"),
                         lab.label_name("prediction").alias("prediction"), *P)
     return heuristic.score_with_fallback(headlines(spark, sf), model).select(

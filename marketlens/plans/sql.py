@@ -102,7 +102,7 @@ def double(x: float) -> str:
 
 def decimal_round(x: str, digits: int) -> str:
     """Round a double by its decimal value; plain round() scales in binary first."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 17)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 17)), {digits}) AS DOUBLE)"
 
 
 def values(rows) -> str:

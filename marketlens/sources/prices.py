@@ -57,13 +57,13 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def multi_ticker(bars: DataFrame, tickers: Iterable = params.DEFAULT_TICKERS,
+def multi_ticker(bars: DataFrame, tickers: Iterable | None = params.DEFAULT_TICKERS,
                  start: str = "2020-01-01", end: str | None = None) -> DataFrame:
-    """Several instruments in one scan instead of one read per instrument."""
+    """Several instruments (all of them for None) in one scan instead of one read each."""
     end = end or dt.date.today().isoformat()
-    return bars.where(F.col("ticker").isin(list(tickers))
-                      & (F.col("date") >= F.lit(start).cast("date"))
-                      & (F.col("date") < F.lit(end).cast("date")))
+    dated = bars.where((F.col("date") >= F.lit(start).cast("date"))
+                       & (F.col("date") < F.lit(end).cast("date")))
+    return dated if tickers is None else dated.where(F.col("ticker").isin(list(tickers)))
 
 
 def tagged_union(frames: dict) -> DataFrame:
@@ -75,17 +75,21 @@ def tagged_union(frames: dict) -> DataFrame:
 BAR_FIELDS = ("date", "open", "high", "low", "close", "volume")
 
 
-def resolve_columns(df: DataFrame) -> DataFrame:
-    """Find bar columns by case-insensitive substring, first match wins; close is required."""
+def resolve_columns(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Find bar columns by case-insensitive substring, first match wins; close is required.
+
+    `keep` names further columns to carry along unchanged.
+    """
+    keep = list(keep)
     found = {}
     for field in BAR_FIELDS:
-        match = next((c for c in df.columns if field in c.lower()), None)
+        match = next((c for c in df.columns if c not in keep and field in c.lower()), None)
         if match is not None:
             found[field] = match
     if "close" not in found:
         raise KeyError("no close price column")
     found.setdefault("date", df.columns[0])
-    return df.select(*[F.col(f"`{c}`").alias(f) for f, c in found.items()])
+    return df.select(*keep, *[F.col(f"`{c}`").alias(f) for f, c in found.items()])
 
 
 def wide_to_long(df: DataFrame, date: str = "date") -> DataFrame:
