@@ -7,7 +7,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketlens import params, schemas
 from marketlens.functions.calendar import parse_epoch
@@ -57,6 +56,12 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_bars_csv(spark: SparkSession, path: str | list[str],
+                  schema: str = schemas.BAR_SCHEMA) -> DataFrame:
+    """Long price history from CSV with a fixed schema."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
 def multi_ticker(bars: DataFrame, tickers: Iterable | None = params.DEFAULT_TICKERS,
                  start: str = "2020-01-01", end: str | None = None) -> DataFrame:
     """Several instruments (all of them for None) in one scan instead of one read each."""
@@ -128,8 +133,3 @@ def period_slice(bars: DataFrame, code: str, asof: str | dt.date,
 
 def sort_by_date(bars: DataFrame) -> DataFrame:
     return bars.orderBy("ticker", "date")
-
-
-BAR_SCHEMA = T.StructType.fromDDL(
-    "ticker string, date date, open double, high double, low double, close double, "
-    "volume bigint")
