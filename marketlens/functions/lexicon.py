@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import params
@@ -80,41 +80,35 @@ def valence_words(text: Column | str) -> Column:
     return F.filter(bare, lambda w: w != F.lit(""))
 
 
-def _modifier(word: Column) -> Column:
-    return (F.when(word.isin(INTENSIFIERS), F.lit(BOOST))
-            .when(word.isin(DAMPENERS), F.lit(-BOOST)).otherwise(F.lit(0.0)))
+def word_facts(text: Column | str, valence: Mapping[str, float] = DEFAULT_VALENCE) -> Column:
+    """Per token: valence `v`, booster `b`, negation `n`."""
+    modifiers = {**{w: BOOST for w in INTENSIFIERS}, **{w: -BOOST for w in DAMPENERS}}
 
+    def known(word: Column, table: Mapping[str, float]) -> Column:
+        # One probe settles the common case of a word in no table.
+        return F.when(word.isin(sorted(table)), lookup(word, table)).otherwise(F.lit(0.0))
 
-def word_valences(text: Column | str, valence: Mapping[str, float] = DEFAULT_VALENCE) -> Column:
-    """Per-token valence after boosters and negation in the three preceding tokens.
-
-    The tokens are reduced to (valence, booster, negated) triples and aligned with copies of
-    themselves shifted by one to three places, so each token sees its context in one pass.
-    """
-    words = valence_words(text)
-    facts = F.transform(words, lambda w: F.struct(
-        F.coalesce(lookup(w, valence), F.lit(0.0)).alias("v"),
-        _modifier(w).alias("b"),
+    return F.transform(valence_words(text), lambda w: F.struct(
+        known(w, valence).alias("v"), known(w, modifiers).alias("b"),
         w.isin(NEGATIONS).alias("n")))
-    none = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("b"), F.lit(False).alias("n"))
 
-    def back(k: int) -> Column:
-        return F.concat(F.array(*[none] * k), facts)
 
-    zipped = F.arrays_zip(facts.alias("w0"), back(1).alias("w1"), back(2).alias("w2"),
-                          back(3).alias("w3"))
+def hit_valences(facts: str) -> Column:
+    """Valences of the tokens that have one, after boosters and negation in the three
+    preceding tokens. `facts` must be a column: it is indexed around every hit."""
+    place = F.transform(facts, lambda f, i: F.when(f["v"] != 0, i))
 
-    def adjusted(z: Column) -> Column:
-        base = z["w0"]["v"]
-        sign = F.when(base < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        boosted = base
+    def adjusted(i: Column) -> Column:
+        own = F.get(facts, i)["v"]
+        sign = F.when(own < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        boosted, negated = own, F.lit(False)
         for k, damping in enumerate(DAMPING, start=1):
-            boosted = boosted + sign * z[f"w{k}"]["b"] * F.lit(damping)
-        negated = z["w1"]["n"] | z["w2"]["n"] | z["w3"]["n"]
-        return (F.when(base == 0, F.lit(0.0))
-                .when(negated, boosted * F.lit(NEGATION_FACTOR)).otherwise(boosted))
+            earlier = F.get(facts, i - k)
+            boosted = boosted + sign * F.coalesce(earlier["b"], F.lit(0.0)) * F.lit(damping)
+            negated = negated | F.coalesce(earlier["n"], F.lit(False))
+        return F.when(negated, boosted * F.lit(NEGATION_FACTOR)).otherwise(boosted)
 
-    return F.transform(F.filter(zipped, lambda z: z["w0"].isNotNull()), adjusted)
+    return F.transform(F.array_compact(place), adjusted)
 
 
 def emphasis(text: Column | str) -> Column:
@@ -131,25 +125,26 @@ def _toward(total: Column, amount: Column) -> Column:
             .otherwise(total))
 
 
-def valence_scores(valences: Column | str, text: Column | str) -> Column:
-    """struct(compound, positive, negative, neutral) from `word_valences` and the raw text."""
-    valences, amount = _col(valences), emphasis(text)
-
-    def total(keep) -> Column:
-        return F.aggregate(F.filter(valences, keep), F.lit(0.0), lambda acc, v: acc + v)
-
-    tally = F.struct(
-        F.aggregate(valences, F.lit(0.0), lambda acc, v: acc + v).alias("all"),
-        (total(lambda v: v > 0) + F.size(F.filter(valences, lambda v: v > 0))).alias("pos"),
-        (total(lambda v: v < 0) - F.size(F.filter(valences, lambda v: v < 0))).alias("neg"),
-        F.size(F.filter(valences, lambda v: v == 0)).cast("double").alias("neu"),
-        amount.alias("amount"))
-
-    def scores(t: Column) -> Column:
-        s = _toward(t["all"], t["amount"])
-        pos = F.when(t["pos"] > -t["neg"], t["pos"] + t["amount"]).otherwise(t["pos"])
-        neg = F.when(t["pos"] < -t["neg"], t["neg"] - t["amount"]).otherwise(t["neg"])
-        mass = pos - neg + t["neu"]
+def valence_scores(hits: Column | str, n_words: Column, text: Column | str) -> Column:
+    """struct(compound, positive, negative, neutral) from `hit_valences`, the number of
+    tokens and the raw text."""
+    hits, amount = _col(hits), emphasis(text)
+    zero = F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"),
+                    F.lit(0).alias("n"))
+    tally = F.aggregate(hits, zero, lambda t, v: F.struct(
+        (t["all"] + v).alias("all"),
+        (t["pos"] + F.when(v > 0, v + 1).otherwise(F.lit(0.0))).alias("pos"),
+        (t["neg"] + F.when(v < 0, v - 1).otherwise(F.lit(0.0))).alias("neg"),
+        (t["n"] + F.when(v != 0, 1).otherwise(0)).alias("n")))
+    bound = F.struct(tally.alias("t"), amount.alias("amount"), n_words.alias("words"))
+
+    def scores(row: Column) -> Column:
+        t, extra = row["t"], row["amount"]
+        s = _toward(t["all"], extra)
+        pos = F.when(t["pos"] > -t["neg"], t["pos"] + extra).otherwise(t["pos"])
+        neg = F.when(t["pos"] < -t["neg"], t["neg"] - extra).otherwise(t["neg"])
+        neu = (row["words"] - t["n"]).cast("double")
+        mass = pos - neg + neu
 
         def share(x: Column) -> Column:
             return F.round(F.coalesce(F.try_divide(x, mass), F.lit(0.0)), 3)
@@ -157,9 +152,18 @@ def valence_scores(valences: Column | str, text: Column | str) -> Column:
         return F.struct(
             F.round(s / F.sqrt(s * s + F.lit(NORMALISER)), 4).alias("compound"),
             share(pos).alias("positive"), share(-neg).alias("negative"),
-            share(t["neu"]).alias("neutral"))
+            share(neu).alias("neutral"))
+
+    return F.transform(F.array(bound), scores)[0]
+
 
-    return F.transform(F.array(tally), scores)[0]
+def add_valence(df: DataFrame, text: str, output: str = "valence",
+                valence: Mapping[str, float] = DEFAULT_VALENCE) -> DataFrame:
+    """Append struct `output` of compound, positive, negative and neutral scores."""
+    staged = df.withColumn("_facts", word_facts(text, valence))
+    staged = staged.withColumn("_hits", hit_valences("_facts"))
+    score = valence_scores("_hits", F.size("_facts"), text)
+    return staged.withColumn(output, score).drop("_facts", "_hits")
 
 
 def sentiment_label(compound: Column | str, cut: float = 0.05) -> Column:

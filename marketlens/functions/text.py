@@ -16,12 +16,15 @@ from marketlens.lexicons import (
     DEFAULT_NOUNS, ENGLISH_STOP_WORDS, FINANCE_KEYWORDS, FINANCE_STOP_WORDS, FUSED_WORDS,
     NOUN_SUFFIXES)
 
-# Character classes, valid in both Java and RE2 syntax.
-SPACES = r"[\t\n\x0B\f\r\x1C-\x1F ]"
-EDGE_SPACES = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
-               r"\x{202F}\x{205F}\x{3000}]")
+# Character classes. Java evaluates `\s` and `\p{Alnum}` as one table test each,
+# several times faster than the equal unions of ranges.
+SPACES = r"[\s\x1C\x1D\x1E\x1F]"
 NOT_ASCII = r"[^\x00-\x7F]"
-NOT_WORD_OR_SPACE = r"[^a-zA-Z0-9\t\n\x0B\f\r\x1C-\x1F ]"
+NOT_WORD_OR_SPACE = r"[^\p{Alnum}\s\x1C\x1D\x1E\x1F]"
+ASCII_PUNCTUATION = "".join(
+    chr(c) for c in range(128) if not chr(c).isalnum() and not chr(c).isspace())
+EDGE_SPACES = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _col(c: Column | str) -> Column:
@@ -38,7 +41,8 @@ def null_text_to_empty(text: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), f"^{EDGE_SPACES}+|{EDGE_SPACES}+$", "")
+    """Remove white space of any kind at both ends (plain `trim` removes only spaces)."""
+    return F.trim(_col(text), F.lit(EDGE_SPACES))
 
 
 def normalise_text(text: Column | str) -> Column:
@@ -109,7 +113,9 @@ def lemmatize(tokens: Column | str, vocabulary: Iterable[str] = DEFAULT_NOUNS) -
 
 def clean_text(text: Column | str, vocabulary: Iterable[str] = DEFAULT_NOUNS,
                include_finance: bool = True) -> Column:
-    tokens = tokenize(remove_punctuation(normalise_text(text)))
+    # Normalised text is ASCII, where deleting listed characters equals the general pattern.
+    bare = F.translate(normalise_text(text), ASCII_PUNCTUATION, "")
+    tokens = tokenize(bare)
     kept = remove_stopwords(tokens, include_finance=include_finance)
     return F.array_join(lemmatize(kept, vocabulary), " ")
 

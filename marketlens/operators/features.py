@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlens import params
 from marketlens.functions.calendar import TEMPORAL_FEATURES, temporal_features
 from marketlens.functions.lexicon import (
-    lexicon_count, polarity, subjectivity, valence_scores, word_valences)
+    add_valence, lexicon_count, polarity, subjectivity)
 from marketlens.lexicons import DEFAULT_LEXICON, Lexicon
 from marketlens.operators.embedding import hashed_embedding
 from marketlens.operators.indicators import MARKET_FEATURES
@@ -39,9 +39,8 @@ def sentiment_features(df: DataFrame, text: str, match_text: Column | None = Non
         "sentiment_subjectivity": subjectivity(text, lexicon),
         "bullish_keyword_count": lexicon_count(source, "bullish", lexicon),
         "bearish_keyword_count": lexicon_count(source, "bearish", lexicon),
-        "neutral_keyword_count": lexicon_count(source, "neutral", lexicon),
-        "_valences": word_valences(valence_text)})
-    base = base.withColumn("_v", valence_scores("_valences", valence_text))
+        "neutral_keyword_count": lexicon_count(source, "neutral", lexicon)})
+    base = add_valence(base, valence_text, "_v")
     return base.withColumns({
         "sentiment_intensity": F.abs("sentiment_polarity"),
         "polarity_x_subjectivity": F.col("sentiment_polarity") * F.col("sentiment_subjectivity"),
@@ -49,7 +48,7 @@ def sentiment_features(df: DataFrame, text: str, match_text: Column | None = Non
         "neutral_signal": (F.col("neutral_keyword_count") > 0).cast("int"),
         "valence_compound": F.col("_v.compound"), "valence_positive": F.col("_v.positive"),
         "valence_negative": F.col("_v.negative"), "valence_neutral": F.col("_v.neutral"),
-    }).drop("_valences", "_v")
+    }).drop("_v")
 
 
 def add_temporal_features(df: DataFrame, time: str = "published_at") -> DataFrame:

@@ -18,7 +18,7 @@ from marketlens.plans import sql as s
 from marketlens.plans.dataset import preprocess
 from marketlens.plans.tables import (
     headlines, outcome, printable, rounded, samples, scored, scores, table, ticks_bars)
-from marketlens.plans.text_queries import DEFAULT_ROWS, _polarity_sql
+from marketlens.plans.text_queries import DEFAULT_ROWS, _headlines, _polarity_sql
 from marketlens.sources import sinks
 from marketlens.sources.workspace import new_path
 
@@ -373,7 +373,7 @@ HEUR_COLUMNS = ["id", "n_bull", "n_bear", "n_neut", "polarity", "prediction_id",
     "SELECT id, n_bull, n_bear, n_neut, polarity, prediction_id, prediction, p_down, p_neutral, "
     "p_up, greatest(p_down, p_neutral, p_up) AS confidence FROM heur", "headlines", **HEUR_VIEWS))
 def heuristic_score(spark, sf):
-    return printable(heuristic.heuristic_score(headlines(spark, sf)).select(*HEUR_COLUMNS))
+    return printable(heuristic.heuristic_score(_headlines(spark, sf)).select(*HEUR_COLUMNS))
 
 
 @query("score_with_fallback", s.twin(
@@ -391,7 +391,7 @@ def score_with_fallback(spark, sf):
                                    & (lab.confidence(*P) >= 0.8))
     model = rows.select("id", F.col("model").alias("model_used"),
                         lab.label_name("prediction").alias("prediction"), *P)
-    return heuristic.score_with_fallback(headlines(spark, sf), model).select(
+    return heuristic.score_with_fallback(_headlines(spark, sf), model).select(
         "id", "prediction", *P, "model_used")
 
 
@@ -610,10 +610,10 @@ def score_batch(spark, sf):
         wide, names = features.scalar_features(df, "clean_text")
         return VectorAssembler(inputCols=names, outputCol="features").transform(wide)
 
-    aligned = align.align_news_prices(headlines(spark, sf), ticks_bars(spark, sf))
+    aligned = align.align_news_prices(_headlines(spark, sf), ticks_bars(spark, sf))
     train = assembled(aligned.withColumn("clean_text", tx.clean_text("title")))
     model = estimators.fit_logistic(train, max_iter=20)
-    news = headlines(spark, sf).withColumn("clean_text", tx.clean_text("title"))
+    news = _headlines(spark, sf).withColumn("clean_text", tx.clean_text("title"))
     out = scoring.score_batch(assembled(news), model, "logistic_regression")
     return out.select("id", "headline", "clean_text", "prediction", "prediction_id",
                       "confidence", "probabilities.*", F.col("sentiment.polarity").alias("polarity"),

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from marketlens.functions.text import (
-    EDGE_SPACES, NOT_ASCII, NOT_WORD_OR_SPACE, SPACES, stop_words)
+from marketlens.functions.text import stop_words
 from marketlens.lexicons import DEFAULT_NOUNS, FUSED_WORDS, NOUN_SUFFIXES
 from marketlens.plans.tables import TITLES
 
 
+# The same character classes in RE2 syntax.
+SPACES = r"[\t\n\x0B\f\r\x1C-\x1F ]"
+EDGE_SPACES = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+               r"\x{202F}\x{205F}\x{3000}]")
+NOT_ASCII = r"[^\x00-\x7F]"
+NOT_WORD_OR_SPACE = r"[^a-zA-Z0-9\t\n\x0B\f\r\x1C-\x1F ]"
+
+
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -30,6 +30,10 @@ def _docs(spark, sf, *more: str):
     return documents(spark, sf, *more)
 
 
+def _headlines(spark, sf):
+    return spread(headlines(spark, sf), "id")
+
+
 def _clean_docs(spark, sf):
     return _docs(spark, sf).select("doc_id", tx.clean_text("text").alias("clean_text"))
 
@@ -78,7 +82,7 @@ def remove_stopwords(spark, sf):
 def clean_text(spark, sf):
     docs = _docs(spark, sf).select(F.lit("d").alias("origin"), F.col("doc_id").alias("id"),
                                    tx.clean_text("text").alias("clean_text"))
-    news = headlines(spark, sf).select(F.lit("h").alias("origin"), "id",
+    news = _headlines(spark, sf).select(F.lit("h").alias("origin"), "id",
                                        tx.clean_text("title").alias("clean_text"))
     return docs.unionByName(news)
 
@@ -112,7 +116,7 @@ ALL_TEXT = ("SELECT 'd' AS origin, doc_id AS id, text FROM documents "
 
 def _all_text(spark, sf):
     docs = _docs(spark, sf).select(F.lit("d").alias("origin"), F.col("doc_id").alias("id"), "text")
-    return docs.unionByName(headlines(spark, sf).select(
+    return docs.unionByName(_headlines(spark, sf).select(
         F.lit("h").alias("origin"), "id", F.col("title").alias("text")))
 
 
@@ -230,7 +234,7 @@ COUNT_NAMES = ["bullish_count", "bearish_count", "neutral_count"]
 def lexicon_counts(spark, sf):
     docs = _lexicon_counts(_docs(spark, sf), "text", CORPUS_LEXICON).select(
         F.lit("d").alias("origin"), F.col("doc_id").alias("id"), *COUNT_NAMES)
-    news = _lexicon_counts(headlines(spark, sf), "title", DEFAULT_LEXICON).select(
+    news = _lexicon_counts(_headlines(spark, sf), "title", DEFAULT_LEXICON).select(
         F.lit("h").alias("origin"), "id", *COUNT_NAMES)
     return printable(docs.unionByName(news))
 
@@ -241,7 +245,7 @@ COMBINED = f"concat(title, ' ', {s.clean('title')})"
 @query("combined_text_counts", s.twin(
     f"SELECT id, {_counts(COMBINED, DEFAULT_LEXICON)} FROM headlines", "headlines"))
 def combined_text_counts(spark, sf):
-    news = headlines(spark, sf).withColumn(
+    news = _headlines(spark, sf).withColumn(
         "_t", lex.combined_text("title", tx.clean_text("title")))
     return printable(_lexicon_counts(news, "_t", DEFAULT_LEXICON).select("id", *COUNT_NAMES))
 
@@ -322,8 +326,8 @@ def valence_views(source: str, row: str, text: str, valence: dict) -> dict[str,
 
 
 def _valence(df, row, text, valence):
-    scored = df.select(row, text, lex.word_valences(text, valence).alias("_w"))
-    return scored.select(row, lex.valence_scores("_w", text).alias("_v")).select(
+    scored = lex.add_valence(df.select(row, text), text, "_v", valence)
+    return scored.select(
         row, *[F.col(f"_v.{c}").alias(c) for c in ("compound", "positive", "negative", "neutral")])
 
 
@@ -339,7 +343,7 @@ def valence_sentiment(spark, sf):
     "THEN 'negative' ELSE 'neutral' END AS label, abs(compound) AS score FROM v", "headlines",
     **valence_views("headlines", "id", "title", lex.DEFAULT_VALENCE)))
 def sentiment_label(spark, sf):
-    out = _valence(headlines(spark, sf), "id", "title", lex.DEFAULT_VALENCE)
+    out = _valence(_headlines(spark, sf), "id", "title", lex.DEFAULT_VALENCE)
     return out.select("id", lex.sentiment_label("compound").alias("label"),
                       F.abs("compound").alias("score"))
 
@@ -361,7 +365,7 @@ def sentiment_label(spark, sf):
     **_polarity_sql("clean", "id", "clean_text", DEFAULT_ROWS),
     **valence_views("clean", "id", "clean_text", lex.DEFAULT_VALENCE)))
 def sentiment_features(spark, sf):
-    clean = headlines(spark, sf).select("id", tx.clean_text("title").alias("clean_text"))
+    clean = _headlines(spark, sf).select("id", tx.clean_text("title").alias("clean_text"))
     return printable(features.sentiment_features(clean, "clean_text")
                      .select("id", *features.SENTIMENT_FEATURES))
 
