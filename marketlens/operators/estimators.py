@@ -6,9 +6,11 @@ trees run one-vs-rest; both are documented approximations, not score-for-score e
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
@@ -30,6 +32,21 @@ def balanced(train: DataFrame, label: str = "label") -> DataFrame:
     return weight_join(train, class_weights(train, label), label)
 
 
+@contextmanager
+def prepared(train: DataFrame, features: str, label: str):
+    """(rows, n): balanced, persisted training rows and their number.
+
+    Fitting reads its input several times (count, class weights, solver set-up), so features
+    are computed once and spill to disk when memory is short.
+    """
+    narrow = train.select(features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = narrow.count()
+        yield balanced(narrow, label), n
+    finally:
+        narrow.unpersist()
+
+
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable,
                       DefaultParamsWritable):
     """Random Fourier features of the RBF kernel exp(-gamma |x - y|^2).
@@ -75,11 +92,12 @@ def scale_gamma(train: DataFrame, vector: str) -> float:
 def fit_logistic(train: DataFrame, features: str = "features", label: str = "label",
                  C: float = 1.0, max_iter: int = 2000) -> PipelineModel:
     """Multinomial logistic regression with L2 penalty 1 / (C n) and balanced classes."""
-    n = train.count()
-    stage = LogisticRegression(
-        featuresCol=features, labelCol=label, weightCol="weight", family="multinomial",
-        regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
-    return Pipeline(stages=[stage]).fit(balanced(train, label))
+    with prepared(train, features, label) as (rows, n):
+        stage = LogisticRegression(
+            featuresCol=features, labelCol=label, weightCol="weight", family="multinomial",
+            regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
+            maxIter=max_iter)
+        return Pipeline(stages=[stage]).fit(rows)
 
 
 def fit_random_forest(train: DataFrame, features: str = "features", label: str = "label",
@@ -88,7 +106,8 @@ def fit_random_forest(train: DataFrame, features: str = "features", label: str =
     stage = RandomForestClassifier(
         featuresCol=features, labelCol=label, weightCol="weight", numTrees=trees,
         maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed)
-    return Pipeline(stages=[stage]).fit(balanced(train, label))
+    with prepared(train, features, label) as (rows, _):
+        return Pipeline(stages=[stage]).fit(rows)
 
 
 def _suffixed(c: int) -> dict[str, str]:
@@ -99,7 +118,7 @@ def fit_gbt(train: DataFrame, features: str = "features", label: str = "label",
             rounds: int = 500, depth: int = 6, rate: float = 0.1, rows: float = 0.8,
             columns: float = 0.8, seed: int = params.SEED) -> PipelineModel:
     """Boosted trees, one binary model per class on shared, persisted input."""
-    train = train.select(features, label).persist()
+    train = train.select(features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages = []
         for c in params.CLASSES:
@@ -120,24 +139,25 @@ def fit_svm(train: DataFrame, features: str = "features", label: str = "label",
             C: float = 10.0, gamma: float | str = "scale", width: int = 256,
             max_iter: int = 100, seed: int = params.SEED) -> PipelineModel:
     """Kernel-approximated SVM, one-vs-rest, each margin calibrated by a logistic fit."""
-    n = train.count()
-    width_gamma = scale_gamma(train, features) if gamma == "scale" else float(gamma)
-    lift = FourierFeatures(inputCol=features, outputCol="lifted", gamma=width_gamma,
-                           width=width, seed=seed)
-    lifted = lift.transform(balanced(train.select(features, label), label)).persist()
-    try:
-        stages: list = [lift]
-        for c in params.CLASSES:
-            own = lifted.withColumn("_is", (F.col(label) == c).cast("double"))
-            machine = LinearSVC(featuresCol="lifted", labelCol="_is", weightCol="weight",
-                                regParam=1.0 / (C * n), maxIter=max_iter, **_suffixed(c)).fit(own)
-            calibrate = LogisticRegression(
-                featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-6,
-                probabilityCol=f"prob_{c}", predictionCol=f"_p_{c}",
-                rawPredictionCol=f"_r_{c}").fit(machine.transform(own))
-            stages += [machine, calibrate]
-    finally:
-        lifted.unpersist()
+    with prepared(train, features, label) as (source, n):
+        width_gamma = scale_gamma(source, features) if gamma == "scale" else float(gamma)
+        lift = FourierFeatures(inputCol=features, outputCol="lifted", gamma=width_gamma,
+                               width=width, seed=seed)
+        lifted = lift.transform(source).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            stages: list = [lift]
+            for c in params.CLASSES:
+                own = lifted.withColumn("_is", (F.col(label) == c).cast("double"))
+                machine = LinearSVC(
+                    featuresCol="lifted", labelCol="_is", weightCol="weight",
+                    regParam=1.0 / (C * n), maxIter=max_iter, **_suffixed(c)).fit(own)
+                calibrate = LogisticRegression(
+                    featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-6,
+                    probabilityCol=f"prob_{c}", predictionCol=f"_p_{c}",
+                    rawPredictionCol=f"_r_{c}").fit(machine.transform(own))
+                stages += [machine, calibrate]
+        finally:
+            lifted.unpersist()
     return PipelineModel(stages)
 
 

@@ -605,16 +605,15 @@ def feature_matrix(spark, sf):
 
 @query("score_batch")
 def score_batch(spark, sf):
-    """Train on aligned headlines, score every headline in one plan."""
-    def assembled(df):
-        wide, names = features.scalar_features(df, "clean_text")
-        return VectorAssembler(inputCols=names, outputCol="features").transform(wide)
+    """Train on aligned headlines, score every headline in one plan.
 
-    aligned = align.align_news_prices(_headlines(spark, sf), ticks_bars(spark, sf))
-    train = assembled(aligned.withColumn("clean_text", tx.clean_text("title")))
-    model = estimators.fit_logistic(train, max_iter=20)
+    Text features are computed on the news side before the join, where rows are spread."""
     news = _headlines(spark, sf).withColumn("clean_text", tx.clean_text("title"))
-    out = scoring.score_batch(assembled(news), model, "logistic_regression")
+    wide, names = features.scalar_features(news, "clean_text")
+    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(wide)
+    train = align.align_news_prices(assembled, ticks_bars(spark, sf))
+    model = estimators.fit_logistic(train, max_iter=20)
+    out = scoring.score_batch(assembled, model, "logistic_regression")
     return out.select("id", "headline", "clean_text", "prediction", "prediction_id",
                       "confidence", "probabilities.*", F.col("sentiment.polarity").alias("polarity"),
                       F.array_join("financial_keywords", "|").alias("keywords"), "model_used")
