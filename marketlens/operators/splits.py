@@ -13,12 +13,11 @@ from marketlens.operators.running import (
     bucket_offsets, hash_bucket, hash_key, running_rank, with_offsets)
 
 
-def class_quotas(df: DataFrame, label: str, share: float) -> DataFrame:
+def class_quotas(counts: DataFrame, label: str, share: float) -> DataFrame:
     """Test rows per class: floor of n_c * share, plus one by largest remainder.
 
-    Runs on one row per class.
+    `counts(label, _n)` holds one row per class.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(F.lit(0))
     # Rounding hides binary noise such as 35 * 0.2 = 7.000000000000001.
     exact = F.round(F.col("_n") * F.lit(float(share)), 6)
@@ -49,7 +48,8 @@ def stratified_split(df: DataFrame, label: str, row_id: str, share: float = para
     keyed = df.withColumn("_key", hash_key(row_id, seed=seed))
     keyed = keyed.withColumn("_bucket", hash_bucket("_key"))
     offsets = bucket_offsets(keyed, [label], "_bucket", {"_n": F.count(F.lit(1))})
-    quotas = F.broadcast(class_quotas(df, label, share))  # one row per class
+    counts = offsets.groupBy(label).agg(F.sum("_n").alias("_n"))
+    quotas = F.broadcast(class_quotas(counts, label, share))  # one row per class
     limits = offsets.join(quotas, label).select(
         label, "_bucket", (F.col("_quota") - F.col("_n_before")).alias("_room"), "_n")
     placed = with_offsets(keyed, limits, [label, "_bucket"], ["_room", "_n"])

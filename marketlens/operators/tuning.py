@@ -6,7 +6,6 @@ import json
 import math
 import time
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
@@ -74,14 +73,15 @@ def fold_scores(df: DataFrame, fit: Callable[[DataFrame], PipelineModel], row_id
                 label: str = "label", k: int = params.FOLDS) -> DataFrame:
     """(fold, score): macro-F1 of each fold under a model fitted on the other folds."""
     folded = stratified_folds(df, label, row_id, k).persist()
-    parts = []
-    for fold in range(k):
-        model = fit(folded.where(F.col("fold") != fold))
-        scored = predict_probabilities(model, folded.where(F.col("fold") == fold))
-        parts.append(metrics_summary(scored).select(
-            F.lit(fold).alias("fold"), F.col("f1_macro").alias("score")))
-    # k one-row frames; the folds stay cached until they are computed.
-    return reduce(DataFrame.unionByName, parts)
+    rows = []
+    try:
+        for fold in range(k):
+            model = fit(folded.where(F.col("fold") != fold))
+            scored = predict_probabilities(model, folded.where(F.col("fold") == fold))
+            rows.append((fold, float(metrics_summary(scored).first()["f1_macro"])))
+    finally:
+        folded.unpersist()
+    return df.sparkSession.createDataFrame(rows, "fold int, score double")
 
 
 def cross_validate(df: DataFrame, name: str, row_id: str = "id", k: int = params.FOLDS,
