@@ -152,7 +152,7 @@ def fit_svm(train: DataFrame, features: str = "features", label: str = "label",
                     featuresCol="lifted", labelCol="_is", weightCol="weight",
                     regParam=1.0 / (C * n), maxIter=max_iter, **_suffixed(c)).fit(own)
                 calibrate = LogisticRegression(
-                    featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-6,
+                    featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-4, maxIter=20,
                     probabilityCol=f"prob_{c}", predictionCol=f"_p_{c}",
                     rawPredictionCol=f"_r_{c}").fit(machine.transform(own))
                 stages += [machine, calibrate]

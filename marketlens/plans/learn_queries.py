@@ -128,7 +128,7 @@ AUC = """SELECT model, class, CAST(sum(pos * (below + neg / 2.0)) AS DOUBLE)
 
 
 @query("roc_curve", s.twin(
-    """SELECT model, class, score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+    """SELECT model, CAST(class AS BIGINT) AS class, score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
               fp / sum(neg) OVER (PARTITION BY model, class) AS fpr,
               tp / sum(pos) OVER (PARTITION BY model, class) AS tpr
        FROM (SELECT *, sum(pos) OVER (PARTITION BY model, class ORDER BY score DESC) AS tp,
@@ -254,7 +254,7 @@ def round4(spark, sf):
     return scores(spark, sf).withColumns({p: lab.round4(p) for p in P})
 
 
-@query("argmax_class", s.twin("SELECT id, model, prediction FROM scored", "scored"))
+@query("argmax_class", s.twin("SELECT id, model, CAST(prediction AS BIGINT) AS prediction FROM scored", "scored"))
 def argmax_class(spark, sf):
     rows = scores(spark, sf).withColumns({p: lab.round4(p) for p in P})
     return printable(rows.select("id", "model", lab.argmax_class(*P).alias("prediction")))
@@ -282,8 +282,9 @@ def ensemble_vote(spark, sf):
 
 @query("map_items", s.twin(
     """SELECT id, votes_up AS n_up, votes_down AS n_down,
-              CASE WHEN votes_up > 0 THEN 1 ELSE 0 END + CASE WHEN votes_down > 0 THEN 1 ELSE 0 END
-                + CASE WHEN votes_neutral > 0 THEN 1 ELSE 0 END AS n_classes
+              CAST(CASE WHEN votes_up > 0 THEN 1 ELSE 0 END
+                   + CASE WHEN votes_down > 0 THEN 1 ELSE 0 END
+                   + CASE WHEN votes_neutral > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_classes
        FROM by_id""", "scored", by_id=BY_ID))
 def map_items(spark, sf):
     out = ensemble.vote_items(ensemble.ensemble_vote(scores(spark, sf)))
@@ -370,7 +371,7 @@ HEUR_COLUMNS = ["id", "n_bull", "n_bear", "n_neut", "polarity", "prediction_id",
 
 
 @query("heuristic_score", s.twin(
-    "SELECT id, n_bull, n_bear, n_neut, polarity, prediction_id, prediction, p_down, p_neutral, "
+    "SELECT id, n_bull, n_bear, n_neut, polarity, CAST(prediction_id AS BIGINT) AS prediction_id, prediction, p_down, p_neutral, "
     "p_up, greatest(p_down, p_neutral, p_up) AS confidence FROM heur", "headlines", **HEUR_VIEWS))
 def heuristic_score(spark, sf):
     return printable(heuristic.heuristic_score(_headlines(spark, sf)).select(*HEUR_COLUMNS))
@@ -478,7 +479,7 @@ def _attribution(spark, sf):
 
 
 @query("linear_attribution", s.twin(
-    "SELECT id, class, feature, round(attribution, 6) + 0.0 AS attribution FROM att",
+    "SELECT id, CAST(class AS BIGINT) AS class, feature, round(attribution, 6) + 0.0 AS attribution FROM att",
     **{k: ATTRIBUTED[k] for k in ("r", "w", "att")}))
 def linear_attribution(spark, sf):
     out = rounded(_attribution(spark, sf), "attribution")

@@ -273,10 +273,10 @@ def _times(spark, sf):
         F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("ts"))
 
 
-SESSION = "CASE WHEN hour(ts) >= 16 THEN 2 WHEN hour(ts) >= 9 THEN 1 ELSE 0 END"
+SESSION = "CAST(CASE WHEN hour(ts) >= 16 THEN 2 WHEN hour(ts) >= 9 THEN 1 ELSE 0 END AS BIGINT)"
 DOW = "(isodow(ts) - 1)"
 CALENDAR = (f"coalesce(hour(ts), 0) AS hour, coalesce({DOW}, 0) AS day_of_week, "
-            f"coalesce(CASE WHEN {DOW} >= 5 THEN 1 ELSE 0 END, 0) AS is_weekend")
+            f"CAST(coalesce(CASE WHEN {DOW} >= 5 THEN 1 ELSE 0 END, 0) AS BIGINT) AS is_weekend")
 WAVES = ", ".join(
     f"round(coalesce({fn}(2 * pi() * {x} / {n}), 0), 6) + 0.0 AS {name}_{fn}"
     for name, x, n in (("hour", "hour(ts)", 24), ("dow", DOW, 7)) for fn in ("sin", "cos"))

@@ -356,7 +356,7 @@ def sentiment_label(spark, sf):
           bullish_count AS bullish_keyword_count, bearish_count AS bearish_keyword_count,
           neutral_count AS neutral_keyword_count,
           bullish_count - bearish_count AS keyword_sentiment,
-          CASE WHEN neutral_count > 0 THEN 1 ELSE 0 END AS neutral_signal,
+          CAST(CASE WHEN neutral_count > 0 THEN 1 ELSE 0 END AS BIGINT) AS neutral_signal,
           compound AS valence_compound, positive AS valence_positive,
           negative AS valence_negative, neutral AS valence_neutral
         FROM c LEFT JOIN pol ON pol.k = c.id JOIN v ON v.k = c.id""", "headlines",

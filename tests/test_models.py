@@ -18,11 +18,11 @@ def separable(spark):
         rows.append((i, c, Vectors.dense([(c == 0) * 2 + noise, (c == 1) * 2 - noise,
                                           (c == 2) * 2 + noise / 2])))
     return spark.createDataFrame(rows, ["id", "label", "features"]).withColumn(
-        "label", F.col("label").cast("int")).persist()
+        "label", F.col("label").cast("int")).coalesce(2).persist()
 
 
-OPTIONS = {"logistic_regression": {"max_iter": 50}, "svm": {"width": 64, "max_iter": 30},
-           "random_forest": {"trees": 20, "depth": 5}, "gbt": {"rounds": 5, "depth": 3}}
+OPTIONS = {"logistic_regression": {"max_iter": 50}, "svm": {"width": 32, "max_iter": 8},
+           "random_forest": {"trees": 20, "depth": 5}, "gbt": {"rounds": 3, "depth": 3}}
 
 
 @pytest.mark.parametrize("name", sorted(OPTIONS))
