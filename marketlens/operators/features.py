@@ -66,8 +66,8 @@ def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str, row_id: str,
     """Sparse TF-IDF vector per row; positions follow the term order of the vocabulary."""
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
     indexed = vocabulary.select("term", place.alias("index"))  # at most max_terms rows
-    weights = tfidf_transform(df, vocabulary, text, row_id, max_terms)
-    pairs = (weights.join(F.broadcast(indexed), "term").groupBy(row_id)
+    weights = tfidf_transform(df, vocabulary, text, row_id)
+    pairs = (weights.join(indexed, "term").groupBy(row_id)
              .agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_pairs")))
     return (df.join(pairs, row_id, "left").withColumn(output, _sparse(max_terms)("_pairs"))
             .drop("_pairs"))

@@ -60,20 +60,17 @@ def fit_vocabulary(docs: DataFrame, text: str, max_terms: int = params.MAX_TERMS
     return picked.withColumn("idf", idf)
 
 
-def small_side(table: DataFrame, rows: int) -> DataFrame:
-    """Mark a table for broadcast only when its row bound is known to be small."""
-    return F.broadcast(table) if rows <= params.MAX_BROADCAST_ROWS else table
-
-
 def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, text: str, doc_id: str,
-                    max_terms: int = params.MAX_TERMS, low: int = params.NGRAM_MIN,
+                    low: int = params.NGRAM_MIN,
                     high: int = params.NGRAM_MAX) -> DataFrame:
     """L2-normalised sublinear TF-IDF in long form (doc_id, term, tf, weight).
 
-    Terms outside the vocabulary are ignored. `vocabulary` has at most `max_terms` rows.
+    Terms outside the vocabulary are ignored. The row limit of a fitted vocabulary (or the
+    file size of a saved one) is a statistic, so the planner broadcasts it when it is small
+    and shuffles when a caller brings a large one.
     """
     terms = document_terms(docs, text, [doc_id], low, high)
-    known = terms.join(small_side(vocabulary.select("term", "idf"), max_terms), "term")
+    known = terms.join(vocabulary.select("term", "idf"), "term")
     raw = known.withColumn("_raw", (1 + F.log(F.col("tf"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(doc_id)))
     return raw.select(doc_id, "term", "tf", (F.col("_raw") / norm).alias("weight"))
@@ -84,4 +81,4 @@ def tfidf(docs: DataFrame, text: str, doc_id: str, max_terms: int = params.MAX_T
           high: int = params.NGRAM_MAX) -> DataFrame:
     """Fit a vocabulary on the documents and weigh the same documents with it."""
     vocabulary = fit_vocabulary(docs, text, max_terms, min_df, low, high)
-    return tfidf_transform(docs, vocabulary, text, doc_id, max_terms, low, high)
+    return tfidf_transform(docs, vocabulary, text, doc_id, low, high)

@@ -61,7 +61,6 @@ SAMPLE_ROWS = 500
 TOP_IMPORTANCE = 20
 TOP_ATTRIBUTION = 15
 
-# A lexicon inlined as literals, or a table marked for broadcast, may not exceed this
-# many rows; anything larger goes through an ordinary (AQE-planned) join.
+# A word list inlined as literals may not exceed this many entries; anything larger goes
+# through an ordinary (AQE-planned) join.
 MAX_INLINE_TERMS = 5000
-MAX_BROADCAST_ROWS = 200_000
