@@ -103,6 +103,13 @@ def momentum(spark, sf):
     return printable(indicators.momentum(bars(spark, sf)).select("ticker", "date", "momentum"))
 
 
+@query("volume_ma", s.twin(f"SELECT {TO_DAY}, avg(volume) {rows(20)} AS volume_ma FROM bars",
+                           "bars"))
+def volume_ma(spark, sf):
+    return printable(indicators.volume_features(bars(spark, sf))
+                     .select("ticker", "date", "volume_ma"))
+
+
 @query("volume_ratio", s.twin(
     f"SELECT {TO_DAY}, avg(volume) {rows(20)} AS volume_ma, "
     f"coalesce(volume / nullif(avg(volume) {rows(20)}, 0), 0) AS volume_ratio FROM bars", "bars"))
