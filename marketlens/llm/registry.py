@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketlens.llm.licenses import op3_licenses
+from marketlens.llm.linkrank import op10_urls
 from marketlens.llm.sharding import op1_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_shards,)}
+    fn.__name__: fn for fn in (op1_shards, op3_licenses, op10_urls)}
 SQL: dict[str, str] = {}
