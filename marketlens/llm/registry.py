@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm.licenses import op3_licenses
 from marketlens.llm.linkrank import op10_urls
+from marketlens.llm.quality import op9_quality
 from marketlens.llm.sharding import op1_shards
 from marketlens.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (op1_shards, op3_licenses, op6_token_counts,
-                                     op10_urls)}
+                                     op9_quality, op10_urls)}
 SQL: dict[str, str] = {}
