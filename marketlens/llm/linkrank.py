@@ -144,7 +144,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, **options: float) -> DataFram
     html has no links; repeated rows are judged each; an empty table gives no rows.
     """
     parsed = stored(parse_pages(pages), "url-parts")
-    ruled = apply_rules(parsed.drop("links"), rules)
+    # Stored, so that the join by host stands alone and a hot host's rows can be split.
+    ruled = stored(apply_rules(parsed.drop("links"), rules), "url-rules")
     verdicts = host_verdicts(ruled, host_edges(parsed), **options)
     return (ruled.join(verdicts, "host", "left")
             .select("page_id", "host", "path", "rule",
