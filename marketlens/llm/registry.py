@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketlens.llm.decontaminate import op4_decontaminate
 from marketlens.llm.licenses import op3_licenses
 from marketlens.llm.linkrank import op10_urls
 from marketlens.llm.quality import op9_quality
@@ -13,6 +14,6 @@ from marketlens.llm.sharding import op1_shards
 from marketlens.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_shards, op3_licenses, op6_token_counts,
-                                     op9_quality, op10_urls)}
+    fn.__name__: fn for fn in (op1_shards, op3_licenses, op4_decontaminate,
+                                     op6_token_counts, op9_quality, op10_urls)}
 SQL: dict[str, str] = {}
