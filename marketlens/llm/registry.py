@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.llm.decontaminate import op4_decontaminate
 from marketlens.llm.licenses import op3_licenses
 from marketlens.llm.linkrank import op10_urls
+from marketlens.llm.neardup import op7_neardup
 from marketlens.llm.packing import op8_packing
 from marketlens.llm.quality import op9_quality
 from marketlens.llm.sharding import op1_shards
@@ -16,5 +17,6 @@ from marketlens.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (op1_shards, op3_licenses, op4_decontaminate,
-                                     op6_token_counts, op8_packing, op9_quality, op10_urls)}
+                                     op6_token_counts, op7_neardup, op8_packing, op9_quality,
+                                     op10_urls)}
 SQL: dict[str, str] = {}
