@@ -158,18 +158,17 @@ def _search(texts: DataFrame, names: list[str], block: Block) -> DataFrame:
     return texts.mapInArrow(searched, schema)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False,
+def find_overlaps(docs: DataFrame, benchmark: DataFrame,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with `overlaps`, an array of (item_id, start, end, n_equal), ordered.
+    """`docs` without its text, with `overlaps`: (item_id, start, end, n_equal), ordered.
 
-    `start` and `end` are words of the document, numbered from 0; the text itself is dropped
-    unless `keep_text`. Null and empty texts and items have no words and no overlaps; items of
-    fewer than seven words cannot be found; an item shorter than `MIN_EQUAL` words must stand
-    there in full. Rows are searched each on their own. A column of `docs` called overlaps is
+    `start` and `end` are words of the document, numbered from 0. Null and empty texts and
+    items have no words and no overlaps; items of fewer than seven words cannot be found; an
+    item shorter than `MIN_EQUAL` words must stand there in full. Rows are searched each on their own. A column of `docs` called overlaps is
     replaced. One block of items is one pass. More blocks are a pass each; their few hits are
     joined back by the texts' digest, with the same result.
     """
-    names = [c for c in docs.columns if c != "overlaps" and (keep_text or c != "text")]
+    names = [c for c in docs.columns if c not in ("text", "overlaps")]
     texts = docs.select(*(docs[c] for c in names), docs["text"].alias("_text"))
     blocks = blocks_of(benchmark, block_bytes)
     first, second = next(blocks, None), next(blocks, None)
@@ -191,8 +190,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The rows of `docs` without an overlap, all columns as they were."""
-    return (find_overlaps(docs, benchmark, keep_text=True, **options)
-            .where("size(overlaps) = 0").select(*docs.columns))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
+    return (find_overlaps(rows, benchmark, **options)
+            .where("size(overlaps) = 0").select("row.*"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

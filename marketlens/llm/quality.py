@@ -258,20 +258,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with the base counts, base_failed, p_good and kept.
+    """`docs` without its text, with the base counts, base_failed, p_good and kept.
 
     A null or empty text has no words and fails the base rule. Without a model p_good is null
-    and the base rules decide alone. Every row is judged on its own.
+    and the base rules decide alone. Every row is judged on its own. Columns of `docs` with
+    these names are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
            "base_failed", "p_good", "kept"]
-    names = [c for c in docs.columns if c not in new]
-    texts = docs.select(*(docs[c] for c in names), docs["text"].alias("_text"))
+    names = [c for c in docs.columns if c != "text" and c not in new]
+    texts = docs.select(*(docs[c] for c in names), docs["text"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, margins = [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(len(names)):
                 text, data, words, ids, distinct = _prepared(value.as_py())
                 counts.append(base_counts(text, data, words, ids))
                 if model is not None:
@@ -285,19 +286,25 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                 good = model.probability(np.array(margins))
                 p, kept = pa.array(good), ~failed & (good >= threshold)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(table_[:, i]) for i in range(5)),
+                [*batch.columns[:len(names)], *(pa.array(table_[:, i]) for i in range(5)),
                  pa.array(failed), p, pa.array(kept)], [*names, *new])
 
-    schema = texts.drop("_text").schema
+    schema = texts.select(*names).schema
     for name in new:
         schema = schema.add(name, {"base_failed": "boolean", "kept": "boolean",
                                    "p_good": "double"}.get(name, "long"))
     return texts.mapInArrow(scored, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that pass, all columns as they were."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
+    return score(rows, fit(docs, labels)).where("kept").select("row.*")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).drop("text")
+    return score(docs, model)

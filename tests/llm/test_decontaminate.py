@@ -88,7 +88,7 @@ def test_edges(spark):
 
 def test_clean_keeps_columns(spark):
     docs = spark.createDataFrame([(1, ITEMS[0][1], "s"), (2, "clean text", "s")],
-                                 "doc_id long, text string, source string")
+                                 "doc_id long, text string, overlaps string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     left = dc.clean(docs, bench)
     assert left.columns == docs.columns

@@ -96,6 +96,14 @@ def test_edges(spark):
     assert quality.score(odd.limit(0), None).collect() == []
 
 
+def test_keep_good_keeps_columns(spark):
+    docs, labels = frames(spark, rows(90, 4))
+    left = quality.keep_good(docs, labels)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert {r["kept"] for r in got} == {"x"} and 50 <= len(got) <= 65
+
+
 def test_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in
             spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
