@@ -14,9 +14,10 @@ from marketlens.llm.packing import op8_packing
 from marketlens.llm.quality import op9_quality
 from marketlens.llm.sharding import op1_shards
 from marketlens.llm.token_counts import op6_token_counts
+from marketlens.llm.token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (op1_shards, op3_licenses, op4_decontaminate,
-                                     op6_token_counts, op7_neardup, op8_packing, op9_quality,
+                                     op5_token_files, op6_token_counts, op7_neardup, op8_packing, op9_quality,
                                      op10_urls)}
 SQL: dict[str, str] = {}
