@@ -9,9 +9,11 @@ texts with a probability equal to their weighted Jaccard similarity.
 
 Equal texts are one node. Nodes that agree in a whole band of slots are candidates: each meets
 the leader of its bucket, drawn anew for every band. Verified pairs form components. What a
-bucket still holds of different components after that meets member by member, so no pair of
-candidates goes unchecked that is not joined already, and a group of copies costs a number of
-pairs in proportion to its size.
+bucket still holds of different components after that is compared in blocks: a task gets two
+blocks of one bucket with their multisets, counts shared elements with matrix products and
+returns only the links that join components, fewer than it has members. So no pair of
+candidates goes unchecked that is not joined already, and no pair is ever a row before it is
+known to be a link or one of a member with its leader.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BANDS, ROWS = 25, 5
 SEED = 11
 #: Bytes of text whose signatures are drawn together.
 _BATCH_BYTES = 4 << 20
+#: Mean members in a block of a bucket, and elements compared at a time.
+BLOCK, _COLUMNS = 512, 4096
 _GOLD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
                                         0x94D049BB133111EB))
 
@@ -207,19 +211,93 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set) of the given nodes, one text of each."""
-    wanted = (docs.select(node_id(docs["text"]).alias("node"), "text")
-              .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    """(node, set) of the given nodes (node, id), where `id` is one document of the node.
+
+    The id is part of the key, so that the copies of a hot text do not meet.
+    """
+    wanted = (docs.select(node_id(docs["text"]).alias("node"),
+                          F.coalesce(docs["doc_id"], F.lit(-1)).alias("id"), "text")
+              .join(nodes, ["node", "id"], "left_semi").dropDuplicates(["node", "id"]))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [multiset(*shingles([t.as_py()])).tobytes() for t in batch.column(1)]
+            sets = [multiset(*shingles([t.as_py()])).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())],
                                              ["node", "set"])
 
     return wanted.mapInArrow(made, "node binary, set binary")
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Elements that each of `a` shares with each of `b`; elements are distinct in each."""
+    values = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, place, often = np.unique(values, return_inverse=True, return_counts=True)
+    # Elements of one set only cannot be shared.
+    number = np.cumsum(often > 1) - 1
+    kept = often[place] > 1
+    row, place = row[kept], number[place[kept]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((len(a), len(b)))
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, _COLUMNS):
+        part = slice(*np.searchsorted(place, [start, start + _COLUMNS]))
+        held = np.zeros((len(a) + len(b), _COLUMNS), np.float32)
+        held[row[part], place[part] - start] = 1
+        total += held[:len(a)] @ held[len(a):].T
+    return total
+
+
+def _joining(pairs: Iterator[tuple[int, int]], roots: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Those of `pairs` that join two components, given each member's component so far."""
+    parent = {r: r for r in roots}
+
+    def top(r: bytes) -> bytes:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    for x, y in pairs:
+        p, q = top(roots[x]), top(roots[y])
+        if p != q:
+            parent[p] = q
+            yield x, y
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Links (a, b) between components inside the buckets of `members` (key, node, root, size).
+
+    Every two blocks of a bucket meet in one task of bounded size.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (members.withColumn("blocks", blocks).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", F.least("own", "other").alias("i"),
+                     F.greatest("own", "other").alias("j"), "own", "node", "root"))
+
+    def linked(rows: pa.Table) -> pa.Table:
+        first = rows["i"][0].as_py()
+        own = rows["own"].to_numpy()
+        nodes, roots = rows["node"].to_pylist(), rows["root"].to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["set"]]
+        left = np.flatnonzero(own == first)
+        right = left if rows["j"][0].as_py() == first else np.flatnonzero(own != first)
+        found = []
+        if len(left) and len(right):
+            shared = shared_counts([sets[x] for x in left], [sets[y] for y in right])
+            n = np.array([len(x) for x in sets])
+            alike = shared / (n[left][:, None] + n[right][None, :] - shared) >= least
+            found = list(_joining(((left[x], right[y]) for x, y in zip(*np.nonzero(alike))),
+                                  roots))
+        return pa.table({side: pa.array([nodes[pair[k]] for pair in found], pa.binary())
+                         for k, side in enumerate("ab")})
+
+    return (dealt.join(sets, "node").groupBy("key", "i", "j")
+            .applyInArrow(linked, "a binary, b binary"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): the smallest node it is connected to.
 
@@ -248,20 +326,23 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classify(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def classify(docs: DataFrame, least: float = SIMILARITY,
+             block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node) of all documents and the class (node, root) of each node.
 
     Null texts count as empty; texts without words are alike only if equal. Ids may be null or
     repeat. Only doc_id and text are read.
     """
     rows = stored(sign(docs), "signatures")
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    listed = stored(nodes.select("node", "n", F.explode("keys").alias("key")), "bands")
+    nodes = rows.groupBy("node").agg(
+        F.first("n").alias("n"), F.first("keys").alias("keys"),
+        F.min(F.coalesce("doc_id", F.lit(-1))).alias("id"))
+    listed = stored(nodes.select("node", "id", "n", F.explode("keys").alias("key")), "bands")
     draw = F.xxhash64("key", "node")
     heads = (listed.groupBy("key").agg(
         F.count("*").alias("size"), F.min_by("node", draw).alias("head"),
         F.min_by("n", draw).alias("head_n")).where("size > 1"))
-    members = stored(listed.join(heads.drop("size"), "key"), "buckets")
+    members = stored(listed.join(heads, "key"), "buckets")
 
     def near(x: str, y: str) -> Column:
         """Multisets of too different a size cannot be similar enough."""
@@ -271,23 +352,19 @@ def classify(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Dat
         return pairs.select(F.least("a", "b").alias("a"),
                             F.greatest("a", "b").alias("b")).distinct()
 
-    first = stored(ordered(members.where((F.col("node") != F.col("head")) & near("n", "head_n"))
-                           .select(F.col("node").alias("a"), F.col("head").alias("b"))), "pairs")
-    sets = stored(_sets(docs, members.select("node").distinct()), "multisets")
+    first = (ordered(members.where((F.col("node") != F.col("head")) & near("n", "head_n"))
+                           .select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    sets = stored(_sets(docs, members.select("node", "id").distinct()), "multisets")
     links = stored(_verified(first, sets, least), "links")
     joined = components(links)
 
-    # Buckets whose members are not of one component yet.
-    placed = members.join(joined, "node", "left").select(
-        "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    # Buckets whose members are not of one component yet; of two members one is the leader.
+    placed = members.where("size > 2").join(joined, "node", "left").select(
+        "key", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = (placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
              .where("x <> y").select("key"))
-    rest = stored(placed.join(mixed, "key"), "mixed-buckets")
-    other = rest.toDF("key", "b", "n_b", "root_b")
-    pairs = (rest.toDF("key", "a", "n_a", "root_a").join(other, "key")
-             .where((F.col("root_a") < F.col("root_b")) & near("n_a", "n_b")))
-    pairs = ordered(pairs.select("a", "b")).join(first, ["a", "b"], "left_anti")
-    found = stored(_verified(pairs, sets, least), "more-links")
+    found = stored(_links_in_blocks(placed.join(mixed, "key"), sets, least, block),
+                   "more-links")
     if not found.isEmpty():
         joined = components(links.union(found))
     classes = (rows.select("node").distinct().join(joined, "node", "left")
@@ -295,14 +372,14 @@ def classify(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Dat
     return rows.select("doc_id", "node"), classes
 
 
-def assign(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def assign(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, node, class_id, class_rows, kept) of every row.
 
     The class id is the smallest doc_id in the class. Exactly one row of a class is kept: one
     with that id, of the smallest digest; `copies` tells how many rows are alike even in id
     and text, of which one stays.
     """
-    rows, classes = classify(docs, least)
+    rows, classes = classify(docs, least, block)
     # Copies of one text and id are counted first, so a hot text meets its class as few rows.
     held = (rows.groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
             .join(classes, "node"))

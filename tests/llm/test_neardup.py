@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from marketlens.llm import neardup as nd
 
@@ -101,6 +102,34 @@ def base_rows():
     return rows
 
 
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64)
+            for _ in range(9)]
+    for columns in (4096, 7):
+        monkeypatch.setattr(nd, "_COLUMNS", columns)
+        for a, b in [(sets[:4], sets[4:]), (sets, sets), (sets[:1], sets[1:2])]:
+            assert nd.shared_counts(a, b).tolist() == [
+                [len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+@pytest.mark.parametrize("block", [nd.BLOCK, 3])
+def test_graded_near_copies(spark, block):
+    """One text with one to twelve words changed: most copies are alike to a few others only."""
+    rng = random.Random(8)
+    text = ["t%d" % i for i in range(100)]
+    rows = []
+    for i in range(120):
+        new = list(text)
+        for at in rng.sample(range(100), 1 + i % 12):
+            new[at] = f"n{i}"
+        rows.append((i, " ".join(new)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in nd.assign(df, block=block).collect()}
+    assert found == dict(enumerate(brute_classes(rows)))
+    assert 5 < len(set(found.values())) < 115
+
+
 def test_classes_against_all_pairs(spark):
     rows = base_rows()
     df = spark.createDataFrame([(d, t, "k") for d, t in rows],
