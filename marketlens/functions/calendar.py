@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import _col
@@ -27,14 +27,56 @@ def epoch_seconds(ts: Column | str) -> Column:
             + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts).cast("long"))
 
 
+# Formats beyond ISO that feeds use, tried in this order, with and without a time of day. A
+# leading weekday name is dropped before.
+DAY_FORMATS = ["MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MM/dd/yyyy",
+               "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd"]
+CLOCK_FORMATS = ["", " HH:mm:ss", " HH:mm", " h:mm a"]
+# A zone name or offset after a time of day: the text names an instant, not a wall clock.
+ZONED = r"\d:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
+ZONE = r"\s*(?:Z|UTC|GMT|([+-]\d{2}):?(\d{2}))$"
+
+
+def _wall_clock(text: Column) -> Column:
+    """Time as written, without its zone: ISO first, then the listed formats."""
+    plain = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s+", "")
+    tried = [F.try_to_timestamp(plain, F.lit(day + clock)).cast("timestamp_ntz")
+             for day in DAY_FORMATS for clock in CLOCK_FORMATS]
+    return F.coalesce(text.try_cast("timestamp_ntz"), *tried)
+
+
 def parse_lenient(text: Column | str) -> Column:
-    """Timestamp of a string; unparsable or missing text gives null instead of an error."""
-    return _col(text).try_cast("timestamp_ntz")
+    """UTC wall-clock time of a string; unparsable or missing text gives null.
+
+    Accepts ISO dates and times and `DAY_FORMATS` with `CLOCK_FORMATS`. Text with a zone or an
+    offset after its time is moved to UTC; all other text is taken as UTC already.
+    """
+    text = F.trim(_col(text))
+    zoned = text.rlike(ZONED)
+    clock = _wall_clock(F.when(zoned, F.regexp_replace(text, ZONE, "")).otherwise(text))
+    hours = F.regexp_extract(text, ZONE, 1).try_cast("int")
+    minutes = F.regexp_extract(text, ZONE, 2).try_cast("int")
+    sign = F.when(F.startswith(F.regexp_extract(text, ZONE, 1), F.lit("-")), -1).otherwise(1)
+    offset = F.make_dt_interval(hours=hours, mins=minutes * sign)
+    return F.when(zoned & hours.isNotNull(), clock - offset).otherwise(clock)
 
 
 def date_key(ts: Column | str) -> Column:
-    """Calendar date of a timestamp or date string, null when invalid."""
-    return F.to_date(ts if isinstance(ts, Column) else F.col(ts))
+    """Calendar date of a timestamp, date or ISO date string, null when invalid; pass text in
+    other formats through `parse_lenient` first."""
+    return F.to_date(_col(ts).try_cast("timestamp_ntz"))
+
+
+def dated(df: DataFrame, time: str, output: str = "date") -> DataFrame:
+    """Append the calendar date of a time column, which may be text in any known format."""
+    stamp = parse_lenient(time) if dict(df.dtypes)[time] == "string" else F.col(time)
+    return df.withColumn(output, date_key(stamp))
+
+
+def unparsed(text: Column | str) -> Column:
+    """Aggregate: how many non-empty texts `parse_lenient` cannot read."""
+    text = _col(text)
+    return F.count_if((F.trim(text) != "") & parse_lenient(text).isNull())
 
 
 def day_of_week(ts: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.calendar import date_key
+from marketlens.functions.calendar import dated
 from marketlens.functions.labels import label_from_return, label_name
 from marketlens.functions.text import contained_terms, null_text_to_empty, split_words
 from marketlens.operators.indicators import forward_return
@@ -37,7 +37,7 @@ def labeled_bars(bars: DataFrame, close: str = "close", **kw) -> DataFrame:
 
 
 def _dated(news: DataFrame, time: str) -> DataFrame:
-    return news.withColumn("date", date_key(time)).where(F.col("date").isNotNull())
+    return dated(news, time).where(F.col("date").isNotNull())
 
 
 def align_news_prices(news: DataFrame, bars: DataFrame, *, close: str = "close",
@@ -99,7 +99,7 @@ def stopword_anti(tokens: DataFrame, stop_words: DataFrame, term: str = "term")
 
 def weight_join(df: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
     """Attach per-class weights; the weight table has one row per class."""
-    return df.join(F.broadcast(weights.select(label, "weight")), label, "left")
+    return df.join(weights.select(label, "weight"), label, "left")
 
 
 def concat_frames(*frames: DataFrame) -> DataFrame:

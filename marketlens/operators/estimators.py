@@ -6,6 +6,7 @@ trees run one-vs-rest; both are documented approximations, not score-for-score e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -51,7 +52,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
                       DefaultParamsWritable):
     """Random Fourier features of the RBF kernel exp(-gamma |x - y|^2).
 
-    The projection is redrawn from the seed on each worker, so only scalars are stored.
+    The projection is drawn from the seed, once per worker task, so only scalars are stored.
     """
 
     gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
@@ -67,14 +68,19 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
         gamma, width = self.getOrDefault("gamma"), self.getOrDefault("width")
         seed = self.getOrDefault("seed")
 
-        def project(rows: pd.Series) -> pd.Series:
-            if rows.empty:
-                return pd.Series([], dtype=object)
-            x = np.stack(rows.to_numpy())
-            rng = np.random.default_rng(seed)
-            w = rng.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], width))
-            b = rng.uniform(0.0, 2.0 * np.pi, width)
-            return pd.Series(list(np.sqrt(2.0 / width) * np.cos(x @ w + b)))
+        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            drawn = None
+            for rows in batches:
+                if rows.empty:
+                    yield pd.Series([], dtype=object)
+                    continue
+                x = np.stack(rows.to_numpy())
+                if drawn is None:
+                    rng = np.random.default_rng(seed)
+                    drawn = (rng.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], width)),
+                             rng.uniform(0.0, 2.0 * np.pi, width))
+                w, b = drawn
+                yield pd.Series(list(np.sqrt(2.0 / width) * np.cos(x @ w + b)))
 
         udf = F.pandas_udf(project, "array<double>")
         return dataset.withColumn(self.getOutputCol(),
@@ -84,8 +90,11 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
 def scale_gamma(train: DataFrame, vector: str) -> float:
     """1 / (features * variance of all entries), from one aggregation."""
     x = vector_to_array(vector)
-    entry = train.select(F.size(x).alias("d"), F.explode(x).alias("x"))
-    d, variance = entry.agg(F.max("d"), F.var_pop("x")).first()
+    sums = train.select(
+        F.size(x).alias("d"), F.aggregate(x, F.lit(0.0), lambda t, v: t + v).alias("s"),
+        F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v).alias("q"))
+    d, n, s, q = sums.agg(F.max("d"), F.sum("d"), F.sum("s"), F.sum("q")).first()
+    variance = q / n - (s / n) ** 2 if n else 0.0
     return 1.0 / (d * variance) if variance else 1.0
 
 
@@ -137,8 +146,10 @@ def fit_gbt(train: DataFrame, features: str = "features", label: str = "label",
 
 def fit_svm(train: DataFrame, features: str = "features", label: str = "label",
             C: float = 10.0, gamma: float | str = "scale", width: int = 256,
-            max_iter: int = 100, seed: int = params.SEED) -> PipelineModel:
-    """Kernel-approximated SVM, one-vs-rest, each margin calibrated by a logistic fit."""
+            max_iter: int = 1000, calibration_iter: int = 1000,
+            seed: int = params.SEED) -> PipelineModel:
+    """Kernel-approximated SVM, one-vs-rest, each margin calibrated by a logistic fit. Both
+    solvers stop at their tolerance, normally long before these numbers of iterations."""
     with prepared(train, features, label) as (source, n):
         width_gamma = scale_gamma(source, features) if gamma == "scale" else float(gamma)
         lift = FourierFeatures(inputCol=features, outputCol="lifted", gamma=width_gamma,
@@ -152,7 +163,7 @@ def fit_svm(train: DataFrame, features: str = "features", label: str = "label",
                     featuresCol="lifted", labelCol="_is", weightCol="weight",
                     regParam=1.0 / (C * n), maxIter=max_iter, **_suffixed(c)).fit(own)
                 calibrate = LogisticRegression(
-                    featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-4, maxIter=20,
+                    featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-4, maxIter=calibration_iter,
                     probabilityCol=f"prob_{c}", predictionCol=f"_p_{c}",
                     rawPredictionCol=f"_r_{c}").fit(machine.transform(own))
                 stages += [machine, calibrate]

@@ -63,7 +63,10 @@ def _sparse(size: int):
 
 def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str, row_id: str,
                   max_terms: int = params.MAX_TERMS, output: str = "tfidf") -> DataFrame:
-    """Sparse TF-IDF vector per row; positions follow the term order of the vocabulary."""
+    """Sparse TF-IDF vector per row; positions follow the term order of the vocabulary.
+
+    `row_id` must be unique in `df`; see `distinct_texts`.
+    """
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
     indexed = vocabulary.select("term", place.alias("index"))  # at most max_terms rows
     weights = tfidf_transform(df, vocabulary, text, row_id)
@@ -73,27 +76,42 @@ def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str, row_id: str,
             .drop("_pairs"))
 
 
+def _text_key(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_text_key")
+
+
+def distinct_texts(df: DataFrame, text: str) -> DataFrame:
+    """(_text_key, text), one row per distinct text. Text features are computed on these: an
+    untagged headline stands once per instrument, so its id repeats."""
+    return df.select(_text_key(text), text).dropDuplicates(["_text_key"])
+
+
 def _sized(df: DataFrame, vector: str, size: int) -> DataFrame:
     """Declare a vector's length, so assembling needs no pass over the data."""
     return VectorSizeHint(inputCol=vector, size=size, handleInvalid="optimistic").transform(df)
 
 
-def feature_matrix(df: DataFrame, vocabulary: DataFrame, *, row_id: str = "id",
-                   text: str = "clean_text", time: str = "published_at",
+def feature_matrix(df: DataFrame, vocabulary: DataFrame, *, text: str = "clean_text", time: str = "published_at",
                    use_embedding: bool = True, lexicon: Lexicon = DEFAULT_LEXICON,
                    max_terms: int = params.MAX_TERMS, model_embedding: str | None = None,
                    output: str = "features") -> DataFrame:
     """Append `output`: term weights, embedding, sentiment, [model embedding], market and
-    calendar columns, in that order. Market columns join in when the bars' indicator columns
+    calendar columns, in that order. Ids may repeat: text features are computed once per
+    distinct text. Market columns join in when the bars' indicator columns
     are present, calendar columns when `time` is."""
-    wide = _sized(tfidf_vectors(df, vocabulary, text, row_id, max_terms), "tfidf", max_terms)
+    key = "_text_key"
+    made = tfidf_vectors(distinct_texts(df, text), vocabulary, text, key, max_terms)
     inputs = ["tfidf"]
     if use_embedding:
-        wide = hashed_embedding(wide, text, row_id)
+        made = hashed_embedding(made, text, key)
         dense = array_to_vector(F.col("embedding").cast("array<double>"))
-        wide = _sized(wide.withColumn("embedding", dense), "embedding", params.EMBEDDING_DIM)
+        made = made.withColumn("embedding", dense)
         inputs.append("embedding")
-    wide = sentiment_features(wide, text, lexicon=lexicon)
+    made = sentiment_features(made, text, lexicon=lexicon).drop(text)
+    wide = _sized(df.withColumn(key, _text_key(text)).join(made, key).drop(key), "tfidf",
+                  max_terms)
+    if use_embedding:
+        wide = _sized(wide, "embedding", params.EMBEDDING_DIM)
     inputs += SENTIMENT_FEATURES
     if model_embedding:
         inputs.append(model_embedding)

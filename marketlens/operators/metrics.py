@@ -131,7 +131,7 @@ def roc_curve(df: DataFrame, keys: list[str], probabilities: dict[int, str]) ->
     points = running_sums(placed, groups, "_bucket", [F.col("score").desc()],
                           {"tp": "pos", "fp": "neg"})
     totals = counts.groupBy(*groups).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    joined = points.join(F.broadcast(totals), groups)  # one row per model and class
+    joined = points.join(totals, groups)
     return joined.select(
         *groups, F.col("score").alias("threshold"), "tp", "fp",
         F.try_divide(F.col("fp"), F.col("_n")).alias("fpr"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 3  # hex digits of an md5 bucket: 4096 buckets per group
+HASH_DIGITS = 3  # default hex digits of an md5 bucket: 4096 buckets per group
 
 
 def hash_key(*parts: Column | str, seed: int | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens import params
 from marketlens.operators.running import (
-    bucket_offsets, hash_bucket, hash_key, running_rank, with_offsets)
+    HASH_DIGITS, bucket_offsets, hash_bucket, hash_key, running_rank, with_offsets)
 
 
 def class_quotas(counts: DataFrame, label: str, share: float) -> DataFrame:
@@ -39,33 +39,39 @@ def test_share(test_size: int | float, n_rows: int) -> float:
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, share: float = params.TEST_SHARE,
-                     seed: int = params.SEED) -> DataFrame:
+                     seed: int = params.SEED, digits: int = HASH_DIGITS) -> DataFrame:
     """Add boolean `is_test`: per class, the rows with the smallest keys up to the quota.
 
-    Whole hash buckets fall on one side of the quota; only the one bucket per class that
-    contains the boundary is ranked, so no class is sorted in one task.
+    A null label is a class of its own. The class's last test row is found first: hash buckets
+    are counted, and only the one bucket that contains the boundary is ranked, so no class is
+    sorted in one task. The split itself then compares keys, one pass without a shuffle of its
+    own when the few last rows are small enough to broadcast.
     """
-    keyed = df.withColumn("_key", hash_key(row_id, seed=seed))
-    keyed = keyed.withColumn("_bucket", hash_bucket("_key"))
-    offsets = bucket_offsets(keyed, [label], "_bucket", {"_n": F.count(F.lit(1))})
+    key = hash_key(row_id, seed=seed)
+    place = df.select(F.col(label), key.alias("_key"), F.col(row_id).alias("_id"))
+    place = place.withColumn("_bucket", hash_bucket("_key", digits))
+    offsets = bucket_offsets(place, [label], "_bucket", {"_n": F.count(F.lit(1))})
     counts = offsets.groupBy(label).agg(F.sum("_n").alias("_n"))
-    quotas = F.broadcast(class_quotas(counts, label, share))  # one row per class
-    limits = offsets.join(quotas, label).select(
-        label, "_bucket", (F.col("_quota") - F.col("_n_before")).alias("_room"), "_n")
-    placed = with_offsets(keyed, limits, [label, "_bucket"], ["_room", "_n"])
-    boundary = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
-    settled = placed.where(~boundary).withColumn("is_test", F.col("_room") >= F.col("_n"))
-    inside = Window.partitionBy(label, "_bucket").orderBy("_key", row_id)
-    ranked = placed.where(boundary).withColumn(
-        "is_test", F.row_number().over(inside) <= F.col("_room"))
-    return settled.unionByName(ranked).drop("_key", "_bucket", "_room", "_n")
+    room = F.col("_quota") - F.col("_n_before")
+    boundary = (with_offsets(offsets, class_quotas(counts, label, share), [label], ["_quota"])
+                .where((room > 0) & (room <= F.col("_n")))
+                .select(label, "_bucket", room.alias("_room")))
+    inside = Window.partitionBy(label, "_bucket").orderBy("_key", "_id")
+    last = (with_offsets(place, boundary, [label, "_bucket"], ["_room"])
+            .where(F.col("_room").isNotNull())
+            .withColumn("_turn", F.row_number().over(inside)).where("_turn = _room")
+            .select(label, F.struct("_key", "_id").alias("_last")))
+    marked = with_offsets(df, last, [label], ["_last"])
+    own = F.struct(key.alias("_key"), F.col(row_id).alias("_id"))
+    return marked.withColumn("is_test", F.coalesce(own <= F.col("_last"), F.lit(False))) \
+                 .drop("_last")
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = params.FOLDS,
-                     seed: int = params.SEED) -> DataFrame:
+                     seed: int = params.SEED, digits: int = HASH_DIGITS) -> DataFrame:
     """Add int `fold` in [0, k): rows of a class dealt in turn by hash order."""
     keyed = df.withColumn("_key", hash_key(row_id, seed=seed))
-    keyed = keyed.withColumn("_bucket", hash_bucket("_key"))
+    keyed = keyed.withColumn("_bucket", hash_bucket("_key", digits))
     ranked = running_rank(keyed, [label], "_bucket", ["_key", row_id], "_rank")
     return (ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int"))
             .drop("_key", "_bucket", "_rank"))

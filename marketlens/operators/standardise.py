@@ -20,6 +20,12 @@ def scaler_stats(df: DataFrame, features: list[str]) -> DataFrame:
                  F.col(c)["std"].alias("std")) for c in features])))
 
 
+def vector_stats(df: DataFrame, vector: str) -> DataFrame:
+    """(position, mean, std) of an array column, for arrays of any length."""
+    return (df.select(F.posexplode(vector).alias("position", "x")).groupBy("position")
+            .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")))
+
+
 def _stats_struct(train: DataFrame, features: list[str]) -> Column:
     """One-row statistics as a scalar subquery, so no join is planned."""
     return train.agg(F.struct(*[

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-import math
 import time
 from collections.abc import Callable, Mapping
 
-from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.evaluation import Evaluator
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens import params
-from marketlens.operators.estimators import FITTERS, balanced, predict_probabilities
+from marketlens.operators.estimators import FITTERS, predict_probabilities
 from marketlens.operators.metrics import cv_summary, metrics_summary, rank_models
 from marketlens.operators.running import hash_bucket, hash_key
 from marketlens.operators.splits import stratified_folds
 
-# Full search spaces; pass a smaller grid to bound the cost.
+# Full search spaces, by the fitters' arguments; pass a smaller grid to bound
+# the cost.
 PARAM_GRIDS = {
     "logistic_regression": {"C": [0.1, 1.0, 10.0, 100.0]},
     "svm": {"C": [1.0, 10.0, 50.0, 100.0], "gamma": ["scale", 0.01, 0.001]},
@@ -33,52 +30,49 @@ PARAM_GRIDS = {
 }
 
 
-class MacroF1(Evaluator):
-    """Unweighted mean of class F1 scores (the built-in "f1" is weighted)."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.select(F.col("label").cast("int"), F.col("prediction").cast("int"))
-        return metrics_summary(scored).first()["f1_macro"] or 0.0
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
-def grid_search(df: DataFrame, estimator: Estimator, grid: Mapping[str, list],
+def grid_search(df: DataFrame, name: str, grid: Mapping[str, list] | None = None,
                 row_id: str = "id", label: str = "label", k: int = params.FOLDS,
-                parallelism: int = 4) -> tuple[Model, DataFrame]:
-    """Exhaustive search by k-fold macro-F1; refits the best point on all rows.
+                fixed: Mapping | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Exhaustive search over a fitter's arguments by k-fold macro-F1; refits the best point.
 
-    Returns the model and a table (params, f1_macro), one row per grid point.
+    `grid` is the model's entry of `PARAM_GRIDS` by default, `fixed` holds further arguments.
+    Class weights are computed inside each fit, so a fold never sees the held-out counts.
+    Returns the model and a table (params, f1_macro), one row per point, best first; the
+    smaller parameter text wins a tie.
     """
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), values)
-    points = builder.build()
+    grid, fixed = PARAM_GRIDS[name] if grid is None else grid, fixed or {}
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     folded = stratified_folds(df, label, row_id, k).persist()
+    rows = []
     try:
-        search = CrossValidator(estimator=estimator, estimatorParamMaps=points,
-                                evaluator=MacroF1(), numFolds=k, foldCol="fold",
-                                parallelism=parallelism)
-        fitted = search.fit(folded)
+        for point in points:
+            def fit(train: DataFrame, point=point) -> PipelineModel:
+                return FITTERS[name](train, **fixed, **point)
+
+            scores = [_fold_score(folded, fold, fit) for fold in range(k)]
+            rows.append((json.dumps(point, sort_keys=True), sum(scores) / k))
     finally:
         folded.unpersist()
-    rows = [(json.dumps({p.name: v for p, v in point.items()}, sort_keys=True), float(score))
-            for point, score in zip(points, fitted.avgMetrics)]
     table = df.sparkSession.createDataFrame(rows, "params string, f1_macro double")
-    return fitted.bestModel, table.orderBy(F.col("f1_macro").desc(), "params")
+    table = table.orderBy(F.col("f1_macro").desc(), "params")
+    best = json.loads(min(rows, key=lambda row: (-row[1], row[0]))[0])
+    return FITTERS[name](df, **fixed, **best), table
+
+
+def _fold_score(folded: DataFrame, fold: int,
+                fit: Callable[[DataFrame], PipelineModel]) -> float:
+    """Macro-F1 on one fold of a model fitted on the others."""
+    model = fit(folded.where(F.col("fold") != fold))
+    scored = predict_probabilities(model, folded.where(F.col("fold") == fold))
+    return float(metrics_summary(scored).first()["f1_macro"])
 
 
 def fold_scores(df: DataFrame, fit: Callable[[DataFrame], PipelineModel], row_id: str = "id",
                 label: str = "label", k: int = params.FOLDS) -> DataFrame:
     """(fold, score): macro-F1 of each fold under a model fitted on the other folds."""
     folded = stratified_folds(df, label, row_id, k).persist()
-    rows = []
     try:
-        for fold in range(k):
-            model = fit(folded.where(F.col("fold") != fold))
-            scored = predict_probabilities(model, folded.where(F.col("fold") == fold))
-            rows.append((fold, float(metrics_summary(scored).first()["f1_macro"])))
+        rows = [(fold, _fold_score(folded, fold, fit)) for fold in range(k)]
     finally:
         folded.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, score double")
@@ -117,7 +111,7 @@ def benchmark(spark: SparkSession, train: DataFrame, test: DataFrame,
                 rows.append((name, *[float(result[c]) for c in METRIC_COLUMNS],
                              round(time.monotonic() - started, 2), None))
             except Exception as failure:  # one broken model must not end the comparison
-                rows.append((name, *[None] * len(METRIC_COLUMNS), None, str(failure)[:500]))
+                rows.append((name, *[None] * len(METRIC_COLUMNS), None, str(failure)))
     finally:
         train.unpersist()
         test.unpersist()
@@ -126,10 +120,14 @@ def benchmark(spark: SparkSession, train: DataFrame, test: DataFrame,
 
 def feature_importance(spark: SparkSession, model: PipelineModel, names: list[str],
                        top: int = params.TOP_IMPORTANCE) -> DataFrame:
-    """Impurity importance per feature; empty for models without one."""
-    tree = next((s for s in model.stages if hasattr(s, "featureImportances")), None)
-    values = tree.featureImportances.toArray().tolist() if tree is not None else []
-    table = spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
+    """Impurity importance per feature, averaged over the one-vs-rest stages of a boosted
+    model; empty for models without one."""
+    each = [s.featureImportances.toArray() for s in model.stages
+            if hasattr(s, "featureImportances")]
+    if any(len(values) != len(names) for values in each):
+        raise ValueError(f"{len(names)} names for {len(each[0])} features")
+    rows = list(zip(names, (sum(each) / len(each)).tolist())) if each else []
+    table = spark.createDataFrame(rows, "feature string, importance double")
     return topk_features(table, "importance", top)
 
 
@@ -145,12 +143,12 @@ def feature_rows(df: DataFrame, row_id: str, vector: Column) -> DataFrame:
 def linear_attribution(rows: DataFrame, weights: DataFrame, row_id: str) -> DataFrame:
     """w_cj (x_j - mean x_j) per row, class and feature.
 
-    `weights(class, feature, w)` and the means hold one row per model coefficient, so they
-    are broadcast; the large side is never shuffled.
+    `weights(class, feature, w)` and the means hold one row per model coefficient; the planner
+    broadcasts them by their size.
     """
     means = rows.groupBy("feature").agg(F.avg("x").alias("mean_x"))
     coefficients = weights.join(means, "feature")
-    return rows.join(F.broadcast(coefficients), "feature").select(
+    return rows.join(coefficients, "feature").select(
         row_id, "class", "feature",
         (F.col("w") * (F.col("x") - F.col("mean_x"))).alias("attribution"))
 
@@ -170,20 +168,16 @@ def model_weights(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame(rows, "class int, feature int, w double")
 
 
-BUCKET_ROWS = 10_000
-
-
 def permutation_importance(df: DataFrame, model: PipelineModel, features: str = "features",
-                           row_id: str = "id", seed: int = params.SEED) -> DataFrame:
+                           row_id: str = "id", seed: int = params.SEED,
+                           digits: int = 1) -> DataFrame:
     """Drop in accuracy and macro-F1 when one feature is exchanged between rows.
 
     Each row takes its feature from the next row of its hash bucket (the last from the
-    first), which permutes every column inside buckets. Their number grows with the table, so
-    that a bucket holds about `BUCKET_ROWS` rows; a small table is one bucket. All features
-    are scored in one plan.
+    first), which permutes every column inside buckets. There are 16^digits buckets whatever
+    the size of the table; choose more digits for larger tables, up to a bucket per task. All
+    features are scored in one plan.
     """
-    buckets = max(1.0, df.count() / BUCKET_ROWS)
-    digits = math.ceil(math.log(buckets, 16))
     keyed = df.select(row_id, "label", vector_to_array(features).alias("_x"),
                       hash_key(row_id, seed=seed).alias("_key"))
     keyed = keyed.withColumn("_bucket", hash_bucket("_key", digits))
@@ -203,15 +197,3 @@ def permutation_importance(df: DataFrame, model: PipelineModel, features: str =
         (F.col("_base.f1_macro") - F.col("f1_macro")).alias("f1_drop"))
 
 
-def default_estimator(name: str) -> Estimator:
-    """Unfitted stage for `grid_search`, class-weighted where the family supports it."""
-    if name == "logistic_regression":
-        return LogisticRegression(weightCol="weight", family="multinomial",
-                                  standardization=False)
-    if name == "random_forest":
-        return RandomForestClassifier(weightCol="weight", seed=params.SEED)
-    if name == "gbt":
-        return GBTClassifier(seed=params.SEED)
-    raise ValueError(f"unknown model: {name}")
-
-

@@ -42,14 +42,16 @@ def corpus_term_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.sum("tf").alias("ctf"))
 
 
-def topk_vocabulary(statistics: DataFrame, max_terms: int = params.MAX_TERMS,
+def topk_vocabulary(statistics: DataFrame, max_terms: int | None = params.MAX_TERMS,
                     min_df: int = params.MIN_DOC_FREQ) -> DataFrame:
-    """The most frequent terms that pass `min_df`; the term breaks ties."""
-    return (statistics.where(F.col("df") >= min_df)
-            .orderBy(F.col("ctf").desc(), "term").limit(max_terms))
+    """The most frequent terms that pass `min_df`; the term breaks ties. None: all of them."""
+    passing = statistics.where(F.col("df") >= min_df)
+    if max_terms is None:
+        return passing
+    return passing.orderBy(F.col("ctf").desc(), "term").limit(max_terms)
 
 
-def fit_vocabulary(docs: DataFrame, text: str, max_terms: int = params.MAX_TERMS,
+def fit_vocabulary(docs: DataFrame, text: str, max_terms: int | None = params.MAX_TERMS,
                    min_df: int = params.MIN_DOC_FREQ, low: int = params.NGRAM_MIN,
                    high: int = params.NGRAM_MAX) -> DataFrame:
     """vocabulary(term, df, ctf, idf) with the smoothed inverse document frequency."""
@@ -69,14 +71,16 @@ def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, text: str, doc_id: s
     file size of a saved one) is a statistic, so the planner broadcasts it when it is small
     and shuffles when a caller brings a large one.
     """
-    terms = document_terms(docs, text, [doc_id], low, high)
+    # Rows are numbered, because an id may come more than once and each row has its own norm.
+    numbered = docs.select(doc_id, text, F.monotonically_increasing_id().alias("_row"))
+    terms = document_terms(numbered, text, [doc_id, "_row"], low, high)
     known = terms.join(vocabulary.select("term", "idf"), "term")
     raw = known.withColumn("_raw", (1 + F.log(F.col("tf"))) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(doc_id)))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("_row")))
     return raw.select(doc_id, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
-def tfidf(docs: DataFrame, text: str, doc_id: str, max_terms: int = params.MAX_TERMS,
+def tfidf(docs: DataFrame, text: str, doc_id: str, max_terms: int | None = params.MAX_TERMS,
           min_df: int = params.MIN_DOC_FREQ, low: int = params.NGRAM_MIN,
           high: int = params.NGRAM_MAX) -> DataFrame:
     """Fit a vocabulary on the documents and weigh the same documents with it."""

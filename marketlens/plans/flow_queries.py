@@ -78,7 +78,7 @@ def src_articles_json(spark, sf):
     payloads = pages.select(F.to_json(F.struct(F.col("items").alias("articles"))).alias("body"))
     path = new_path(spark, "articles")
     payloads.write.text(path)
-    return news.read_articles(spark, path)
+    return printable(news.read_articles(spark, path))
 
 
 @query("src_company_news_json", s.twin(

@@ -406,11 +406,10 @@ X_ROWS = ("SELECT vec_id AS id, label % 3 AS label, CAST(unnest(embedding) AS DO
     "SELECT 'x' || feature AS feature, round(avg(x), 6) + 0.0 AS mean, "
     "round(stddev_pop(x), 6) AS std FROM r GROUP BY feature", r=X_ROWS))
 def scaler_stats(spark, sf):
-    vectors = table(spark, sf, "embeddings")
-    width = 64  # fixed width of the vectors
-    wide = vectors.select(*[F.col("embedding")[i].cast("double").alias(f"x{i}")
-                            for i in range(width)])
-    return rounded(scaling.scaler_stats(wide, wide.columns), "mean", "std")
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("embedding").cast("array<double>").alias("x"))
+    stats = rounded(scaling.vector_stats(vectors, "x"), "mean", "std")
+    return stats.select(F.concat(F.lit("x"), "position").alias("feature"), "mean", "std")
 
 
 SCALE_COLUMNS = ["hour", "day_of_week", "cents", "one"]
@@ -502,15 +501,15 @@ def topk_features(spark, sf):
 
 # --- model jobs (rows only) ------------------------------------------------------------------
 
-SMALL = {"logistic_regression": {"max_iter": 50},
-         "random_forest": {"trees": 20, "depth": 6},
-         "gbt": {"rounds": 5, "depth": 3},
-         "svm": {"width": 64, "max_iter": 20}}
+# Fewer trees, rounds and solver steps than the fitters' defaults, which take minutes to hours
+# on one machine. See the README.
+REDUCED = {"random_forest": {"trees": 100, "depth": 10}, "gbt": {"rounds": 10, "depth": 4},
+           "svm": {"max_iter": 50}}
 
 
 def _fit_and_score(spark, sf, name):
     rows = samples(spark, sf).drop("x")
-    model = estimators.FITTERS[name](rows, **SMALL[name])
+    model = estimators.FITTERS[name](rows, **REDUCED.get(name, {}))
     return estimators.predict_probabilities(model, rows).drop("features")
 
 
@@ -536,15 +535,13 @@ def fit_gbt(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    rows = estimators.balanced(samples(spark, sf).drop("x"))
-    stage = tuning.default_estimator("logistic_regression").setMaxIter(20)
-    return tuning.grid_search(rows, stage, {"regParam": [0.01, 0.1]}, k=3)[1]
+    """Full grid and folds of the logistic model."""
+    return tuning.grid_search(samples(spark, sf).drop("x"), "logistic_regression")[1]
 
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    return tuning.cross_validate(samples(spark, sf).drop("x"), "logistic_regression", k=3,
-                                 max_iter=20)
+    return tuning.cross_validate(samples(spark, sf).drop("x"), "logistic_regression")
 
 
 @query("benchmark")
@@ -556,21 +553,22 @@ def benchmark(spark, sf):
     def scaled(df):
         return scaler.transform(df).select("id", "label", F.col("scaled").alias("features"))
 
-    chosen = {name: SMALL[name] for name in ("logistic_regression", "random_forest")}
+    chosen = {name: REDUCED.get(name, {}) for name in estimators.FITTERS}
     return tuning.benchmark(spark, scaled(train), scaled(test), chosen).drop("train_time_s")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = samples(spark, sf).drop("x")
-    model = estimators.fit_random_forest(rows, **SMALL["random_forest"])
-    return tuning.feature_importance(spark, model, [f"x{i}" for i in range(64)])
+    model = estimators.fit_random_forest(rows, **REDUCED["random_forest"])
+    width = len(rows.select("features").first()[0])
+    return tuning.feature_importance(spark, model, [f"x{i}" for i in range(width)])
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     rows = samples(spark, sf).drop("x")
-    model = estimators.fit_logistic(rows, **SMALL["logistic_regression"])
+    model = estimators.fit_logistic(rows)
     return tuning.permutation_importance(rows, model)
 
 
@@ -581,8 +579,7 @@ def sink_model(spark, sf):
 
     rows = samples(spark, sf).drop("x")
     scaler = scaling.fit_vector_scaler(rows)
-    model = estimators.fit_logistic(scaler.transform(rows), features="scaled",
-                                    **SMALL["logistic_regression"])
+    model = estimators.fit_logistic(scaler.transform(rows), features="scaled")
     path = new_path(spark, "model")
     sinks.save_model(PipelineModel([*scaler.stages, *model.stages]), path)
     return estimators.predict_probabilities(sinks.load_model(path), rows).drop("features")
@@ -613,7 +610,7 @@ def score_batch(spark, sf):
     wide, names = features.scalar_features(news, "clean_text")
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(wide)
     train = align.align_news_prices(assembled, ticks_bars(spark, sf))
-    model = estimators.fit_logistic(train, max_iter=20)
+    model = estimators.fit_logistic(train)
     out = scoring.score_batch(assembled, model, "logistic_regression")
     return out.select("id", "headline", "clean_text", "prediction", "prediction_id",
                       "confidence", "probabilities.*", F.col("sentiment.polarity").alias("polarity"),

@@ -54,14 +54,16 @@ def _text(column: Column) -> Column:
 
 
 def flatten_articles(payloads: DataFrame, payload: Column | str, *keep: str) -> DataFrame:
-    """Rows of `{articles: [...]}` JSON strings; missing fields become empty text."""
+    """Rows of `{articles: [...]}` JSON strings; missing fields become empty text, a missing
+    or unreadable time becomes null."""
     record = F.from_json(payload, schemas.ARTICLES_PAYLOAD)
     items = payloads.select(*keep, F.inline(record["articles"]))
     fields = ["title", "description", "content"]
     return items.select(
         *keep, *[_text(F.col(f)).alias(f) for f in fields],
         _text(F.col("source.name")).alias("source"), _text(F.col("author")).alias("author"),
-        _text(F.col("url")).alias("url"), _text(F.col("publishedAt")).alias("published_at"))
+        _text(F.col("url")).alias("url"),
+        parse_lenient("publishedAt").alias("published_at"))
 
 
 def read_articles(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -88,5 +90,20 @@ def json_field(column: Column | str, path: str, default: str | None = None) -> C
 
 
 def union_news(*sources: DataFrame) -> DataFrame:
-    """Bag union of news tables with differing columns; duplicates are kept."""
-    return concat_frames(*sources)
+    """Bag union of news tables with differing columns; duplicates are kept.
+
+    Times given as text are parsed and instruments become text, so that any reader's output
+    goes with any other's.
+    """
+    return concat_frames(*[_same_types(source) for source in sources])
+
+
+def _same_types(news: DataFrame) -> DataFrame:
+    kinds = dict(news.dtypes)
+    same = {}
+    if "published_at" in kinds:
+        same["published_at"] = (parse_lenient("published_at") if kinds["published_at"] == "string"
+                                else F.col("published_at").cast("timestamp_ntz"))
+    if "ticker" in kinds:
+        same["ticker"] = F.col("ticker").cast("string")
+    return news.withColumns(same) if same else news

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.lexicons import DEFAULT_LEXICON, Lexicon
 from marketlens.operators.align import labeled_bars
-from marketlens.functions.calendar import date_key
+from marketlens.functions.calendar import dated
 from marketlens.operators.heuristic import heuristic_score
 from marketlens.operators.reports import sentiment_timeline
 
@@ -43,8 +43,8 @@ def stream_label_counts(scored: DataFrame) -> DataFrame:
 def stream_align(headlines: DataFrame, bars: DataFrame, close: str = "close",
                  time: str = "published_at") -> DataFrame:
     """Stream-static equi-join of live headlines with labeled bars; no state."""
-    dated = headlines.withColumn("date", date_key(time)).where(F.col("date").isNotNull())
-    return dated.join(labeled_bars(bars, close), ["ticker", "date"], "inner")
+    stamped = dated(headlines, time).where(F.col("date").isNotNull())
+    return stamped.join(labeled_bars(bars, close), ["ticker", "date"], "inner")
 
 
 def write_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

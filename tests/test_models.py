@@ -70,12 +70,31 @@ def test_importance_and_attribution(spark, separable):
     assert tuning.feature_importance(spark, model, ["a", "b", "c"]).count() == 0
 
 
+@pytest.mark.parametrize("name, grid, fixed", [
+    ("logistic_regression", {"C": [1.0]}, {}), ("svm", {"C": [10.0], "gamma": ["scale"]}, {}),
+    ("gbt", {"rate": [0.1]}, {"rounds": 3, "depth": 3})])
+def test_every_model_can_be_searched(spark, separable, name, grid, fixed):
+    assert set(grid) <= set(tuning.PARAM_GRIDS[name])
+    _, table = tuning.grid_search(separable, name, grid, k=2, fixed=fixed)
+    assert table.first()["f1_macro"] > 0.9
+
+
+def test_boosted_importance_covers_all_classes(spark, separable):
+    model = estimators.fit_gbt(separable, rounds=2, depth=2)
+    each = [s.featureImportances.toArray() for s in model.stages]
+    got = {r["feature"]: r["importance"] for r in
+           tuning.feature_importance(spark, model, ["a", "b", "c"]).collect()}
+    assert list(got[f] for f in "abc") == pytest.approx(list(sum(each) / 3))
+    with pytest.raises(ValueError):
+        tuning.feature_importance(spark, model, ["a", "b"])
+
+
 def test_grid_and_benchmark(spark, separable):
-    rows = estimators.balanced(separable)
-    stage = tuning.default_estimator("logistic_regression").setMaxIter(20)
-    _, table = tuning.grid_search(rows, stage, {"regParam": [0.001, 50.0]}, k=3)
+    model, table = tuning.grid_search(separable, "random_forest", {"depth": [0, 4]}, k=3,
+                                      fixed={"trees": 10})
     best = table.collect()
-    assert best[0]["f1_macro"] >= best[1]["f1_macro"] and "0.001" in best[0]["params"]
+    assert best[0]["f1_macro"] > best[1]["f1_macro"] and best[0]["params"] == '{"depth": 4}'
+    assert max(tree.depth for tree in model.stages[0].trees) > 0
     split = splits.stratified_split(separable, "label", "id")
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     options = {"logistic_regression": {"max_iter": 20}, "random_forest": {"trees": -1}}

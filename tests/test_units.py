@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens import params
@@ -13,7 +14,8 @@ from marketlens.functions import lexicon as lex
 from marketlens.functions import text as tx
 from marketlens.lexicons import DEFAULT_LEXICON, Lexicon
 from marketlens.operators import (
-    align, embedding, ensemble, heuristic, indicators, lemmas, metrics, splits, vocabulary)
+    align, embedding, ensemble, features, heuristic, indicators, lemmas, metrics, splits,
+    standardise, vocabulary)
 from marketlens.sources import news, prices
 
 DAY = dt.date(2024, 1, 1)
@@ -334,3 +336,70 @@ def test_daily_series_payload(spark):
     rows = prices.flatten_daily_series(df, "body", ["open", "close"]).orderBy("date").collect()
     assert [tuple(r) for r in rows] == [(dt.date(2024, 1, 2), None, 2.0),
                                         (dt.date(2024, 1, 3), 1.5, None)]
+
+
+# --- dates, unions and repeated ids ----------------------------------------------------------
+
+@pytest.mark.parametrize("text, expected", [
+    ("2024-01-05", "2024-01-05 00:00:00"), ("2024-01-05T10:20:30", "2024-01-05 10:20:30"),
+    ("Jan 5, 2024", "2024-01-05 00:00:00"), ("January 5, 2024 10:20", "2024-01-05 10:20:00"),
+    ("01/05/2024", "2024-01-05 00:00:00"), ("2024/01/05 10:20:30", "2024-01-05 10:20:30"),
+    ("Fri, 05 Jan 2024 10:00:00 GMT", "2024-01-05 10:00:00"),
+    ("5 Jan 2024", "2024-01-05 00:00:00"),
+    ("2024-01-05T23:30:00-05:00", "2024-01-06 04:30:00"),
+    ("2024-01-05T01:15:00+05:30", "2024-01-04 19:45:00"),
+    ("2024-01-05T23:30:00Z", "2024-01-05 23:30:00"), ("", None), ("n/a", None), (None, None),
+    ("13/45/2024", None)])
+def test_lenient_dates(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "raw string")
+    got = df.select(cal.parse_lenient("raw").alias("t"), cal.unparsed("raw").over(
+        Window.partitionBy(F.lit(0))).alias("bad")).first()
+    assert got["t"] == (expected and dt.datetime.fromisoformat(expected))
+    assert got["bad"] == (text is not None and text != "" and expected is None)
+
+
+def test_articles_with_missing_dates_align(spark):
+    body = '{"articles": [{"title": "a", "publishedAt": "2024-01-02T10:00:00Z"}, {"title": "b"}]}'
+    articles = news.flatten_articles(spark.createDataFrame([(body,)], "v string"), F.col("v"))
+    assert dict(articles.dtypes)["published_at"] == "timestamp_ntz"
+    bars = spark.createDataFrame(
+        [("x", DAY + dt.timedelta(days=1), 100), ("x", DAY + dt.timedelta(days=2), 105)],
+        "ticker string, date date, close long")
+    rows = align.align_untagged_news(articles, bars).collect()
+    assert [(r["title"], r["label"]) for r in rows] == [("a", 2)]
+    company = spark.createDataFrame(
+        [('[{"headline": "c", "datetime": 1704189600}]', 7)], "v string, ticker int")
+    both = news.union_news(articles, news.flatten_company_news(company, F.col("v"), "ticker"),
+                           spark.createDataFrame([("d", "01/02/2024")],
+                                                 "title string, published_at string"))
+    assert {r["title"]: str(r["published_at"]) for r in both.collect()} == {
+        "a": "2024-01-02 10:00:00", "b": "None", "c": "2024-01-02 10:00:00",
+        "d": "2024-01-02 00:00:00"}
+
+
+def test_split_keeps_null_labels(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 != 0, F.col("id") % 3)
+                                  .alias("label"))
+    out = splits.stratified_split(df, "label", "id")
+    assert out.columns == ["id", "label", "is_test"]
+    sizes = {r["label"]: (r["n"], r["t"]) for r in out.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert sizes == {None: (100, 20), 0: (300, 60), 1: (300, 60), 2: (300, 60)}
+
+
+def test_repeated_ids_have_their_own_norms(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (2, "beta gamma")],
+                                 "id long, clean_text string")
+    vocab = vocabulary.fit_vocabulary(docs, "clean_text", min_df=1)
+    weights = vocabulary.tfidf_transform(docs, vocab, "clean_text", "id")
+    norms = weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    assert {r["id"]: round(r["n"], 9) for r in norms} == {1: 2.0, 2: 1.0}
+    matrix = features.feature_matrix(docs, vocab, max_terms=10)
+    rows = matrix.collect()
+    assert len(rows) == 3 and len({str(r["features"]) for r in rows if r["id"] == 1}) == 1
+
+
+def test_vector_stats_cover_every_position(spark):
+    df = spark.createDataFrame([([1.0] * 70,), ([3.0] * 70,)], "x array<double>")
+    stats = standardise.vector_stats(df, "x").collect()
+    assert len(stats) == 70 and all((r["mean"], r["std"]) == (2.0, 1.0) for r in stats)
