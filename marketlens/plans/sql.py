@@ -123,11 +123,11 @@ VIEWS = {
     "bars": _bars("lineitem", "l_suppkey", "l_shipdate", "l_extendedprice",
                   "CAST(l_quantity AS BIGINT)",
                   ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]),
-    "ticks_bars": _bars("events WHERE event_type IN ('view', 'click', 'purchase')", "user_id",
+    "ticks_bars": _bars("events", "user_id",
                         "ts", "value", "1", ["ts", "event_id"]),
     "headlines": f"""SELECT event_id AS id, user_id AS ticker, ts AS published_at,
                             {_TITLE} AS title
-                     FROM events WHERE event_type IN ('error', 'signup')""",
+                     FROM events""",
     "weights": f"""SELECT id, model, {_weight('d', 0, 1, 52)}, {_weight('n', 1, 1, 1)},
                           {_weight('u', 2, 98, 47)}
                    FROM (SELECT id, model,

@@ -85,9 +85,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticks_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars that share instruments and dates with `headlines`."""
-    events = table(spark, sf_dir, "events")
-    ticks = events.where(F.col("event_type").isin("view", "click", "purchase"))
-    return _bars(ticks.select(
+    return _bars(table(spark, sf_dir, "events").select(
         F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"),
         _cents("value").alias("c"), F.lit(1).cast("long").alias("q"),
         F.struct("ts", "event_id").alias("at")))
@@ -99,7 +97,7 @@ def title_of(event_id: str = "event_id") -> Column:
 
 
 def headlines_from(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_type").isin("error", "signup")).select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("ticker"),
         F.col("ts").alias("published_at"), title_of().alias("title"))
 

@@ -138,10 +138,13 @@ def keyword_count(spark, sf):
 
 
 @query("null_text_to_empty",
-       "SELECT doc_id, coalesce(CASE WHEN lang <> 'fr' THEN text END, '') AS text FROM documents")
+       "SELECT doc_id, text FROM documents "
+       "UNION ALL SELECT doc_id, '' FROM documents WHERE lang = 'fr'")
 def null_text_to_empty(spark, sf):
-    """French texts stand in for missing ones."""
-    docs = _docs(spark, sf, "lang").withColumn("text", F.when(F.col("lang") != "fr", F.col("text")))
+    """All texts, with a missing one beside every French text."""
+    docs = _docs(spark, sf, "lang")
+    missing = docs.where("lang = 'fr'").withColumn("text", F.lit(None).cast("string"))
+    docs = docs.unionByName(missing)
     return docs.select("doc_id", tx.null_text_to_empty("text").alias("text"))
 
 
