@@ -167,10 +167,9 @@ def _descend(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.n
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray,
                  ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and intercept; both classes weigh the same."""
-    starts = np.cumsum([0, *(len(at) for at, _ in rows)])
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), np.diff(starts))
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     share = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum()))
     sign = np.where(good, 1.0, -1.0)
 
@@ -242,11 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     found = sorted((texts.select("doc_id", "text", "quality").mapInArrow(
         made, "doc_id long, quality int, at binary, value binary").collect()),
         key=lambda r: (r["doc_id"], r["quality"], r["at"], r["value"]))[:fit_rows]
-    rows = [(np.frombuffer(r["at"], "<u2").astype(np.int64),
-             np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in found]
     good = np.array([r["quality"] == 1 for r in found], bool)
     apart = np.array([zlib.crc32(str(r["doc_id"]).encode()) % CALIBRATE == 0 for r in found],
                      bool)
+    rows = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["value"], "<f4")) for r in found]
+    del found
     if min(good.sum(), (~good).sum()) < MIN_CLASS or not (~apart).any():
         return None
     train = [i for i in range(len(rows)) if not apart[i]]
