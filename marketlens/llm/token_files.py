@@ -13,7 +13,9 @@ in the whole collection is the part's offset, a running sum over one total per p
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +27,63 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from marketlens.llm.common import table
+from marketlens.llm.token_counts import byte_letters
 from marketlens.sources.workspace import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-#: Remembered pieces before a worker's table starts anew.
-MAX_PIECES = 700_000
+#: Pieces that one generation of a worker's table holds.
+MAX_PIECES = 400_000
 # Cuts before white space that follows something else. The split pattern of byte-level BPE
 # cuts there too, so the parts encode as they do in the text.
 _PIECES = re.compile(r"\s*\S+|\s+")
+# Fixed value: the split pattern of byte-level BPE, for ASCII text.
+_ASCII_PARTS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 # Characters that one library takes as white space and another may not, and special strings:
 # texts with these are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]|<\\|")
 
 
 class _Pieces(dict):
-    """Piece to its ids, as little-endian 32-bit integers."""
+    """Piece to its ids, as little-endian 32-bit integers.
+
+    Pieces are kept in two generations: when the newer is full it becomes the older and the
+    older is dropped, so pieces in use stay. A new piece is split as the library's
+    pre-tokenizer does it, and its parts, which many pieces share, are kept likewise.
+    """
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        found = self[piece] = np.array(ids, "<u4").tobytes()
+        found = self.older.get(piece)
+        if found is None:
+            found = b"".join(map(self._part, self._split(piece)))
+        self[piece] = found
+        return found
+
+    def _split(self, piece: str) -> list[str]:
+        if piece.isascii():
+            return [p.translate(self.letters) for p in _ASCII_PARTS.findall(piece)]
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= MAX_PIECES:
+                self.parts.clear()
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            found = self.parts[part] = ids.tobytes()
         return found
 
 
