@@ -3,8 +3,9 @@
 A mask selects some of the words in a window and ignores the rest, so a window still hashes
 alike when an ignored word was replaced. Every window of every benchmark item and of every
 document is hashed under each mask; equal hashes give a place in both texts. Around such a hit
-the two texts are compared word by word on the same diagonal, and the best stretch counts,
-with a reward for equal and a charge for replaced words.
+the two texts are compared word by word on the same diagonal. Of all stretches there whose
+share of equal words is high enough, the one with most equal words counts: a reward for equal
+and a charge for replaced words are such that just these stretches have no negative sum.
 
 Benchmark items come in blocks of bounded size, so any number of items works: each block is
 sent to the executors and all documents are scanned once per block.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from marketlens.llm.common import stored, table
 
 #: 1 selects a word, 0 ignores it.
 MASKS = ("1111111", "111101111", "11101101011")
-#: Words that must be equal in a stretch, share of equal words in it, charge for a different one.
-MIN_EQUAL, MIN_SHARE, CHARGE = 12, 0.8, 2
+#: Words that must be equal in a stretch, share of equal words in it.
+MIN_EQUAL, MIN_SHARE = 12, 0.8
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 16 << 20
 #: Bits of the table that sorts out most windows before hashes are searched.
@@ -62,12 +64,18 @@ def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def best_stretch(equal: np.ndarray, charge: int = CHARGE) -> tuple[int, int]:
-    """Start and end of the stretch with most equal words less `charge` per different one."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -charge))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[:end + 1])), end
+def best_stretch(equal: np.ndarray, share: float = MIN_SHARE) -> tuple[int, int]:
+    """Start and end of the stretch with most equal words among all of at least that share."""
+    if not equal.any():
+        return 0, 0
+    part = Fraction(share).limit_denominator(1000)
+    total = np.concatenate([[0], np.cumsum(np.where(
+        equal, part.denominator - part.numerator, -part.numerator))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # The first start from which the sum up to each end is not negative.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(count - count[start]))
+    return int(start[end] + np.argmax(equal[start[end]:end])), end
 
 
 @dataclass(frozen=True)
@@ -119,7 +127,7 @@ class Block:
             equal = own[low:high] == codes[low + shift:high + shift]
             a, b = best_stretch(equal)
             n = int(np.count_nonzero(equal[a:b]))
-            if n >= min(MIN_EQUAL, len(own)) and n >= MIN_SHARE * (b - a):
+            if n >= min(MIN_EQUAL, len(own)):
                 found.append((self.ids[item], low + shift + a, low + shift + b, n))
         return sorted(found)
 

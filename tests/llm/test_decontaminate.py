@@ -71,6 +71,52 @@ def test_best_stretch():
     assert dc.best_stretch(np.zeros(3, bool)) == (0, 0)
 
 
+def brute_stretch(equal):
+    """Most equal words in any stretch with a share of at least 0.8."""
+    n = len(equal)
+    return max((sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1)
+                if 5 * sum(equal[a:b]) >= 4 * (b - a)), default=0)
+
+
+def test_best_of_all_stretches():
+    rng = random.Random(8)
+    for k in range(400):
+        equal = [rng.random() < (0.95, 0.8, 0.7, 0.5)[k % 4] for _ in range(rng.randint(1, 45))]
+        a, b = dc.best_stretch(np.array(equal, bool))
+        assert sum(equal[a:b]) == brute_stretch(equal)
+        assert 5 * sum(equal[a:b]) >= 4 * (b - a)
+        assert a == b or equal[a] and equal[b - 1]
+
+
+def test_more_overlap_is_not_less():
+    item = ["i%d" % i for i in range(44)]
+    block = dc.Block.of([(7, " ".join(item))])
+    copied = list(item)
+    for i in (*range(12, 17), *range(28, 33)):
+        copied[i] = "changed"
+    assert block.search(" ".join(copied[:12])) == [(7, 0, 12, 12)]
+    # 23 of 28 words is enough, 34 of 44 is not.
+    assert block.search(" ".join(copied)) == [(7, 0, 28, 23)]
+
+
+def test_every_stretch_that_a_seed_hits():
+    rng = random.Random(9)
+    lost = found = 0
+    for n, share in ((30, 0.2), (59, 0.2), (59, 0.25)):
+        item = ["i%d" % i for i in range(n)]
+        block = dc.Block.of([(1, " ".join(item))])
+        for _ in range(100):
+            equal = [rng.random() >= share for _ in item]
+            text = [w if e else "changed" for w, e in zip(item, equal)]
+            seeded = any(all(equal[i + j] for j, keep in enumerate(mask) if keep == "1")
+                         for mask in dc.MASKS for i in range(n - len(mask) + 1))
+            hit = bool(block.search(" ".join(text)))
+            assert hit == (seeded and brute_stretch(equal) >= dc.MIN_EQUAL)
+            found += hit
+            lost += not hit
+    assert found > 100 and lost
+
+
 def test_ignored_words_do_not_change_a_hash():
     a, b = dc._hashes("a b c d e f g h i".split()), dc._hashes("a b c d X f g h i".split())
     assert (dc.seed_hashes(a, "111101111") == dc.seed_hashes(b, "111101111")).all()
