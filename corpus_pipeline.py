@@ -29,7 +29,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every piece of every remaining document in the training sequences."""
-    return packing.pack_documents(docs)
+    # One document of each near-duplicate class is left by now.
+    return packing.pack_documents(docs, cluster=packing.word_sequence(docs["text"]))
 
 
 STAGES: list[tuple[str, Stage]] = [

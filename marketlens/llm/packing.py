@@ -1,8 +1,8 @@
 """Conflict-constrained best-fit packing of documents into fixed-length sequences.
 
 A document longer than a sequence fills whole sequences of its own; what is left, or a shorter
-document, is a piece. Two pieces conflict if they share a source or a duplicate cluster. Bins
-are ordered by their free room and carry a bitmap of their sources and one of their clusters.
+document, is a piece. Two pieces conflict if they share a source or a duplicate cluster, which
+for a table of documents is the class of near-duplicates. Bins are ordered by their free room and carry a bitmap of their sources and one of their clusters.
 Pieces come longest first; each goes to the tightest bin with enough room that does not
 conflict, found by walking from the first bin with enough room to its successors, and opens a
 bin if there is none.
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.llm import neardup
 from marketlens.llm.common import SPACE, stored, table
 
 CAPACITY = 2048
@@ -73,6 +74,10 @@ def word_tokens(text: Column) -> Column:
     return F.size(words).cast("long") + 1
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per piece: (doc_id, piece, start, n_tokens, bin, offset, source).
 
@@ -82,6 +87,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     A null source or cluster conflicts with nothing; a null, zero or negative length gives no
     piece. Rows are numbered first, so ids may be null or repeat. No rows give no rows.
     """
+    return _pack(_numbered(docs.select("doc_id", "source", "cluster", "n_tokens")),
+                 capacity, group_rows)
+
+
+def _pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`pack` of rows that are numbered already."""
     full = F.floor(F.col("n_tokens") / capacity)
     rest = F.col("n_tokens") - full * capacity
     pieces = F.transform(
@@ -90,8 +101,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
                            F.when(i < full, capacity).otherwise(rest).cast("long").alias("n_tokens")))
     numbered = stored(
         docs.where("n_tokens > 0").select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "source", "cluster",
-            F.inline(pieces)), "pack-pieces")
+            "row", "doc_id", "source", "cluster", F.inline(pieces)), "pack-pieces")
     groups = max(1, -(-numbered.count() // group_rows))
     dealt = numbered.withColumn("group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
 
@@ -114,11 +124,31 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     return dealt.groupBy("group").applyInArrow(packed, schema)
 
 
-def pack_documents(docs: DataFrame, **options: int) -> DataFrame:
-    """Packs a documents table: words as tokens, equal word sequences as one cluster."""
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), f"[{SPACE}]+"), "")
-    return pack(docs.select("doc_id", "source", F.md5(F.array_join(words, " ")).alias("cluster"),
-                            word_tokens(docs["text"]).alias("n_tokens")), **options)
+def word_sequence(text: Column) -> Column:
+    """Cluster of the texts with the same lower-cased words."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACE}]+"), "")
+    return F.md5(F.array_join(words, " "))
+
+
+def pack_documents(docs: DataFrame, cluster: Column | None = None, **options: int) -> DataFrame:
+    """Packs a documents table: words as tokens, near-duplicates as one cluster.
+
+    Texts count lower-cased and without outer white space, so those of the same word sequence
+    are one class, as are all without words. A `cluster` given takes the place of the classes.
+    """
+    length = word_tokens(docs["text"]).alias("n_tokens")
+    if cluster is not None:
+        return pack(docs.select("doc_id", "source", cluster.alias("cluster"), length), **options)
+    space = F.lit("".join(map(chr, (32, *range(9, 14)))))
+    plain = F.lower(F.btrim(F.coalesce("text", F.lit("")), space))
+    _, classes = neardup.classify(docs.select("doc_id", plain.alias("text")))
+    # A node alone is its own root; only the others are joined, so that a hot one can be split.
+    moved = stored(classes.where("node <> root"), "pack-classes")
+    # Numbered before the join, so that its order does not matter.
+    rows = _numbered(docs.select(
+        "doc_id", "source", length, neardup.node_id(plain).alias("node")))
+    return _pack(rows.join(moved, "node", "left").withColumn(
+        "cluster", F.coalesce("root", "node")), **options)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

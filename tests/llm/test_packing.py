@@ -7,7 +7,7 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marketlens.llm import packing
+from marketlens.llm import neardup, packing
 
 PIECE = st.tuples(st.integers(1, 20), st.sampled_from([None, "a", "b", "c", "d"]),
                   st.sampled_from([None, 1, 2, 3, 4, 5]))
@@ -91,6 +91,37 @@ def test_edges(spark):
         1: 1, 2: 1, 3: 4}
 
 
+def test_near_copies_never_share_a_bin(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
+        near = [*words[:-1], "other"]
+        texts = [words, near, [*words, "É"], [*words, "é"]]
+        rows += [(4 * k + i, "  ".join(t).upper() + "\n", f"s{4 * k + i}")
+                 for i, t in enumerate(texts)]
+    rows += [(100, None, "a"), (101, " \n", "b"), (102, "", "c"), (None, "one more", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = packing.pack_documents(docs, capacity=2000).collect()
+    assert len(placed) == len(rows)
+    cluster = {i: i // 4 for i in range(80)} | {100: -1, 101: -1, 102: -1, None: None}
+    held = defaultdict(list)
+    for r in placed:
+        held[r["bin"]].append(cluster[r["doc_id"]])
+    assert all(len(c) == len(set(c)) for c in held.values())
+    assert len(held) == 4
+
+
+def test_query_keeps_near_duplicates_apart(spark, sf_dir):
+    docs = neardup.table(spark, sf_dir, "documents")
+    found = {r["doc_id"]: r["class_id"] for r in neardup.op7_neardup(spark, sf_dir).collect()}
+    assert len(found) == docs.count() > len(set(found.values()))
+    held = defaultdict(list)
+    for r in packing.op8_packing(spark, sf_dir).collect():
+        held[r["bin"]].append(found[r["doc_id"]])
+    assert all(len(c) == len(set(c)) for c in held.values())
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     lengths = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) + 1 for r in docs}
