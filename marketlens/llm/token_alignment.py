@@ -33,7 +33,7 @@ from marketlens.llm.common import stored, table
 
 TOKENIZER_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text in a block, and A tokens of a lane.
-BLOCK_CHARS, LANE = 6 << 20, 256
+BLOCK_CHARS, LANE = 2 << 20, 256
 #: Bits of an id in a pair of two.
 _BITS = 20
 
