@@ -7,6 +7,9 @@ the two texts are compared word by word on the same diagonal. Of all stretches t
 share of equal words is high enough, the one with most equal words counts: a reward for equal
 and a charge for replaced words are such that just these stretches have no negative sum.
 
+Items shorter than the shortest mask have a mask of their own length that selects every word.
+In scripts without spaces every character is a word.
+
 Benchmark items come in blocks of bounded size, so any number of items works: each block is
 sent to the executors and all documents are scanned once per block.
 """
@@ -30,16 +33,21 @@ from marketlens.llm.common import stored, table
 MASKS = ("1111111", "111101111", "11101101011")
 #: Words that must be equal in a stretch, share of equal words in it.
 MIN_EQUAL, MIN_SHARE = 12, 0.8
+#: Items of fewer words are no evidence inside a text; only a text of just these words counts.
+MIN_WORDS = 3
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 16 << 20
 #: Bits of the table that sorts out most windows before hashes are searched.
 _FILTER_BITS = 22
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(r"[^\W_]+")
+# Code points of scripts that are written without spaces.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters and digits: case and punctuation do not matter."""
+    """Lower-cased runs of letters and digits, or single characters of an unspaced script: case
+    and punctuation do not matter."""
     return _WORD.findall((text or "").lower())
 
 
@@ -82,59 +90,79 @@ def best_stretch(equal: np.ndarray, share: float = MIN_SHARE) -> tuple[int, int]
 class Block:
     """Benchmark items ready for the search: word hashes of all items in one array."""
 
-    ids: list[int]
+    ids: list[int | None]
     codes: np.ndarray
     starts: np.ndarray
-    seeds: list[tuple[np.ndarray, np.ndarray]]
+    #: Per mask: hashes in order and the places of their windows in `codes`.
+    seeds: list[tuple[str, np.ndarray, np.ndarray]]
     filter: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]]) -> Block:
+    def of(cls, items: list[tuple[int | None, str | None]]) -> Block:
         parts = [_hashes(words_of(t)) for _, t in items]
         starts = np.cumsum([0, *map(len, parts)])
         codes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         bits = np.zeros(1 << _FILTER_BITS, bool)
         seeds = []
-        for mask in MASKS:
-            each = [seed_hashes(p, mask) for p in parts]
+        least = min(map(len, MASKS))
+        short = sorted({len(p) for p in parts if 0 < len(p) < least})
+        for mask in (*MASKS, *("1" * n for n in short)):
+            # A short mask is for the items of just its length.
+            each = [seed_hashes(p, mask) if len(mask) >= least or len(p) == len(mask)
+                    else p[:0] for p in parts]
             at = np.concatenate([starts[i] + np.arange(len(h)) for i, h in enumerate(each)]
                                 or [np.empty(0, np.int64)]).astype(np.int64)
             value = np.concatenate(each or [np.empty(0, np.uint64)])
             order = np.argsort(value, kind="stable")
-            seeds.append((value[order], at[order]))
+            seeds.append((mask, value[order], at[order]))
             bits[value >> np.uint64(64 - _FILTER_BITS)] = True
         return cls([i for i, _ in items], codes, starts, seeds, bits)
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, first word, end word, equal words) of every verified overlap."""
+        """(item id, first word, end word, equal words) of each item's best verified overlap."""
         if not len(self.codes):
             return []
         codes = _hashes(words_of(text))
-        diagonals: set[tuple[int, int]] = set()
-        for mask, (values, places) in zip(MASKS, self.seeds):
+        diagonals = [np.empty((0, 2), np.int64)]
+        for mask, values, places in self.seeds:
+            if len(mask) < MIN_WORDS and len(codes) != len(mask):
+                continue
             own = seed_hashes(codes, mask)
             at = np.flatnonzero(self.filter[own >> np.uint64(64 - _FILTER_BITS)])
             first = np.searchsorted(values, own[at], "left")
-            last = np.searchsorted(values, own[at], "right")
-            for i, a, b in zip(at[first < last], first[first < last], last[first < last]):
-                for place in places[a:b]:
-                    item = int(np.searchsorted(self.starts, place, "right")) - 1
-                    diagonals.add((item, int(i) - int(place - self.starts[item])))
-        found = []
-        for item, shift in sorted(diagonals):
+            times = np.searchsorted(values, own[at], "right") - first
+            at, first, times = at[times > 0], first[times > 0], times[times > 0]
+            if len(at):
+                # All postings of all hits at once.
+                turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                place = places[np.repeat(first, times) + turn]
+                item = np.searchsorted(self.starts, place, "right") - 1
+                shift = np.repeat(at, times) - (place - self.starts[item])
+                diagonals.append(np.unique(np.stack([item, shift], axis=1), axis=0))
+        best: dict[int, tuple[int, int, int]] = {}
+        # The same words of an item and a text give the same result, wherever they stand.
+        known: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+        for item, shift in np.unique(np.concatenate(diagonals), axis=0).tolist():
             own = self.codes[self.starts[item]:self.starts[item + 1]]
             low, high = max(0, -shift), min(len(own), len(codes) - shift)
-            equal = own[low:high] == codes[low + shift:high + shift]
-            a, b = best_stretch(equal)
-            n = int(np.count_nonzero(equal[a:b]))
-            if n >= min(MIN_EQUAL, len(own)):
-                found.append((self.ids[item], low + shift + a, low + shift + b, n))
-        return sorted(found)
+            if item in best and best[item][0] >= high - low:
+                continue
+            mine, theirs = own[low:high], codes[low + shift:high + shift]
+            pair = mine.tobytes(), theirs.tobytes()
+            if pair not in known:
+                equal = mine == theirs
+                a, b = best_stretch(equal)
+                known[pair] = a, b, int(np.count_nonzero(equal[a:b]))
+            a, b, n = known[pair]
+            if n >= min(MIN_EQUAL, len(own)) and n > best.get(item, (0,))[0]:
+                best[item] = n, low + shift + a, low + shift + b
+        return sorted(((self.ids[item], a, b, n) for item, (n, a, b) in best.items()),
+                      key=lambda f: (f[0] is not None, *(v or 0 for v in f)))
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """The items in blocks of about `block_bytes` of text, one block on the driver at a time."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // block_bytes)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
@@ -142,7 +170,8 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[
         items = stored(items, "benchmark-items")
     for i in range(n):
         rows = (items if n == 1 else items.where(part == i)).collect()
-        yield Block.of(sorted((r["item_id"], r["text"]) for r in rows))
+        yield Block.of(sorted(((r["item_id"], r["text"]) for r in rows),
+                              key=lambda i: (i[0] is not None, i[0] or 0, i[1])))
 
 
 OVERLAPS = "array<struct<item_id:bigint,start:int,end:int,n_equal:int>>"
@@ -170,11 +199,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` without its text, with `overlaps`: (item_id, start, end, n_equal), ordered.
 
-    `start` and `end` are words of the document, numbered from 0. Null and empty texts and
-    items have no words and no overlaps; items of fewer than seven words cannot be found; an
-    item shorter than `MIN_EQUAL` words must stand there in full. Rows are searched each on their own. A column of `docs` called overlaps is
-    replaced. One block of items is one pass. More blocks are a pass each; their few hits are
-    joined back by the texts' digest, with the same result.
+    An item has one overlap with a text at most, the one with most equal words, of several the
+    first. `start` and `end` are words of the document, numbered from 0. Null and empty texts
+    and items have no words and no overlaps; an item shorter than `MIN_EQUAL` words must stand
+    there in full, one shorter than `MIN_WORDS` must be the whole text. Items without an id are items of their own, reported with a null id; items
+    that repeat an id with another text are each reported. Rows are searched each on their own,
+    whatever their length. An empty table of documents gives no rows. A column of `docs` called
+    overlaps is replaced. Blocks of items are a pass each; their few hits are joined back by the
+    texts' digest, with the same result for any number of blocks.
     """
     names = [c for c in docs.columns if c not in ("text", "overlaps")]
     texts = docs.select(*(docs[c] for c in names), docs["text"].alias("_text"))

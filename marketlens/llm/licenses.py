@@ -102,7 +102,9 @@ def scan(docs: DataFrame, match: float = MATCH, anchors: int = ANCHORS) -> DataF
 
     `place` is the word at which the template starts; it is negative if the text begins
     inside the template. Null and empty texts have no words and no notices; repeated rows are
-    scanned each. Columns of `docs` called n_words or found are replaced.
+    scanned each, and notices with equal places are all listed. Texts are scanned whole, at
+    any length. An empty table gives no rows. Columns of `docs` called n_words or found are
+    replaced.
     """
     templates = _all_templates()
     names = [c for c in docs.columns if c not in ("n_words", "found")]
@@ -112,8 +114,12 @@ def scan(docs: DataFrame, match: float = MATCH, anchors: int = ANCHORS) -> DataF
     idf = {w: math.log((rows + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
 
     index: dict[str, list[int]] = {}
-    for t, (_, words, _, _) in enumerate(templates):
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:anchors]
+    for t, (_, words, key, _) in enumerate(templates):
+        # Words that some document holds, the rarest first. A notice has to hold the key
+        # phrase, so with the phrase's rarest word among the anchors none is overlooked.
+        known = sorted([w for w in set(words) if df.get(w)] or set(words),
+                       key=lambda w: (-idf[w], w))
+        rare = {*known[:anchors], *[w for w in known if w in key][:1]}
         for place, word in enumerate(words):
             if word in rare:
                 index.setdefault(word, []).append(t * _PLACE + _ORIGIN - place)

@@ -377,14 +377,18 @@ def assign(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> Da
 
     The class id is the smallest doc_id in the class. Exactly one row of a class is kept: one
     with that id, of the smallest digest; `copies` tells how many rows are alike even in id
-    and text, of which one stays.
+    and text, of which one stays. Texts are compared whole, at any length. An empty table gives
+    no rows.
     """
     rows, classes = classify(docs, least, block)
     # Copies of one text and id are counted first, so a hot text meets its class as few rows.
     held = (rows.groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
             .join(classes, "node"))
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
-    heads = held.groupBy("root").agg(smallest.alias("head"), F.sum("copies").alias("class_rows"))
+    # A table of its own, so that the join with a hot class can be split.
+    held = stored(held, "class-rows")
+    heads = stored(held.groupBy("root").agg(
+        smallest.alias("head"), F.sum("copies").alias("class_rows")), "class-heads")
     return stored(held.join(heads, "root").select(
         "doc_id", "node", F.col("head.doc_id").alias("class_id"), "class_rows", "copies",
         (F.col("head.doc_id").eqNullSafe(F.col("doc_id"))
@@ -407,6 +411,7 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document, its size, and whether the document stays."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = assign(docs)
-    return found.select("doc_id", "class_id", "class_rows", "kept",
-                        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
+    # Of rows that are alike even in id and text, the first stays.
+    return assign(docs).select("doc_id", "class_id", "class_rows", "kept", copies).withColumn(
+        "kept", F.col("kept") & (F.col("copy") == 1))

@@ -224,7 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     chosen = stored(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
                     .select("doc_id", F.col("quality").cast("int").alias("quality"))
                     .orderBy(order, "doc_id", "quality").limit(fit_rows), "quality-labels")
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # Rows that repeat an id are bounded, too, before any text is read in Python.
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(
+        F.xxhash64("doc_id", "quality", "text"), "doc_id", "quality").limit(fit_rows)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,8 +262,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     """`docs` without its text, with the base counts, base_failed, p_good and kept.
 
     A null or empty text has no words and fails the base rule. Without a model p_good is null
-    and the base rules decide alone. Every row is judged on its own. Columns of `docs` with
-    these names are replaced.
+    and the base rules decide alone. Every row is judged on its own and whole, at any length.
+    An empty table gives no rows. Columns of `docs` with these names are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
            "base_failed", "p_good", "kept"]

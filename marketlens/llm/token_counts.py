@@ -17,7 +17,8 @@ Tables are bounded and restarted when full; counts do not depend on what they ho
 
 Chunks of a text are summarised as maps: the fragment before their first white space, the
 count between first and last, and the fragment after the last. Maps compose associatively, so
-a log-depth prefix scan gives the count of every prefix of chunks and of the whole.
+a prefix scan gives the count of every prefix of chunks and of the whole. Its upward half, a
+tree of log depth, is all that the count of the whole needs, and holds every character once.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LIMIT = 2048
 CHUNK = 1 << 16
 #: Remembered words, and transitions, before a table starts anew.
 MAX_WORDS, MAX_STEPS = 500_000, 400_000
+#: Bytes of the longest word that is remembered.
+MAX_WORD_BYTES = 256
 #: Fixed value: the split pattern of the tokenizer file, white space spelled out.
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x85\p{Z}\p{L}\p{N}]+")
@@ -68,6 +71,8 @@ class Words(dict):
         self.count = count
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > MAX_WORD_BYTES:
+            return self.count(word)
         if len(self) >= MAX_WORDS:
             self.clear()
         found = self[word] = self.count(word)
@@ -201,14 +206,21 @@ class CountTransducer:
             return a[0], a[1], a[2] + b[0]
         return a[0], a[1] + self._joint(a[2] + b[0]) + b[1], b[2]
 
+    def reduce(self, maps: list[Map]) -> Map:
+        """Composition of all maps, level by level."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i]
+                    for i in range(0, len(maps), 2)]
+        return maps[0]
+
     def scan(self, maps: list[Map]) -> list[Map]:
-        """Composition of every prefix of `maps`, in as many rounds as the length has bits."""
-        reach = 1
-        while reach < len(maps):
-            maps = [self.compose(maps[i - reach], m) if i >= reach else m
-                    for i, m in enumerate(maps)]
-            reach *= 2
-        return maps
+        """Composition of every prefix of `maps`: pairs upwards, then their prefixes downwards."""
+        if len(maps) < 2:
+            return maps
+        pairs = self.scan([self.compose(maps[i], maps[i + 1])
+                           for i in range(0, len(maps) - 1, 2)])
+        return [maps[0], *(pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i])
+                           for i in range(1, len(maps)))]
 
     def total(self, m: Map) -> int:
         return self._joint(m[0]) + m[1] + self._joint(m[2] or "")
@@ -217,7 +229,7 @@ class CountTransducer:
         if not text:
             return 0
         maps = [self.chunk_map(text[i:i + chunk]) for i in range(0, len(text), chunk)]
-        return self.total(self.scan(maps)[-1])
+        return self.total(self.reduce(maps))
 
 
 _compiled: dict[str, CountTransducer] = {}

@@ -12,99 +12,22 @@ in the whole collection is the part's offset, a running sum over one total per p
 
 from __future__ import annotations
 
-import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
+from marketlens.llm.byte_bpe import byte_bpe
 from marketlens.llm.common import table
-from marketlens.llm.token_counts import byte_letters
 from marketlens.sources.workspace import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-#: Pieces that one generation of a worker's table holds.
-MAX_PIECES = 400_000
-# Cuts before white space that follows something else. The split pattern of byte-level BPE
-# cuts there too, so the parts encode as they do in the text.
-_PIECES = re.compile(r"\s*\S+|\s+")
-# Fixed value: the split pattern of byte-level BPE, for ASCII text.
-_ASCII_PARTS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
-# Characters that one library takes as white space and another may not, and special strings:
-# texts with these are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85]|<\\|")
-
-
-class _Pieces(dict):
-    """Piece to its ids, as little-endian 32-bit integers.
-
-    Pieces are kept in two generations: when the newer is full it becomes the older and the
-    older is dropped, so pieces in use stay. A new piece is split as the library's
-    pre-tokenizer does it, and its parts, which many pieces share, are kept likewise.
-    """
-
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
-        self.parts: dict[str, bytes] = {}
-        self.letters = dict(enumerate(byte_letters()))
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(piece)
-        if found is None:
-            found = b"".join(map(self._part, self._split(piece)))
-        self[piece] = found
-        return found
-
-    def _split(self, piece: str) -> list[str]:
-        if piece.isascii():
-            return [p.translate(self.letters) for p in _ASCII_PARTS.findall(piece)]
-        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= MAX_PIECES:
-                self.parts.clear()
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            found = self.parts[part] = ids.tobytes()
-        return found
-
-
-_pieces: dict[str, _Pieces] = {}
-
-
-def pieces_of(path: str) -> _Pieces:
-    """The tokenizer file with its table of pieces, once per worker."""
-    if path not in _pieces:
-        _pieces[path] = _Pieces(Tokenizer.from_file(path))
-    return _pieces[path]
-
-
-def encode(pieces: _Pieces, text: str | None) -> bytes:
-    """All ids of a text as the library gives them, as little-endian 32-bit integers."""
-    if not text:
-        return b""
-    if _ODD.search(text):
-        return np.array(pieces.tokenizer.encode(text, add_special_tokens=False).ids,
-                        "<u4").tobytes()
-    return b"".join(map(pieces.__getitem__, _PIECES.findall(text)))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID,
@@ -123,13 +46,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                .select("doc_id", F.spark_partition_id().alias("part"), "text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        end, before = np.array([end_id], "<u4").tobytes(), 0
+        bpe, end, before = byte_bpe(tokenizer), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             # A few hundred documents at a time, so that list offsets stay small.
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
-                ids = [encode(pieces, t.as_py()) + end for t in some.column(2)]
+                ids = [bpe.encode(t.as_py()).astype("<u4").tobytes() + end
+                       for t in some.column(2)]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]),
@@ -158,16 +81,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the files; `start` counts all ids before a document.
 
-    Part totals come from the length column alone, one row per part.
+    Part totals come from the length column alone, one row per part, so they are small at any
+    size of the collection and are broadcast; no id is exchanged.
     """
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.join(totals.select("part", before.alias("before")), "part").select(
+    offsets = totals.select("part", before.alias("before"))
+    return files.join(F.broadcast(offsets), "part").select(
         "doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, n_tokens) of all documents; the ids are not read."""
+    return spark.read.parquet(path).select("doc_id", "n_tokens")
+
+
+def read_some(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """`read_tokens` of the documents from `low` to `high`. Files are in order of doc_id, so
+    the scan skips row groups and pages outside by their statistics."""
+    return read_tokens(spark, path).where(F.col("doc_id").between(low, high))
+
+
 def ids_crc32(tokens: DataFrame) -> DataFrame:
     """`tokens` with the checksum of each id list (as little-endian 32-bit) in its place."""
     names = [c for c in tokens.columns if c != "ids"]

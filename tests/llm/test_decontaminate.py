@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -132,6 +133,38 @@ def test_edges(spark):
     assert sorted(len(r["overlaps"]) for r in doubled) == [0, 2, 2]
 
 
+def test_short_nameless_and_unspaced_items(spark):
+    six = "one two three four five six"
+    rows = [(1, f"before {six} after", "x"), (2, "one two three four five seven", "x"),
+            (3, "yes", "x"), (4, "yes it is", "x"), (5, "前の文。これは試験の文章です。後", "x"),
+            (6, ITEMS[0][1], "x")]
+    items = [(10, six), (11, "yes"), (12, "これは試験の文章です"), (None, ITEMS[0][1])]
+    for block_bytes in (1 << 24, 100):
+        out = {r["doc_id"]: [(o["item_id"], o["n_equal"]) for o in r["overlaps"]]
+               for r in found_items(spark, rows, items, block_bytes=block_bytes)}
+        assert out == {1: [(10, 6)], 2: [], 3: [(11, 1)], 4: [], 5: [(12, 10)],
+                       6: [(None, len(ITEMS[0][1].split()))]}
+
+
+def test_items_that_share_a_sentence():
+    """2,000 items with one sentence, which a text repeats: one overlap per item."""
+    shared = " ".join(sentence(15, 3))
+    items = [(i, f"start{i} {shared} end{i}") for i in range(2000)]
+    block = dc.Block.of(items)
+    started = time.monotonic()
+    found = block.search(f"{shared} other words " * 20)
+    assert time.monotonic() - started < 10
+    assert [f[0] for f in found] == list(range(2000)) and {f[3] for f in found} == {15}
+
+
+def test_very_long_text():
+    filler = " ".join(f"f{i % 977}" for i in range(400_000))
+    block = dc.Block.of(ITEMS)
+    assert block.search(filler) == []
+    found = block.search(f"{filler} {ITEMS[3][1]} {filler}")
+    assert [f[0] for f in found] == [3] and found[0][1] == 400_000
+
+
 def test_clean_keeps_columns(spark):
     docs = spark.createDataFrame([(1, ITEMS[0][1], "s"), (2, "clean text", "s")],
                                  "doc_id long, text string, overlaps string")

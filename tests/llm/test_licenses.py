@@ -86,3 +86,24 @@ def test_query(spark, sf_dir):
         assert 0 <= r["score"] <= 1
     assert any(r["labels"] == "cc-by-nc" for r in rows)
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_notice_without_its_rarest_words(spark):
+    """A long notice whose rarest words are left out is still proposed by its key phrase."""
+    label, template, key = max(licenses.TEMPLATES, key=lambda t: len(t[1].split()))
+    w = template.split()
+    cut = [x for x in w if x in key.split() or len(x) < 5 or w.index(x) % 9]
+    docs = spark.createDataFrame(
+        [(1, " ".join(w)), (2, " ".join(w[:len(w) * 3 // 4]))] + [(3, " ".join(cut))],
+        "doc_id long, text string")
+    out = {r["doc_id"]: {f["label"] for f in r["found"]}
+           for r in licenses.scan(docs).collect()}
+    assert label in out[1]
+    at = next(i for i in range(len(w)) if w[i:i + len(key.split())] == key.split())
+    if at + len(key.split()) <= len(w) * 3 // 4:
+        assert label in out[2]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert licenses.scan(docs).collect() == []

@@ -183,6 +183,25 @@ def test_empty(spark):
     assert nd.deduplicate(df).collect() == []
 
 
+def test_one_of_all_repeated_rows_is_kept(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, "another text of its own here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    out = nd.op7_neardup(spark, str(tmp_path)).collect()
+    assert len(out) == 4
+    kept = [(r["class_id"], r["doc_id"]) for r in out if r["kept"]]
+    assert sorted(kept) == [(1, 1), (3, 3)]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[:100])],
+                                 "doc_id long, text string")
+    out = {r["doc_id"]: r["class_id"] for r in nd.assign(docs).collect()}
+    assert out == {1: 1, 2: 1, 3: 3}
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet")
             .select("doc_id", "text").collect()]

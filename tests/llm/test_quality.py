@@ -6,6 +6,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marketlens.llm import quality
 
@@ -96,6 +97,16 @@ def test_edges(spark):
     assert quality.score(odd.limit(0), None).collect() == []
 
 
+def test_repeated_ids_are_bounded_before_the_driver(spark):
+    """One id holds most rows; the fit takes no more than its bound."""
+    good = "a quiet morning in the village with bread and coffee on the table "
+    docs = spark.range(3000).select((F.col("id") % 30 == 0).cast("long").alias("doc_id"),
+                                    F.concat(F.lit(good), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)],
+                                   "doc_id long, quality int, toxic int")
+    assert quality.fit(docs, labels, fit_rows=200) is not None
+
+
 def test_keep_good_keeps_columns(spark):
     docs, labels = frames(spark, rows(90, 4))
     left = quality.keep_good(docs, labels)

@@ -1,6 +1,7 @@
 """Transducer counts against the tokenizer library."""
 
 import random
+import resource
 
 import public_tokenizers
 import pytest
@@ -64,6 +65,15 @@ def test_scan_gives_every_prefix():
         assert MACHINE.total(m) == expected(text[:10 * (i + 1)])
 
 
+def test_very_long_text_without_white_space():
+    """16 million characters; memory stays near a few copies of the text."""
+    text = "ab1!" * 4_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert MACHINE.count(text) == 4_000_000 * expected("ab1!" * 50) // 50
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10
+    assert grown < 1500, grown
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, 5), (None, "", 5), (2, "a b", 5), (2, "a b", 5)],
                                "doc_id long, text string, n_tokens int")

@@ -8,8 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marketlens.llm import token_files as tf
@@ -24,26 +23,31 @@ def library(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-def test_encode_equals_library():
-    pieces = tf.pieces_of(PATH)
-    for text in TEXTS:
-        assert np.frombuffer(tf.encode(pieces, text), "<u4").tolist() == library(text)
-
-
-@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r.,'sdt1aX"), st.characters()),
-               max_size=40))
-def test_encode_any_text(text):
-    text = text.encode("utf-8", "ignore").decode("utf-8")
-    got = np.frombuffer(tf.encode(tf.pieces_of(PATH), text), "<u4").tolist()
-    assert got == library(text)
-
-
-def test_small_table(monkeypatch):
-    monkeypatch.setattr(tf, "MAX_PIECES", 2)
-    pieces = tf._Pieces(LIBRARY)
-    text = "one two three one two"
-    assert np.frombuffer(tf.encode(pieces, text), "<u4").tolist() == library(text)
+def test_other_tokenizer_file(spark, tmp_path):
+    """A file with other rules than byte-level BPE's gives the library's ids, too."""
+    name = "word_bpe_49k.json"
+    other = Tokenizer.from_file(public_tokenizers.path(name))
+    docs = spark.createDataFrame([(1, "Some Words, here.")], "doc_id long, text string")
+    tf.write_tokens(docs, str(tmp_path / "other"), tokenizer=name, end_id=7)
+    row = tf.read_tokens(spark, str(tmp_path / "other")).first()
+    assert row["ids"] == other.encode("Some Words, here.", add_special_tokens=False).ids + [7]
+
+
+def test_selective_reads(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"),
+                                    F.concat(F.lit("text "), F.col("id")).alias("text"))
+    path = str(tmp_path / "some")
+    tf.write_tokens(docs, path, parts=4)
+    lengths = tf.read_lengths(spark, path)
+    plan = lengths._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1]
+    assert lengths.count() == 2000
+    some = tf.read_some(spark, path, 1000, 1009)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    # The one exchange is that of the parts' totals.
+    assert "GreaterThanOrEqual(doc_id,1000)" in plan and plan.count("Exchange hash") == 1
+    whole = {r["doc_id"]: r for r in tf.read_tokens(spark, path).collect()}
+    assert sorted(some.collect()) == sorted(whole[i] for i in range(1000, 1010))
 
 
 @pytest.mark.parametrize("delta", [False, True])
