@@ -69,34 +69,60 @@ NEGATION_FACTOR = -0.74
 EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
 QUESTION, MAX_QUESTION = 0.18, 0.96
 NORMALISER = 15.0
-EDGE_PUNCTUATION = r"^[^a-z0-9]+|[^a-z0-9]+$"
+CAPITALS = 0.733
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
+EDGE_PUNCTUATION = r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$"
 
 
 def valence_words(text: Column | str) -> Column:
-    """Lower-cased tokens with edge punctuation and apostrophes removed."""
-    words = split_words(F.lower(null_text_to_empty(text)))
-    bare = F.transform(words, lambda w: F.regexp_replace(
+    """array<struct<w, upper>>: lower-cased tokens without edge punctuation and apostrophes,
+    and whether they stood in capitals."""
+    bare = F.transform(split_words(null_text_to_empty(text)), lambda w: F.regexp_replace(
         F.regexp_replace(w, "['’]", ""), EDGE_PUNCTUATION, ""))
-    return F.filter(bare, lambda w: w != F.lit(""))
+    words = F.filter(bare, lambda w: w != F.lit(""))
+    return F.transform(words, lambda w: F.struct(
+        F.lower(w).alias("w"), ((F.upper(w) == w) & (F.lower(w) != w)).alias("upper")))
+
 
+def mixed_case(words: Column | str) -> Column:
+    """Whether some tokens stand in capitals and some do not: only then capitals stress."""
+    words = _col(words)
+    return (F.exists(words, lambda w: w["upper"]) & F.exists(words, lambda w: ~w["upper"]))
 
-def word_facts(text: Column | str, valence: Mapping[str, float] = DEFAULT_VALENCE) -> Column:
-    """Per token: valence `v`, booster `b`, negation `n`."""
+
+def word_facts(words: str, mixed: str, valence: Mapping[str, float] = DEFAULT_VALENCE) -> Column:
+    """Per token of `valence_words`: valence `v` and booster `b`, both raised for stressed
+    tokens, negation `n`, and whether it is the contrasting conjunction."""
     modifiers = {**{w: BOOST for w in INTENSIFIERS}, **{w: -BOOST for w in DAMPENERS}}
 
     def known(word: Column, table: Mapping[str, float]) -> Column:
         # One probe settles the common case of a word in no table.
         return F.when(word.isin(sorted(table)), lookup(word, table)).otherwise(F.lit(0.0))
 
-    return F.transform(valence_words(text), lambda w: F.struct(
-        known(w, valence).alias("v"), known(w, modifiers).alias("b"),
-        w.isin(NEGATIONS).alias("n")))
+    def fact(token: Column) -> Column:
+        v, b = known(token["w"], valence), known(token["w"], modifiers)
+        stressed = F.col(mixed) & token["upper"]
+        return F.struct(
+            F.when(stressed & (v > 0), v + CAPITALS).when(stressed & (v < 0), v - CAPITALS)
+            .otherwise(v).alias("v"),
+            F.when(stressed & (b != 0), b + CAPITALS).otherwise(b).alias("b"),
+            token["w"].isin(NEGATIONS).alias("n"), (token["w"] == "but").alias("but"))
+
+    return F.transform(_col(words), fact)
+
+
+def contrast(facts: str) -> Column:
+    """Place of the first "but", or null."""
+    return F.nullif(F.array_position(F.col(facts)["but"], True), F.lit(0).cast("long")) - 1
 
 
-def hit_valences(facts: str) -> Column:
+def hit_valences(facts: str, contrast_at: str) -> Column:
     """Valences of the tokens that have one, after boosters and negation in the three
-    preceding tokens. `facts` must be a column: it is indexed around every hit."""
+    preceding tokens and after the contrast: what stands before the first "but" counts half,
+    what follows half as much again. `facts` and `contrast_at` must be columns: they are read
+    around every hit."""
     place = F.transform(facts, lambda f, i: F.when(f["v"] != 0, i))
+    but = F.col(contrast_at)
 
     def adjusted(i: Column) -> Column:
         own = F.get(facts, i)["v"]
@@ -106,7 +132,9 @@ def hit_valences(facts: str) -> Column:
             earlier = F.get(facts, i - k)
             boosted = boosted + sign * F.coalesce(earlier["b"], F.lit(0.0)) * F.lit(damping)
             negated = negated | F.coalesce(earlier["n"], F.lit(False))
-        return F.when(negated, boosted * F.lit(NEGATION_FACTOR)).otherwise(boosted)
+        total = F.when(negated, boosted * F.lit(NEGATION_FACTOR)).otherwise(boosted)
+        return (F.when(i < but, total * BEFORE_BUT).when(i > but, total * AFTER_BUT)
+                .otherwise(total))
 
     return F.transform(F.array_compact(place), adjusted)
 
@@ -160,10 +188,14 @@ def valence_scores(hits: Column | str, n_words: Column, text: Column | str) -> C
 def add_valence(df: DataFrame, text: str, output: str = "valence",
                 valence: Mapping[str, float] = DEFAULT_VALENCE) -> DataFrame:
     """Append struct `output` of compound, positive, negative and neutral scores."""
-    staged = df.withColumn("_facts", word_facts(text, valence))
-    staged = staged.withColumn("_hits", hit_valences("_facts"))
+    staged = df.withColumn("_tokens", valence_words(text))
+    staged = staged.withColumn("_mixed", mixed_case("_tokens"))
+    staged = staged.withColumn("_facts", word_facts("_tokens", "_mixed", valence))
+    staged = staged.withColumn("_but", contrast("_facts"))
+    staged = staged.withColumn("_hits", hit_valences("_facts", "_but"))
     score = valence_scores("_hits", F.size("_facts"), text)
-    return staged.withColumn(output, score).drop("_facts", "_hits")
+    return staged.withColumn(output, score).drop(
+        "_tokens", "_mixed", "_facts", "_but", "_hits")
 
 
 def sentiment_label(compound: Column | str, cut: float = 0.05) -> Column:

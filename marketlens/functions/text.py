@@ -84,10 +84,11 @@ def remove_stopwords(tokens: Column | str, words: Iterable[str] | None = None,
 
 
 def noun_lemma(token: Column, vocabulary: Iterable[str]) -> Column:
-    """Shortest vocabulary entry among the token and its suffix rewrites, else the token."""
+    """Shortest vocabulary entry among the token and its suffix rewrites, else the token.
+
+    The vocabulary becomes literals; `operators.lexicon_scan.lemmatize` takes a table.
+    """
     vocabulary = sorted(set(vocabulary))
-    if len(vocabulary) > params.MAX_INLINE_TERMS:
-        raise ValueError("vocabulary too large to inline; use operators.lemmas.lemma_table")
     # The longest net cut gives the shortest rewrite, so it is tried first.
     shortening = sorted((rule for rule in NOUN_SUFFIXES if len(rule[0]) > len(rule[1])),
                         key=lambda rule: len(rule[1]) - len(rule[0]))
@@ -121,10 +122,12 @@ def clean_text(text: Column | str, vocabulary: Iterable[str] = DEFAULT_NOUNS,
 
 
 def contained_terms(text: Column | str, terms: Iterable[str]) -> Column:
-    """Sorted array of the terms that are substrings of `text` (pass lower-cased text)."""
+    """Sorted array of the terms that are substrings of `text` (pass lower-cased text).
+
+    Walks over the text once per term; `operators.lexicon_scan.contained_terms` takes a table
+    and walks once.
+    """
     terms = sorted(set(terms))
-    if len(terms) > params.MAX_INLINE_TERMS:
-        raise ValueError("too many terms to inline")
     text = _col(text)
     literals = F.array(*[F.lit(t) for t in terms])
     return F.filter(literals, lambda term: F.contains(text, term))

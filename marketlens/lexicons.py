@@ -1,5 +1,5 @@
 """Word lists. The class lexicon is a parameter: `DEFAULT_LEXICON` is a small starter set
-and callers pass their own rows (or a table) to get their own scores."""
+and callers pass their own rows, or a table of any size, to get their own scores."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from marketlens.params import MAX_INLINE_TERMS
-
 # English stop words that can survive punctuation removal.
 ENGLISH_STOP_WORDS = (
     "a about above after again against ain all am an and any are aren as at be because "
@@ -72,7 +70,11 @@ DEFAULT_NOUNS = (
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Rows of (term, class, polarity, subjectivity); a term may sit in several classes."""
+    """Rows of (term, class, polarity, subjectivity); a term may sit in several classes.
+
+    For lists that belong in a plan as literals. The operators that take a `Lexicon` take a
+    table of the same columns just as well (see `operators.lexicon_scan`).
+    """
 
     rows: tuple[tuple[str, str, float, float], ...] = field(default_factory=tuple)
 
@@ -83,15 +85,6 @@ class Lexicon:
         T.StructField("subjectivity", T.DoubleType(), False),
     ])
 
-    @classmethod
-    def from_table(cls, table: DataFrame) -> "Lexicon":
-        """Load a lexicon table, refusing one too large to inline in a plan."""
-        rows = table.select(*cls.SCHEMA.names).limit(MAX_INLINE_TERMS + 1).collect()
-        if len(rows) > MAX_INLINE_TERMS:
-            raise ValueError(
-                f"lexicon has over {MAX_INLINE_TERMS} rows; use lexicon_token_join on the table")
-        return cls(tuple(sorted(tuple(r) for r in rows)))
-
     def terms(self, label: str) -> list[str]:
         return sorted({term for term, cls, _, _ in self.rows if cls == label})
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.calendar import dated
 from marketlens.functions.labels import label_from_return, label_name
-from marketlens.functions.text import contained_terms, null_text_to_empty, split_words
+from marketlens.functions.text import null_text_to_empty, split_words
+from marketlens.operators import lexicon_scan
 from marketlens.operators.indicators import forward_return
 
 
@@ -84,11 +85,11 @@ def lexicon_token_join(df: DataFrame, lexicon: DataFrame, text: str,
     return token_rows(df, text, keep).join(lexicon, "term", "inner")
 
 
-def lexicon_substring_join(df: DataFrame, terms: Iterable[str], text: str,
+def lexicon_substring_join(df: DataFrame, terms: DataFrame, text: str,
                            keep: list[str]) -> DataFrame:
-    """(row, term) for each lexicon term contained in the text, without a nested-loop join."""
-    hits = contained_terms(F.lower(null_text_to_empty(text)), terms)
-    return df.select(*keep, F.explode(hits).alias("term"))
+    """(row, term) for each entry of `terms` (term) contained in the text, without a join."""
+    hits = lexicon_scan.contained_terms(df.select(*keep, text), text, terms, "_hits")
+    return hits.select(*keep, F.explode("_hits").alias("term"))
 
 
 def stopword_anti(tokens: DataFrame, stop_words: DataFrame, term: str = "term") -> DataFrame:

@@ -4,42 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens import params
-from marketlens.functions.text import null_text_to_empty, split_words, term_counts
+from marketlens.functions.text import null_text_to_empty, split_words
+from marketlens.functions.vectors import add_run_lengths, sparse_vector
+
+
+def hashed_counts(df: DataFrame, text: str, output: str,
+                  dim: int = params.EMBEDDING_DIM) -> DataFrame:
+    """Append array<struct<bucket, n>>, ascending: tokens counted in `dim` buckets by md5.
+
+    Tokens are counted first, so each distinct token is hashed once per row; nothing leaves
+    the row.
+    """
+    given = [c for c in df.columns if c != output]
+    words = df.withColumn("_words", split_words(F.lower(null_text_to_empty(text))))
+    counted = add_run_lengths(words, "_words", "_counts")
+    hashed = F.transform("_counts", lambda c: F.struct(
+        (F.conv(F.substring(F.md5(c["value"]), 1, 8), 16, 10).cast("long") % dim)
+        .cast("int").alias("bucket"), c["n"].alias("n")))
+    # Words that share a bucket stand together now; a bucket's count is the sum of theirs.
+    ordered = counted.select(*given, F.sort_array(hashed).alias("_b"))
+    ends = ordered.withColumn("_ends", F.array_compact(F.transform("_b", lambda b, i: F.when(
+        ~F.get("_b", i + 1)["bucket"].eqNullSafe(b["bucket"]), i))))
+    before = lambda i: F.coalesce(F.get("_ends", i - 1), F.lit(-1))
+    return ends.select(*given, F.transform("_ends", lambda end, i: F.struct(
+        F.get("_b", end)["bucket"].alias("bucket"),
+        F.aggregate(F.slice("_b", before(i) + 2, end - before(i)), F.lit(0).cast("long"),
+                    lambda total, b: total + b["n"]).alias("n"))).alias(output))
+
+
+def _unit_weights(counts: str) -> Column:
+    """array<struct<bucket, weight>>: counts divided by their Euclidean length. The length is
+    bound to the row first, so that it is computed once and not for every entry."""
+    counted = F.col(counts)
+    square = F.aggregate(counted, F.lit(0).cast("long"), lambda s, b: s + b["n"] * b["n"])
+    bound = F.array(F.struct(counted.alias("b"), F.sqrt(square).alias("norm")))
+    return F.transform(bound, lambda row: F.transform(row["b"], lambda b: F.struct(
+        b["bucket"].alias("bucket"), (b["n"] / row["norm"]).alias("weight"))))[0]
 
 
 def hashed_buckets(df: DataFrame, text: str, row_id: str,
                    dim: int = params.EMBEDDING_DIM) -> DataFrame:
-    """Long form (row_id, bucket, weight): token counts hashed to `dim` buckets, unit length.
+    """Long form (row_id, bucket, weight) of the bucket counts at unit length."""
+    counted = hashed_counts(df.select(row_id, text), text, "_b", dim)
+    return counted.select(row_id, F.inline(_unit_weights("_b")))
 
-    Tokens are counted inside the row first, so each distinct token is hashed once per row
-    and at most `dim` rows per text are regrouped.
-    """
-    words = df.select(row_id, split_words(F.lower(null_text_to_empty(text))).alias("_words"))
-    rows = term_counts(words, "_words", [row_id])
-    digest = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
-    sums = (rows.select(row_id, (digest % dim).cast("int").alias("bucket"), "tf")
-            .groupBy(row_id, "bucket").agg(F.sum("tf").alias("n")))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(row_id)))
-    return sums.select(row_id, "bucket", (F.col("n") / norm).alias("weight"))
-
-
-def hashed_embedding(df: DataFrame, text: str, row_id: str,
-                     dim: int = params.EMBEDDING_DIM) -> DataFrame:
-    """One dense array per input row, zeros for empty text; at most `dim` entries per group."""
-    buckets = hashed_buckets(df, text, row_id, dim)
-    sparse = (buckets.groupBy(row_id)
-              .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
-                   .alias("_w")))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda b: F.coalesce(F.element_at("_w", b), F.lit(0.0)).cast("float"))
-    return df.join(sparse, row_id, "left").withColumn("embedding", dense).drop("_w")
+
+def hashed_embedding(df: DataFrame, text: str, dim: int = params.EMBEDDING_DIM,
+                     output: str = "embedding") -> DataFrame:
+    """Append one dense array<float> per row, of unit length; zeros for empty text."""
+    counted = hashed_counts(df, text, "_b", dim).withColumn("_b", _unit_weights("_b"))
+    scaled = counted.withColumn("_v", sparse_vector(
+        F.col("_b.bucket"), F.col("_b.weight"), dim))
+    return scaled.withColumn(output, vector_to_array("_v", "float32")).drop("_b", "_v")
 
 
 def model_embedding(df: DataFrame, text: str, make_predict: Callable,

@@ -1,31 +1,26 @@
 """Three-class classifiers on Spark ML. Every fitted model is a `PipelineModel`.
 
-The RBF support-vector machine is approximated with random Fourier features, and boosted
-trees run one-vs-rest; both are documented approximations, not score-for-score equals.
+Logistic regression and the forest are Spark's own; boosting and the kernel machine are in
+`boosting` and `kernel_svm`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel, keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import params
 from marketlens.functions.labels import argmax_class
 from marketlens.operators.align import weight_join
+from marketlens.operators.boosting import fit_boosting
 from marketlens.operators.ensemble import PROBABILITIES
+from marketlens.operators.kernel_svm import TOLERANCE, fit_margins
 from marketlens.operators.metrics import class_weights
 
 
@@ -48,45 +43,6 @@ def prepared(train: DataFrame, features: str, label: str):
         narrow.unpersist()
 
 
-class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable,
-                      DefaultParamsWritable):
-    """Random Fourier features of the RBF kernel exp(-gamma |x - y|^2).
-
-    The projection is drawn from the seed, once per worker task, so only scalars are stored.
-    """
-
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    width = Param(Params._dummy(), "width", "output features", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, gamma=1.0, width=256, seed=params.SEED):
-        super().__init__()
-        self._setDefault(gamma=1.0, width=256, seed=params.SEED)
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        gamma, width = self.getOrDefault("gamma"), self.getOrDefault("width")
-        seed = self.getOrDefault("seed")
-
-        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            drawn = None
-            for rows in batches:
-                if rows.empty:
-                    yield pd.Series([], dtype=object)
-                    continue
-                x = np.stack(rows.to_numpy())
-                if drawn is None:
-                    rng = np.random.default_rng(seed)
-                    drawn = (rng.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], width)),
-                             rng.uniform(0.0, 2.0 * np.pi, width))
-                w, b = drawn
-                yield pd.Series(list(np.sqrt(2.0 / width) * np.cos(x @ w + b)))
-
-        udf = F.pandas_udf(project, "array<double>")
-        return dataset.withColumn(self.getOutputCol(),
-                                  array_to_vector(udf(vector_to_array(self.getInputCol()))))
-
-
 def scale_gamma(train: DataFrame, vector: str) -> float:
     """1 / (features * variance of all entries), from one aggregation."""
     x = vector_to_array(vector)
@@ -119,56 +75,33 @@ def fit_random_forest(train: DataFrame, features: str = "features", label: str =
         return Pipeline(stages=[stage]).fit(rows)
 
 
-def _suffixed(c: int) -> dict[str, str]:
-    return {"predictionCol": f"prediction_{c}", "rawPredictionCol": f"raw_{c}"}
-
-
 def fit_gbt(train: DataFrame, features: str = "features", label: str = "label",
             rounds: int = 500, depth: int = 6, rate: float = 0.1, rows: float = 0.8,
             columns: float = 0.8, seed: int = params.SEED) -> PipelineModel:
-    """Boosted trees, one binary model per class on shared, persisted input."""
-    train = train.select(features, label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stages = []
-        for c in params.CLASSES:
-            own = train.withColumn("_is", (F.col(label) == c).cast("double"))
-            names = _suffixed(c)
-            booster = GBTClassifier(
-                featuresCol=features, labelCol="_is", maxIter=rounds, maxDepth=depth,
-                stepSize=rate, subsamplingRate=rows, featureSubsetStrategy=str(columns),
-                seed=seed, predictionCol=names["predictionCol"])
-            booster.setRawPredictionCol(names["rawPredictionCol"])
-            stages.append(booster.setProbabilityCol(f"prob_{c}").fit(own))
-    finally:
-        train.unpersist()
-    return PipelineModel(stages)
+    """Softmax boosting with one tree per class and round; see `boosting`."""
+    return PipelineModel([fit_boosting(train, features, label, rounds, depth, rate, rows,
+                                       columns, seed=seed)])
 
 
 def fit_svm(train: DataFrame, features: str = "features", label: str = "label",
-            C: float = 10.0, gamma: float | str = "scale", width: int = 256,
-            max_iter: int = 1000, calibration_iter: int = 1000,
-            seed: int = params.SEED) -> PipelineModel:
-    """Kernel-approximated SVM, one-vs-rest, each margin calibrated by a logistic fit. Both
-    solvers stop at their tolerance, normally long before these numbers of iterations."""
-    with prepared(train, features, label) as (source, n):
-        width_gamma = scale_gamma(source, features) if gamma == "scale" else float(gamma)
-        lift = FourierFeatures(inputCol=features, outputCol="lifted", gamma=width_gamma,
-                               width=width, seed=seed)
-        lifted = lift.transform(source).persist(StorageLevel.MEMORY_AND_DISK)
+            C: float = 10.0, gamma: float | str = "scale", calibration_iter: int = 1000,
+            tolerance: float = TOLERANCE) -> PipelineModel:
+    """RBF-kernel machines, one-vs-rest with balanced classes, each margin calibrated by a
+    logistic fit; see `kernel_svm`."""
+    with prepared(train, features, label) as (source, _):
+        width = scale_gamma(source, features) if gamma == "scale" else float(gamma)
+        machines = fit_margins(source, features, label, "weight", C, width, tolerance)
+        scored = machines.transform(source).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stages: list = [lift]
+            stages: list = [machines]
             for c in params.CLASSES:
-                own = lifted.withColumn("_is", (F.col(label) == c).cast("double"))
-                machine = LinearSVC(
-                    featuresCol="lifted", labelCol="_is", weightCol="weight",
-                    regParam=1.0 / (C * n), maxIter=max_iter, **_suffixed(c)).fit(own)
-                calibrate = LogisticRegression(
-                    featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-4, maxIter=calibration_iter,
-                    probabilityCol=f"prob_{c}", predictionCol=f"_p_{c}",
-                    rawPredictionCol=f"_r_{c}").fit(machine.transform(own))
-                stages += [machine, calibrate]
+                own = scored.withColumn("_is", (F.col(label) == c).cast("double"))
+                stages.append(LogisticRegression(
+                    featuresCol=f"raw_{c}", labelCol="_is", regParam=1e-4,
+                    maxIter=calibration_iter, probabilityCol=f"prob_{c}",
+                    predictionCol=f"_p_{c}", rawPredictionCol=f"_r_{c}").fit(own))
         finally:
-            lifted.unpersist()
+            scored.unpersist()
     return PipelineModel(stages)
 
 
@@ -180,9 +113,8 @@ FITTERS = {
 }
 
 
-def predict_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Append p_down, p_neutral, p_up and the winning class, dropping the model's columns."""
-    scored = model.transform(df)
+def with_probabilities(scored: DataFrame) -> DataFrame:
+    """Append p_down, p_neutral, p_up and the winning class to a model's output."""
     if "probability" in scored.columns:
         parts = vector_to_array("probability")
         shares = [F.coalesce(F.get(parts, c), F.lit(0.0)) for c in params.CLASSES]
@@ -190,6 +122,11 @@ def predict_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
         each = [vector_to_array(f"prob_{c}")[1] for c in params.CLASSES]
         total = each[0] + each[1] + each[2]
         shares = [F.coalesce(F.try_divide(p, total), F.lit(1.0 / len(each))) for p in each]
-    named = scored.withColumns(dict(zip(PROBABILITIES, shares)))
-    return named.select(*df.columns, *PROBABILITIES,
-                        argmax_class(*PROBABILITIES).alias("prediction"))
+    named = scored.drop("prediction").withColumns(dict(zip(PROBABILITIES, shares)))
+    return named.withColumn("prediction", argmax_class(*PROBABILITIES))
+
+
+def predict_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Append p_down, p_neutral, p_up and the winning class, dropping the model's columns."""
+    return with_probabilities(model.transform(df)).select(
+        *df.columns, *PROBABILITIES, "prediction")

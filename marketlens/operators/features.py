@@ -1,21 +1,16 @@
-"""Feature assembly: text, sentiment, market and calendar columns into one vector."""
+"""Sentiment, market and calendar columns; `headline_model` assembles them with the terms."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens import params
 from marketlens.functions.calendar import TEMPORAL_FEATURES, temporal_features
 from marketlens.functions.lexicon import (
     add_valence, lexicon_count, polarity, subjectivity)
 from marketlens.lexicons import DEFAULT_LEXICON, Lexicon
-from marketlens.operators.embedding import hashed_embedding
 from marketlens.operators.indicators import MARKET_FEATURES
-from marketlens.operators.vocabulary import tfidf_transform
+from marketlens.operators.lexicon_scan import CLASSES, scan
 
 SENTIMENT_FEATURES = [
     "sentiment_polarity", "sentiment_subjectivity", "sentiment_intensity",
@@ -26,20 +21,26 @@ SENTIMENT_FEATURES = [
 
 def sentiment_features(df: DataFrame, text: str, match_text: Column | None = None,
                        valence_text: str | None = None,
-                       lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+                       lexicon: Lexicon | DataFrame = DEFAULT_LEXICON) -> DataFrame:
     """Append the 13 sentiment columns, all row-local.
 
     `match_text` overrides the text used for lexicon counts (inference counts over raw and
-    clean text); `valence_text` the one scored by the valence rules.
+    clean text); `valence_text` the one scored by the valence rules. A `Lexicon` is inlined
+    as literals, a lexicon table of any size is scanned in blocks.
     """
     source = F.col(text) if match_text is None else match_text
     valence_text = valence_text or text
-    base = df.withColumns({
-        "sentiment_polarity": polarity(text, lexicon),
-        "sentiment_subjectivity": subjectivity(text, lexicon),
-        "bullish_keyword_count": lexicon_count(source, "bullish", lexicon),
-        "bearish_keyword_count": lexicon_count(source, "bearish", lexicon),
-        "neutral_keyword_count": lexicon_count(source, "neutral", lexicon)})
+    if isinstance(lexicon, Lexicon):
+        base = df.withColumns({
+            "sentiment_polarity": polarity(text, lexicon),
+            "sentiment_subjectivity": subjectivity(text, lexicon),
+            **{f"{c}_keyword_count": lexicon_count(source, c, lexicon) for c in CLASSES}})
+    else:
+        names = {"sentiment_polarity": "polarity", "sentiment_subjectivity": "subjectivity",
+                 **{f"{c}_keyword_count": f"{c}_count" for c in CLASSES}}
+        found = scan(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_own"),
+                               source.alias("_match")), "_match", lexicon, token_text="_own")
+        base = found.select("_row.*", *[F.col(c).alias(n) for n, c in names.items()])
     base = add_valence(base, valence_text, "_v")
     return base.withColumns({
         "sentiment_intensity": F.abs("sentiment_polarity"),
@@ -55,74 +56,6 @@ def add_temporal_features(df: DataFrame, time: str = "published_at") -> DataFram
     return df.select("*", *temporal_features(time))
 
 
-def _sparse(size: int):
-    """Pairs to a sparse vector; Spark has no built-in constructor for one."""
-    return F.udf(lambda pairs: Vectors.sparse(
-        size, [p["index"] for p in pairs or []], [p["weight"] for p in pairs or []]), VectorUDT())
-
-
-def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str, row_id: str,
-                  max_terms: int = params.MAX_TERMS, output: str = "tfidf") -> DataFrame:
-    """Sparse TF-IDF vector per row; positions follow the term order of the vocabulary.
-
-    `row_id` must be unique in `df`; see `distinct_texts`.
-    """
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
-    indexed = vocabulary.select("term", place.alias("index"))  # at most max_terms rows
-    weights = tfidf_transform(df, vocabulary, text, row_id)
-    pairs = (weights.join(indexed, "term").groupBy(row_id)
-             .agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_pairs")))
-    return (df.join(pairs, row_id, "left").withColumn(output, _sparse(max_terms)("_pairs"))
-            .drop("_pairs"))
-
-
-def _text_key(text: str) -> Column:
-    return F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_text_key")
-
-
-def distinct_texts(df: DataFrame, text: str) -> DataFrame:
-    """(_text_key, text), one row per distinct text. Text features are computed on these: an
-    untagged headline stands once per instrument, so its id repeats."""
-    return df.select(_text_key(text), text).dropDuplicates(["_text_key"])
-
-
-def _sized(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """Declare a vector's length, so assembling needs no pass over the data."""
-    return VectorSizeHint(inputCol=vector, size=size, handleInvalid="optimistic").transform(df)
-
-
-def feature_matrix(df: DataFrame, vocabulary: DataFrame, *, text: str = "clean_text", time: str = "published_at",
-                   use_embedding: bool = True, lexicon: Lexicon = DEFAULT_LEXICON,
-                   max_terms: int = params.MAX_TERMS, model_embedding: str | None = None,
-                   output: str = "features") -> DataFrame:
-    """Append `output`: term weights, embedding, sentiment, [model embedding], market and
-    calendar columns, in that order. Ids may repeat: text features are computed once per
-    distinct text. Market columns join in when the bars' indicator columns
-    are present, calendar columns when `time` is."""
-    key = "_text_key"
-    made = tfidf_vectors(distinct_texts(df, text), vocabulary, text, key, max_terms)
-    inputs = ["tfidf"]
-    if use_embedding:
-        made = hashed_embedding(made, text, key)
-        dense = array_to_vector(F.col("embedding").cast("array<double>"))
-        made = made.withColumn("embedding", dense)
-        inputs.append("embedding")
-    made = sentiment_features(made, text, lexicon=lexicon).drop(text)
-    wide = _sized(df.withColumn(key, _text_key(text)).join(made, key).drop(key), "tfidf",
-                  max_terms)
-    if use_embedding:
-        wide = _sized(wide, "embedding", params.EMBEDDING_DIM)
-    inputs += SENTIMENT_FEATURES
-    if model_embedding:
-        inputs.append(model_embedding)
-    inputs += [c for c in MARKET_FEATURES if c in df.columns]
-    if time in df.columns:
-        wide = add_temporal_features(wide, time)
-        inputs += TEMPORAL_FEATURES
-    return VectorAssembler(inputCols=inputs, outputCol=output,
-                           handleInvalid="keep").transform(wide)
-
-
 def scalar_features(df: DataFrame, text: str, time: str | None = "published_at",
                     lexicon: Lexicon = DEFAULT_LEXICON) -> tuple[DataFrame, list[str]]:
     """Sentiment, market (when present) and calendar columns without the term block."""

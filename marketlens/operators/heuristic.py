@@ -9,6 +9,7 @@ from marketlens import params
 from marketlens.functions.labels import label_name, round4
 from marketlens.functions.bind import bind
 from marketlens.functions.lexicon import polarity, token_hits
+from marketlens.operators.lexicon_scan import scan
 from marketlens.lexicons import DEFAULT_LEXICON, STRONG_BEARISH, STRONG_BULLISH, Lexicon
 
 # Weights of the heuristic.
@@ -25,18 +26,26 @@ def _direction(count: Column, strength: Column, strong: Column) -> Column:
 
 
 def heuristic_score(df: DataFrame, text: str = "title",
-                    lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+                    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON) -> DataFrame:
     """Class, confidence and probabilities from exact token hits and polarity.
 
-    The neutral share is clamped at 0 before normalising. A row-local projection: the same
-    expression serves batch and streaming.
+    The neutral share is clamped at 0 before normalising. Row-local: the same plan serves
+    batch and streaming. A lexicon table of any size is scanned in blocks.
     """
+    if isinstance(lexicon, Lexicon):
+        hits = {"n_bull": token_hits(text, lexicon.terms("bullish")),
+                "n_bear": token_hits(text, lexicon.terms("bearish")),
+                "n_neut": token_hits(text, lexicon.terms("neutral")),
+                "polarity": polarity(text, lexicon)}
+    else:
+        found = scan(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_own")),
+                     "_own", lexicon)
+        df = found.select("_row.*", F.struct(
+            "bullish_tokens", "bearish_tokens", "neutral_tokens", "polarity").alias("_hits"))
+        hits = {"n_bull": F.col("_hits.bullish_tokens"), "n_bear": F.col("_hits.bearish_tokens"),
+                "n_neut": F.col("_hits.neutral_tokens"), "polarity": F.col("_hits.polarity")}
     base = bind(df, {
-        "n_bull": token_hits(text, lexicon.terms("bullish")),
-        "n_bear": token_hits(text, lexicon.terms("bearish")),
-        "n_neut": token_hits(text, lexicon.terms("neutral")),
-        "polarity": polarity(text, lexicon),
-        "_strong_up": token_hits(text, STRONG_BULLISH),
+        **hits, "_strong_up": token_hits(text, STRONG_BULLISH),
         "_strong_down": token_hits(text, STRONG_BEARISH)})
     scored = base.withColumns({
         "_up": _direction(F.col("n_bull"), F.col("polarity"), F.col("_strong_up")),
@@ -69,12 +78,12 @@ def heuristic_score(df: DataFrame, text: str = "title",
         "p_up": round4(F.col("_u") / total), "prediction": label_name(picked),
         "model_used": F.lit("heuristic_fallback")})
     return (final.withColumn("confidence", F.greatest("p_down", "p_neutral", "p_up"))
-            .drop("_strong_up", "_strong_down", "_up", "_down", "_flat", "_sure", "_rest",
+            .drop("_hits", "_strong_up", "_strong_down", "_up", "_down", "_flat", "_sure", "_rest",
                   "_d", "_n", "_u"))
 
 
 def score_with_fallback(headlines: DataFrame, scores: DataFrame, text: str = "title",
-                        lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+                        lexicon: Lexicon | DataFrame = DEFAULT_LEXICON) -> DataFrame:
     """Model scores where a headline has them, the heuristic elsewhere.
 
     `scores`: (id, model_used, prediction, p_down, p_neutral, p_up), unique by id.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens import params
-from marketlens.operators.running import running_sums
+from marketlens.operators.running import running_sums, with_offsets
 
 LABEL, PREDICTION = "label", "prediction"
 
@@ -116,18 +116,24 @@ def score_counts(df: DataFrame, keys: list[str], probabilities: dict[int, str])
             .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg")))
 
 
-SCORE_BUCKETS = 1024
+def _bucketed(counts: DataFrame, groups: list[str], buckets: int) -> DataFrame:
+    """Append `_bucket`, ascending with the score: cut points are quantiles of each group's
+    own distinct scores, so that no bucket has much more than its share, however they lie."""
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = counts.groupBy(*groups).agg(
+        F.array_distinct(F.percentile_approx("score", shares, 50 * buckets)).alias("_cuts"))
+    joined = with_offsets(counts, cuts, groups, ["_cuts"])
+    return joined.withColumn("_bucket", F.size(F.filter(
+        "_cuts", lambda c: c < F.col("score")))).drop("_cuts")
 
 
-def _score_bucket(score: Column) -> Column:
-    return F.floor(score * SCORE_BUCKETS)
-
-
-def roc_curve(df: DataFrame, keys: list[str], probabilities: dict[int, str]) -> DataFrame:
-    """One-vs-rest ROC points per distinct score, highest score first."""
+def roc_curve(df: DataFrame, keys: list[str], probabilities: dict[int, str],
+              buckets: int = 64) -> DataFrame:
+    """One-vs-rest ROC points per distinct score, highest score first. A group's scores are
+    added up in `buckets` tasks."""
     groups = [*keys, "class"]
     counts = score_counts(df, keys, probabilities)
-    placed = counts.withColumn("_bucket", -_score_bucket(F.col("score")))
+    placed = _bucketed(counts, groups, buckets).withColumn("_bucket", -F.col("_bucket"))
     points = running_sums(placed, groups, "_bucket", [F.col("score").desc()],
                           {"tp": "pos", "fp": "neg"})
     totals = counts.groupBy(*groups).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -138,11 +144,11 @@ def roc_curve(df: DataFrame, keys: list[str], probabilities: dict[int, str]) ->
         F.try_divide(F.col("tp"), F.col("_p")).alias("tpr"))
 
 
-def roc_auc_ovr(df: DataFrame, keys: list[str], probabilities: dict[int, str]) -> DataFrame:
+def roc_auc_ovr(df: DataFrame, keys: list[str], probabilities: dict[int, str],
+                buckets: int = 64) -> DataFrame:
     """AUC per class (rank-sum form with half credit for ties), null if a class is absent."""
     groups = [*keys, "class"]
-    placed = (score_counts(df, keys, probabilities)
-              .withColumn("_bucket", _score_bucket(F.col("score"))))
+    placed = _bucketed(score_counts(df, keys, probabilities), groups, buckets)
     ranked = running_sums(placed, groups, "_bucket", ["score"], {"_upto": "neg"})
     # Twice the rank sum stays an exact integer.
     twice = F.sum(F.col("pos") * (2 * (F.col("_upto") - F.col("neg")) + F.col("neg")))

@@ -12,13 +12,17 @@ from marketlens import params, schemas
 from marketlens.functions.labels import confidence, label_name, round4
 from marketlens.functions.text import finance_keywords
 from marketlens.operators.ensemble import PROBABILITIES, decide
-from marketlens.operators.estimators import predict_probabilities
+from marketlens.operators.estimators import predict_probabilities, with_probabilities
 
 
 def score_batch(df: DataFrame, model: PipelineModel, model_name: str, row_id: str = "id",
                 text: str = "title", clean: str = "clean_text") -> DataFrame:
-    """Prediction record per headline. Expects the feature vector and sentiment columns."""
-    scored = predict_probabilities(model, df)
+    """Prediction record per headline.
+
+    `model` makes the sentiment columns on its way from the raw headline (see
+    `headline_model.fit`), or `df` has them with the feature vector.
+    """
+    scored = with_probabilities(model.transform(df))
     sentiment = F.struct(
         round4("sentiment_polarity").alias("polarity"),
         round4("sentiment_subjectivity").alias("subjectivity"),

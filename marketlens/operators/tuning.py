@@ -6,7 +6,9 @@ import itertools
 import json
 import time
 from collections.abc import Callable, Mapping
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,10 @@ from marketlens.operators.estimators import FITTERS, predict_probabilities
 from marketlens.operators.metrics import cv_summary, metrics_summary, rank_models
 from marketlens.operators.running import hash_bucket, hash_key
 from marketlens.operators.splits import stratified_folds
+from marketlens.sources.workspace import new_path
+
+#: Fits that run at a time.
+PARALLELISM = 4
 
 # Full search spaces, by the fitters' arguments; pass a smaller grid to bound
 # the cost.
@@ -32,9 +38,12 @@ PARAM_GRIDS = {
 
 def grid_search(df: DataFrame, name: str, grid: Mapping[str, list] | None = None,
                 row_id: str = "id", label: str = "label", k: int = params.FOLDS,
-                fixed: Mapping | None = None) -> tuple[PipelineModel, DataFrame]:
+                fixed: Mapping | None = None, parallelism: int = PARALLELISM
+                ) -> tuple[PipelineModel, DataFrame]:
     """Exhaustive search over a fitter's arguments by k-fold macro-F1; refits the best point.
 
+    All fits read one stored table of folded rows, and `parallelism` of them run at a time.
+
     `grid` is the model's entry of `PARAM_GRIDS` by default, `fixed` holds further arguments.
     Class weights are computed inside each fit, so a fold never sees the held-out counts.
     Returns the model and a table (params, f1_macro), one row per point, best first; the
@@ -42,23 +51,32 @@ def grid_search(df: DataFrame, name: str, grid: Mapping[str, list] | None = None
     """
     grid, fixed = PARAM_GRIDS[name] if grid is None else grid, fixed or {}
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-    folded = stratified_folds(df, label, row_id, k).persist()
-    rows = []
-    try:
-        for point in points:
-            def fit(train: DataFrame, point=point) -> PipelineModel:
-                return FITTERS[name](train, **fixed, **point)
-
-            scores = [_fold_score(folded, fold, fit) for fold in range(k)]
-            rows.append((json.dumps(point, sort_keys=True), sum(scores) / k))
-    finally:
-        folded.unpersist()
+    spark = df.sparkSession
+    path = new_path(spark, "folds")
+    stratified_folds(df, label, row_id, k).write.parquet(path)
+    folded = spark.read.parquet(path)
+
+    def one(job: tuple[int, int]) -> float:
+        point, fold = job
+        return _fold_score(folded, fold, lambda train: FITTERS[name](
+            train, **fixed, **points[point]))
+
+    scores = _concurrently(spark, one, [(p, fold) for p in range(len(points))
+                                        for fold in range(k)], parallelism)
+    rows = [(json.dumps(point, sort_keys=True), sum(scores[i * k:(i + 1) * k]) / k)
+            for i, point in enumerate(points)]
     table = df.sparkSession.createDataFrame(rows, "params string, f1_macro double")
     table = table.orderBy(F.col("f1_macro").desc(), "params")
     best = json.loads(min(rows, key=lambda row: (-row[1], row[0]))[0])
     return FITTERS[name](df, **fixed, **best), table
 
 
+def _concurrently(spark: SparkSession, job: Callable, jobs: list, parallelism: int) -> list:
+    """Results of independent driver-side jobs, in order, `parallelism` of them at a time."""
+    with ThreadPool(min(parallelism, len(jobs)) or 1) as pool:
+        return pool.map(inheritable_thread_target(spark)(job), jobs)
+
+
 def _fold_score(folded: DataFrame, fold: int,
                 fit: Callable[[DataFrame], PipelineModel]) -> float:
     """Macro-F1 on one fold of a model fitted on the others."""
@@ -72,9 +90,11 @@ def fold_scores(df: DataFrame, fit: Callable[[DataFrame], PipelineModel], row_id
     """(fold, score): macro-F1 of each fold under a model fitted on the other folds."""
     folded = stratified_folds(df, label, row_id, k).persist()
     try:
-        rows = [(fold, _fold_score(folded, fold, fit)) for fold in range(k)]
+        scores = _concurrently(df.sparkSession, lambda fold: _fold_score(folded, fold, fit),
+                               list(range(k)), PARALLELISM)
     finally:
         folded.unpersist()
+    rows = list(enumerate(scores))
     return df.sparkSession.createDataFrame(rows, "fold int, score double")
 
 
@@ -91,9 +111,12 @@ BENCHMARK_SCHEMA = ("model string, " + ", ".join(f"{c} double" for c in METRIC_C
 
 def benchmark(spark: SparkSession, train: DataFrame, test: DataFrame,
               options: Mapping[str, Mapping] | None = None,
-              save: Callable[[str, PipelineModel], None] | None = None) -> DataFrame:
+              save: Callable[[str, PipelineModel], None] | None = None,
+              grids: Mapping[str, Mapping[str, list]] | None = None) -> DataFrame:
     """Fit each named model, measure it on the test rows and rank by macro-F1.
 
+    A model with an entry in `grids` is tuned on the training rows first, its other arguments
+    fixed.
     A model that fails becomes a row with its error. `train` and `test` are persisted because
     every model reads them again.
     """
@@ -104,7 +127,10 @@ def benchmark(spark: SparkSession, train: DataFrame, test: DataFrame,
         for name, chosen in options.items():
             started = time.monotonic()
             try:
-                model = FITTERS[name](train, **chosen)
+                if name in (grids or {}):
+                    model, _ = grid_search(train, name, grids[name], fixed=chosen)
+                else:
+                    model = FITTERS[name](train, **chosen)
                 result = metrics_summary(predict_probabilities(model, test)).first()
                 if save:
                     save(name, model)
@@ -120,10 +146,9 @@ def benchmark(spark: SparkSession, train: DataFrame, test: DataFrame,
 
 def feature_importance(spark: SparkSession, model: PipelineModel, names: list[str],
                        top: int = params.TOP_IMPORTANCE) -> DataFrame:
-    """Impurity importance per feature, averaged over the one-vs-rest stages of a boosted
-    model; empty for models without one."""
-    each = [s.featureImportances.toArray() for s in model.stages
-            if hasattr(s, "featureImportances")]
+    """Impurity or gain importance per feature; empty for models without one."""
+    found = [s.featureImportances for s in model.stages if hasattr(s, "featureImportances")]
+    each = [v.toArray() if hasattr(v, "toArray") else v for v in found]
     if any(len(values) != len(names) for values in each):
         raise ValueError(f"{len(names)} names for {len(each[0])} features")
     rows = list(zip(names, (sum(each) / len(each)).tolist())) if each else []

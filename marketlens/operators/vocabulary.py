@@ -1,17 +1,21 @@
 """Term statistics, vocabulary selection and TF-IDF weights.
 
-Counting inside a document happens in the row (`term_counts`), so the only shuffles are the
-per-term totals (pre-aggregated map-side) and the regrouping of weights of at most
-`max_terms` vocabulary terms per document.
+Counting inside a document happens in the row (`term_counts`), so the only shuffle is that of
+the per-term totals (pre-aggregated map-side). A vocabulary without a cap is joined, and the
+weights of a document are then regrouped.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens import params
 from marketlens.functions.text import adjacent, null_text_to_empty, term_counts
+from marketlens.functions.vectors import sparse_parts, sparse_vector
+from marketlens.sources.workspace import new_path
 
 
 def scoring_tokens(text: str) -> Column:
@@ -80,9 +84,49 @@ def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, text: str, doc_id: s
     return raw.select(doc_id, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
+def tfidf_in_row(docs: DataFrame, vocabulary: DataFrame, text: str, doc_id: str,
+                 low: int = params.NGRAM_MIN, high: int = params.NGRAM_MAX) -> DataFrame:
+    """`tfidf_transform` for a vocabulary with a cap on its terms; no document is shuffled.
+
+    The vocabulary's rows (at most its cap) become a count vectoriser, which looks all n-grams
+    of a row up in one hash table; weights and norm come from the row's sparse vector.
+    """
+    rows = vocabulary.select("term", "idf").collect()
+    terms = sorted((r["term"], float(r["idf"])) for r in rows)
+    spark, size = docs.sparkSession, len(terms)
+    grams = docs.select(doc_id, scoring_tokens(text).alias("_tokens")).select(
+        doc_id, adjacent("_tokens", low, high).alias("_grams"))
+    if not terms:
+        return grams.select(doc_id, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"),
+                            F.lit(0.0).alias("weight")).where("false")
+    counted = CountVectorizerModel.from_vocabulary(
+        [t for t, _ in terms], inputCol="_grams", outputCol="_counts").transform(grams)
+    indices, counts = sparse_parts("_counts")
+    damped = counted.select(doc_id, "_counts", sparse_vector(
+        indices, F.transform(counts, lambda n: 1 + F.log(n)), size).alias("_damped"))
+    weighed = ElementwiseProduct(inputCol="_damped", outputCol="_weights",
+                                 scalingVec=Vectors.dense([w for _, w in terms])).transform(damped)
+    unit = Normalizer(inputCol="_weights", outputCol="_unit", p=2.0).transform(weighed)
+    entries = unit.select(doc_id, F.inline(F.arrays_zip(
+        indices.alias("index"), counts.alias("tf"), sparse_parts("_unit")[1].alias("weight"))))
+    # As many rows as the vocabulary's cap.
+    named = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(terms)],
+                                  "index int, term string")
+    return entries.join(F.broadcast(named), "index").select(
+        doc_id, "term", F.col("tf").cast("long").alias("tf"), "weight")
+
+
 def tfidf(docs: DataFrame, text: str, doc_id: str, max_terms: int | None = params.MAX_TERMS,
           min_df: int = params.MIN_DOC_FREQ, low: int = params.NGRAM_MIN,
           high: int = params.NGRAM_MAX) -> DataFrame:
-    """Fit a vocabulary on the documents and weigh the same documents with it."""
+    """Fit a vocabulary on the documents and weigh the same documents with it.
+
+    The text, usually the product of a long expression, is stored first and read three times.
+    Without a cap on its terms the vocabulary stays a table and is joined.
+    """
+    path = new_path(docs.sparkSession, "tfidf-texts")
+    docs.select(doc_id, text).write.parquet(path)
+    docs = docs.sparkSession.read.parquet(path)
     vocabulary = fit_vocabulary(docs, text, max_terms, min_df, low, high)
-    return tfidf_transform(docs, vocabulary, text, doc_id, low, high)
+    weigh = tfidf_transform if max_terms is None else tfidf_in_row
+    return weigh(docs, vocabulary, text, doc_id, low, high)

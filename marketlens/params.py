@@ -60,7 +60,3 @@ EMBEDDING_DIM = 384
 SAMPLE_ROWS = 500
 TOP_IMPORTANCE = 20
 TOP_ATTRIBUTION = 15
-
-# A word list inlined as literals may not exceed this many entries; anything larger goes
-# through an ordinary (AQE-planned) join.
-MAX_INLINE_TERMS = 5000

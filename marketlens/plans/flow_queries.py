@@ -42,11 +42,18 @@ def _stamp(c: str):
 
 # --- news ------------------------------------------------------------------------------------
 
-@query("src_news_csv", s.twin(
-    f"""SELECT title, 'row ' || id || chr(10) || 'says "' || title || '"' AS description,
-               CASE WHEN id % 9 = 0 THEN NULL ELSE {NOW} END AS published_at,
-               CAST(ticker AS VARCHAR) AS ticker FROM headlines""", "headlines"))
-def src_news_csv(spark, sf):
+CSV_NEWS = f"""SELECT title, 'row ' || id || chr(10) || 'says "' || title || '"' AS description,
+                      CASE WHEN id % 9 = 0 THEN NULL ELSE {NOW} END AS published_at,
+                      CAST(ticker AS VARCHAR) AS ticker FROM headlines"""
+ARTICLES = f"""SELECT title, '' AS description, 'body ' || id AS content,
+                      'feed ' || (ticker % 5) AS source, '' AS author, 'u/' || id AS url,
+                      {NOW} AS published_at FROM headlines"""
+COMPANY_NEWS = f"""SELECT title, CASE WHEN id % 3 = 0 THEN '' ELSE 'sum ' || id END AS description,
+                          'feed' AS source, '' AS url, {NOW} AS published_at, ticker
+                   FROM headlines"""
+
+
+def _csv_news(spark, sf):
     """Written with synonym headers, quotes and line breaks; then read through the loader."""
     feed = headlines(spark, sf).select(
         F.col("title").alias("Headline"),
@@ -55,7 +62,7 @@ def src_news_csv(spark, sf):
         .alias("Date"), F.col("ticker").alias("Symbol"))
     path = new_path(spark, "news-csv")
     sinks.write_csv(feed, path)
-    return printable(news.read_news_csv(spark, path))
+    return news.read_news_csv(spark, path)
 
 
 def _pages(rows, payload, size: int = 100):
@@ -65,11 +72,7 @@ def _pages(rows, payload, size: int = 100):
             .agg(F.collect_list(payload).alias("items")).drop("page"))
 
 
-@query("src_articles_json", s.twin(
-    f"""SELECT title, '' AS description, 'body ' || id AS content,
-               'feed ' || (ticker % 5) AS source, '' AS author, 'u/' || id AS url,
-               {NOW} AS published_at FROM headlines""", "headlines"))
-def src_articles_json(spark, sf):
+def _articles(spark, sf):
     article = F.struct(
         "title", F.concat(F.lit("body "), "id").alias("content"),
         F.struct(F.concat(F.lit("feed "), F.col("ticker") % 5).alias("name")).alias("source"),
@@ -78,14 +81,10 @@ def src_articles_json(spark, sf):
     payloads = pages.select(F.to_json(F.struct(F.col("items").alias("articles"))).alias("body"))
     path = new_path(spark, "articles")
     payloads.write.text(path)
-    return printable(news.read_articles(spark, path))
+    return news.read_articles(spark, path)
 
 
-@query("src_company_news_json", s.twin(
-    f"""SELECT title, CASE WHEN id % 3 = 0 THEN '' ELSE 'sum ' || id END AS description,
-               'feed' AS source, '' AS url, {NOW} AS published_at, ticker FROM headlines""",
-    "headlines"))
-def src_company_news_json(spark, sf):
+def _company_news(spark, sf):
     item = F.struct(
         F.col("title").alias("headline"),
         F.when(F.col("id") % 3 != 0, F.concat(F.lit("sum "), "id")).alias("summary"),
@@ -94,20 +93,35 @@ def src_company_news_json(spark, sf):
     page = F.floor(F.col("id") / 100)
     payloads = (rows.groupBy("ticker", page.alias("page"))
                 .agg(F.to_json(F.collect_list(item)).alias("body")))
-    return printable(news.flatten_company_news(payloads, "body", "ticker"))
+    return news.flatten_company_news(payloads, "body", "ticker")
+
+
+@query("src_news_csv", s.twin(CSV_NEWS, "headlines"))
+def src_news_csv(spark, sf):
+    return printable(_csv_news(spark, sf))
+
+
+@query("src_articles_json", s.twin(ARTICLES, "headlines"))
+def src_articles_json(spark, sf):
+    return printable(_articles(spark, sf))
+
+
+@query("src_company_news_json", s.twin(COMPANY_NEWS, "headlines"))
+def src_company_news_json(spark, sf):
+    return printable(_company_news(spark, sf))
 
 
 @query("src_news_union", s.twin(
-    """SELECT title, CAST(ticker AS VARCHAR) AS ticker, 'api' AS origin, NULL AS description
-       FROM headlines
-       UNION ALL SELECT title, NULL, 'csv', 'd' || id FROM headlines""", "headlines"))
+    f"""SELECT title, description, content, source, author, url, published_at, NULL AS ticker
+        FROM ({ARTICLES})
+        UNION ALL SELECT title, description, NULL, source, NULL, url, published_at,
+                         CAST(ticker AS VARCHAR) FROM ({COMPANY_NEWS})
+        UNION ALL SELECT title, description, NULL, NULL, NULL, NULL, published_at, ticker
+        FROM ({CSV_NEWS})""", "headlines"))
 def src_news_union(spark, sf):
-    rows = headlines(spark, sf)
-    api = rows.select("title", F.col("ticker").cast("string").alias("ticker"),
-                      F.lit("api").alias("origin"))
-    local = rows.select("title", F.concat(F.lit("d"), "id").alias("description"),
-                        F.lit("csv").alias("origin"))
-    return news.union_news(api, local)
+    """Three sources with differing columns and types, each through its reader."""
+    return printable(news.union_news(_articles(spark, sf), _company_news(spark, sf),
+                                     _csv_news(spark, sf)))
 
 
 @query("concat_frames", s.twin(
@@ -132,16 +146,33 @@ def json_extract(spark, sf):
 
 @query("src_quote_json", """
     SELECT event_id, round(value, 2) AS current, CAST(NULL AS DOUBLE) AS high,
+           floor(value) AS low, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ceil(value) END AS open,
            CASE WHEN event_id % 4 = 0 THEN NULL ELSE round(value, 2) END AS prev_close,
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp" FROM events""")
 def src_quote_json(spark, sf):
     value = F.round("value", 2)
     record = F.to_json(F.struct(
         value.alias("c"), F.when(F.col("event_id") % 4 != 0, value).alias("pc"),
+        F.floor("value").cast("double").alias("l"),
+        F.when(F.col("event_id") % 5 != 0, F.ceil("value").cast("double")).alias("o"),
         epoch_seconds("ts").alias("t")))
     payloads = table(spark, sf, "events").select("event_id", record.alias("body"))
-    return printable(prices.flatten_quote(payloads, "body", "event_id")
-                     .drop("low", "open"))
+    return printable(prices.flatten_quote(payloads, "body", "event_id"))
+
+
+@query("src_market_quote_json", """
+    SELECT event_id, round(value, 2) AS price, round(value - 50, 2) AS change,
+           CASE WHEN event_id % 3 = 0 THEN NULL ELSE round(value - 50, 2) END AS change_pct,
+           event_id * 10 AS volume FROM events""")
+def src_market_quote_json(spark, sf):
+    """The second quote shape, with a missing percent change now and then."""
+    change = F.round(F.col("value") - 50, 2)
+    record = F.to_json(F.struct(
+        F.round("value", 2).alias("regularMarketPrice"), change.alias("regularMarketChange"),
+        F.when(F.col("event_id") % 3 != 0, change).alias("regularMarketChangePercent"),
+        (F.col("event_id") * 10).alias("regularMarketVolume")))
+    payloads = table(spark, sf, "events").select("event_id", record.alias("body"))
+    return prices.flatten_market_quote(payloads, "body", "event_id")
 
 
 @query("src_daily_series_json", s.twin(
@@ -193,7 +224,8 @@ def ohlcv_wide_to_long(spark, sf):
     """Per event type and day as `Close_TYPE` columns, then back to one row per pair."""
     events = table(spark, sf, "events").select(
         F.to_date("ts").alias("date"), "event_type", F.round(F.col("value") * 100).cast("long").alias("c"))
-    kinds = ["click", "error", "purchase", "signup", "view"]
+    # A wide table has a column per kind, so the kinds are known when it is laid out.
+    kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())
     wide = events.groupBy("date").agg(*[
         agg for k in kinds for agg in (
             F.max(F.when(F.col("event_type") == k, F.col("c"))).alias(f"Close_{k}"),
@@ -239,7 +271,7 @@ def sink_csv(spark, sf):
     path = new_path(spark, "export")
     sinks.write_csv(headlines(spark, sf).select("id", "title", _stamp("published_at")
                                                 .alias("published_at")), path)
-    back = (spark.read.option("header", True).option("escape", '"')
+    back = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
             .schema("id bigint, title string, published_at string").csv(path))
     return back
 
@@ -353,7 +385,7 @@ def _event_stream(spark, sf):
 
 
 def _headline_stream(spark, sf):
-    return headlines_from(_event_stream(spark, sf))
+    return headlines_from(_event_stream(spark, sf), sf)
 
 
 def _scored_stream(spark, sf):
@@ -371,11 +403,16 @@ def stream_score(spark, sf):
                                 new_path(spark, "stream-score"))
 
 
-@query("stream_timeline", s.twin(KEYED, "headlines", **HEUR_VIEWS, h=HISTORY))
+CLOSED = KEYED.replace(
+    "GROUP BY 1, 2", "WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= "
+    "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2")
+
+
+@query("stream_timeline", s.twin(CLOSED, "headlines", **HEUR_VIEWS, h=HISTORY))
 def stream_timeline(spark, sf):
+    """The days that the watermark has passed; a day is written once, then its state is freed."""
     timeline = streams.stream_timeline(_scored_stream(spark, sf), every="1 day", keys=["ticker"])
-    return printable(streams.run_to_table(timeline, new_path(spark, "stream-timeline"),
-                                          streams.write_complete))
+    return printable(streams.run_to_table(timeline, new_path(spark, "stream-timeline")))
 
 
 @query("stream_label_counts", s.twin(
@@ -394,6 +431,22 @@ def stream_align(spark, sf):
                                           new_path(spark, "stream-align")))
 
 
+@query("stream_align_late", s.twin(
+    f"SELECT id, {TO_DAY}, CAST(label AS BIGINT) AS label FROM a", "headlines", "ticks_bars",
+    l=s.labeled("ticks_bars"), a=ALIGNED))
+def stream_align_late(spark, sf):
+    """Headlines and labelled bars both as streams; a bar is known a day after its own."""
+    path = new_path(spark, "labeled-bars")
+    known = align.labeled_bars(ticks_bars(spark, sf)).select(
+        "ticker", "date", "label", F.timestamp_add(
+            "DAY", F.lit(1), F.col("date").cast("timestamp")).alias("known_at"))
+    known.write.parquet(path)
+    labeled = spark.readStream.schema(known.schema).parquet(path)
+    joined = streams.stream_align_late(_headline_stream(spark, sf), labeled)
+    return printable(streams.run_to_table(joined.select("id", "ticker", "date", "label"),
+                                          new_path(spark, "stream-align-late")))
+
+
 @query("stream_history", s.twin(
     "SELECT id, title AS headline, prediction, polarity, 'heuristic_fallback' AS model_used, "
     "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM h", "headlines", **HEUR_VIEWS, h=HISTORY))

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from marketlens import params
 from marketlens.functions import calendar as cal
 from marketlens.functions import labels as lab
-from marketlens.functions import text as tx
+from marketlens.functions.vectors import sparse_parts
 from marketlens.lexicons import DEFAULT_LEXICON, STRONG_BEARISH, STRONG_BULLISH
 from marketlens.operators import (
-    align, ensemble, estimators, features, heuristic, indicators, metrics, scoring, splits,
+    align, ensemble, estimators, headline_model, heuristic, indicators, metrics, scoring, splits,
     standardise as scaling, tuning, vocabulary)
 from marketlens.plans import sql as s
 from marketlens.plans.dataset import preprocess
 from marketlens.plans.tables import (
-    headlines, outcome, printable, rounded, samples, scored, scores, table, ticks_bars)
-from marketlens.plans.text_queries import DEFAULT_ROWS, _headlines, _polarity_sql
+    headlines, outcomes, printable, rounded, samples, scored, scores, table, ticks_bars)
+from marketlens.plans.text_queries import (
+    DEFAULT_ROWS, KEYWORDS, VOCAB, _headlines, _polarity_sql)
 from marketlens.sources import sinks
 from marketlens.sources.workspace import new_path
 
@@ -182,7 +182,7 @@ SPLIT = """SELECT e.*, row_number() OVER (PARTITION BY event_type
 
 
 def _outcomes(spark, sf):
-    return headlines(spark, sf).select("id", outcome().alias("label"))
+    return outcomes(spark, sf)
 
 
 @query("stratified_split", s.twin("SELECT event_id, event_type, is_test FROM sp", sp=SPLIT))
@@ -382,7 +382,7 @@ def heuristic_score(spark, sf):
               coalesce(m.p_down, h.p_down) AS p_down,
               coalesce(m.p_neutral, h.p_neutral) AS p_neutral, coalesce(m.p_up, h.p_up) AS p_up,
               coalesce(m.model_used, 'heuristic_fallback') AS model_used
-       FROM heur h LEFT JOIN m USING (id)""", "scored", **HEUR_VIEWS,
+       FROM heur h LEFT JOIN m USING (id)""", "scored", "headlines", **HEUR_VIEWS,
     m=f"""SELECT id, 'm1' AS model_used, {s.LABEL_NAME.format('prediction')} AS prediction,
                  p_down, p_neutral, p_up FROM scored
           WHERE model = 'm1' AND greatest(p_down, p_neutral, p_up) >= 0.8e0"""))
@@ -501,15 +501,38 @@ def topk_features(spark, sf):
 
 # --- model jobs (rows only) ------------------------------------------------------------------
 
-# Fewer trees, rounds and solver steps than the fitters' defaults, which take minutes to hours
-# on one machine. See the README.
-REDUCED = {"random_forest": {"trees": 100, "depth": 10}, "gbt": {"rounds": 10, "depth": 4},
-           "svm": {"max_iter": 50}}
+# Labelled rows that a fit of the forest, the boosted trees or the kernel machine takes, chosen
+# by a hash of the id. The logistic model takes all. Models have their full size, but for the
+# rounds of the boosted trees: a round is a job per level, see the README.
+FIT_ROWS = 1000
+# On thousands of term features the logistic solver is stopped after so many steps.
+HEADLINE_ARGUMENTS = {"max_iter": 50}
+ARGUMENTS = {"logistic_regression": {}, "svm": {}, "random_forest": {}, "gbt": {"rounds": 20}}
+
+
+def _bounded(rows, name):
+    if name == "logistic_regression":
+        return rows
+    return rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+
+
+# What the scores must be at any size: one row per vector, shares of one, the class with the
+# largest, and (over all rows) more right than the most frequent class would be.
+FLAGS_SQL = s.twin(
+    "SELECT vec_id AS id, true AS sums_to_one, true AS is_largest, true AS in_range FROM embeddings")
+
+
+def _flags(scored):
+    total = F.col("p_down") + F.col("p_neutral") + F.col("p_up")
+    own = F.element_at(F.array(*P), F.col("prediction").cast("int") + 1)
+    return scored.select("id", (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+                         (own == F.greatest(*P)).alias("is_largest"),
+                         (F.least(*P) >= 0).alias("in_range"))
 
 
 def _fit_and_score(spark, sf, name):
     rows = samples(spark, sf).drop("x")
-    model = estimators.FITTERS[name](rows, **REDUCED.get(name, {}))
+    model = estimators.FITTERS[name](_bounded(rows, name), **ARGUMENTS[name])
     return estimators.predict_probabilities(model, rows).drop("features")
 
 
@@ -518,19 +541,19 @@ def fit_logistic(spark, sf):
     return _fit_and_score(spark, sf, "logistic_regression")
 
 
-@query("fit_svm")
+@query("fit_svm", FLAGS_SQL)
 def fit_svm(spark, sf):
-    return _fit_and_score(spark, sf, "svm")
+    return _flags(_fit_and_score(spark, sf, "svm"))
 
 
-@query("fit_random_forest")
+@query("fit_random_forest", FLAGS_SQL)
 def fit_random_forest(spark, sf):
-    return _fit_and_score(spark, sf, "random_forest")
+    return _flags(_fit_and_score(spark, sf, "random_forest"))
 
 
-@query("fit_gbt")
+@query("fit_gbt", FLAGS_SQL)
 def fit_gbt(spark, sf):
-    return _fit_and_score(spark, sf, "gbt")
+    return _flags(_fit_and_score(spark, sf, "gbt"))
 
 
 @query("grid_search")
@@ -553,14 +576,19 @@ def benchmark(spark, sf):
     def scaled(df):
         return scaler.transform(df).select("id", "label", F.col("scaled").alias("features"))
 
-    chosen = {name: REDUCED.get(name, {}) for name in estimators.FITTERS}
-    return tuning.benchmark(spark, scaled(train), scaled(test), chosen).drop("train_time_s")
+    folder = new_path(spark, "benchmark-models")
+    fitted = scaled(train.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS))
+    return tuning.benchmark(
+        spark, fitted, scaled(test), ARGUMENTS,
+        save=lambda name, model: sinks.save_model(model, f"{folder}/{name}"),
+        grids={"logistic_regression": tuning.PARAM_GRIDS["logistic_regression"]}
+    ).drop("train_time_s")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = samples(spark, sf).drop("x")
-    model = estimators.fit_random_forest(rows, **REDUCED["random_forest"])
+    model = estimators.fit_random_forest(_bounded(rows, "random_forest"))
     width = len(rows.select("features").first()[0])
     return tuning.feature_importance(spark, model, [f"x{i}" for i in range(width)])
 
@@ -572,46 +600,91 @@ def permutation_importance(spark, sf):
     return tuning.permutation_importance(rows, model)
 
 
-@query("sink_model")
-def sink_model(spark, sf):
-    """Scores of a model that was saved with its scaler and loaded again."""
-    from pyspark.ml import PipelineModel
-
-    rows = samples(spark, sf).drop("x")
-    scaler = scaling.fit_vector_scaler(rows)
-    model = estimators.fit_logistic(scaler.transform(rows), features="scaled")
-    path = new_path(spark, "model")
-    sinks.save_model(PipelineModel([*scaler.stages, *model.stages]), path)
-    return estimators.predict_probabilities(sinks.load_model(path), rows).drop("features")
-
-
-def _labeled_news(spark, sf):
+def _news(spark, sf):
+    """Headlines aligned with their instruments' labelled bars and indicators."""
     market = indicators.market_features(ticks_bars(spark, sf))
-    return preprocess(align.align_news_prices(headlines(spark, sf), market))
+    return align.align_news_prices(headlines(spark, sf), market)
 
 
-@query("feature_matrix")
+@query("sink_model", s.twin("SELECT id, true AS same_scores, true AS same_features FROM headlines",
+                            "headlines"))
+def sink_model(spark, sf):
+    """Headlines scored by a whole saved pipeline, loaded again, as by the one in memory."""
+    model = headline_model.fit(_news(spark, sf), arguments=HEADLINE_ARGUMENTS)
+    path = new_path(spark, "model")
+    sinks.save_model(model, path)
+    both = headlines(spark, sf)
+    for name, one in (("a", model), ("b", sinks.load_model(path))):
+        out = estimators.with_probabilities(one.transform(both.select("id", "title", "published_at")))
+        both = both.join(out.select("id", F.struct(*P, "prediction").alias(f"{name}_p"),
+                                    F.col("features").alias(f"{name}_x")), "id")
+    return both.select("id", (F.col("a_p") == F.col("b_p")).alias("same_scores"),
+                       (F.unwrap_udt("a_x") == F.unwrap_udt("b_x")).alias("same_features"))
+
+
+@query("feature_matrix", s.twin(
+    """SELECT id, (SELECT count(*) FROM vocab) + 384 + 13 + 13 + 8 AS n_features,
+              coalesce(n_terms, 0) AS n_terms, coalesce(n_buckets, 0) AS n_buckets
+       FROM news LEFT JOIN (SELECT doc_id, count(*) AS n_terms FROM term_counts
+                            JOIN vocab USING (term) GROUP BY doc_id) t ON t.doc_id = id
+       LEFT JOIN (SELECT doc_id, count(DISTINCT CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT)
+                         % 384) AS n_buckets FROM clean_words GROUP BY doc_id) b ON b.doc_id = id""",
+    "headlines", "ticks_bars", ret=s.returns("ticks_bars"),
+    news=f"""SELECT h.id, {s.clean('title')} AS clean_text FROM headlines h
+             JOIN ret r ON r.ticker = h.ticker AND r.date = CAST(h.published_at AS DATE)
+             WHERE r.forward_return IS NOT NULL""",
+    clean_docs="SELECT id AS doc_id, clean_text FROM news",
+    clean_words=s.VIEWS["clean_words"], grams=s.VIEWS["grams"], term_counts=s.VIEWS["term_counts"],
+    vocab=VOCAB))
 def feature_matrix(spark, sf):
-    news = _labeled_news(spark, sf)
-    vocab = vocabulary.fit_vocabulary(news, "clean_text")
-    matrix = features.feature_matrix(news, vocab)
-    entries = vector_to_array("features")
-    return matrix.select(
-        "id", "label", F.size(entries).alias("n_features"),
-        F.size(F.filter(entries, lambda x: x != 0)).alias("n_nonzero"))
-
-
-@query("score_batch")
+    news = preprocess(_news(spark, sf))
+    matrix = headline_model.feature_matrix(news, vocabulary.fit_vocabulary(news, "clean_text"))
+    filled = [F.size(F.filter(sparse_parts(c)[1], lambda x: x != 0)).cast("long")
+              for c in ("tfidf", "embedding")]
+    return matrix.select("id", F.size(vector_to_array("features")).cast("long").alias("n_features"),
+                         filled[0].alias("n_terms"), filled[1].alias("n_buckets"))
+
+
+
+@query("score_batch", s.twin(
+    f"""SELECT id, title AS headline, {s.clean('title')} AS clean_text,
+               CAST(len({KEYWORDS.replace('text', 'title')}) AS BIGINT) AS n_keywords,
+               round(coalesce(polarity, 0), 4) AS polarity, true AS class_of_largest,
+               true AS sums_to_one
+        FROM headlines LEFT JOIN pol ON id = k""", "headlines",
+    clean=f"SELECT id, {s.clean('title')} AS clean_text FROM headlines",
+    **_polarity_sql("clean", "id", "clean_text", DEFAULT_ROWS)))
 def score_batch(spark, sf):
-    """Train on aligned headlines, score every headline in one plan.
-
-    Text features are computed on the news side before the join, where rows are spread."""
-    news = _headlines(spark, sf).withColumn("clean_text", tx.clean_text("title"))
-    wide, names = features.scalar_features(news, "clean_text")
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(wide)
-    train = align.align_news_prices(assembled, ticks_bars(spark, sf))
-    model = estimators.fit_logistic(train)
-    out = scoring.score_batch(assembled, model, "logistic_regression")
-    return out.select("id", "headline", "clean_text", "prediction", "prediction_id",
-                      "confidence", "probabilities.*", F.col("sentiment.polarity").alias("polarity"),
-                      F.array_join("financial_keywords", "|").alias("keywords"), "model_used")
+    """One saved pipeline with the whole feature set, trained on aligned headlines, loaded and
+    run over all raw headlines; checked by its deterministic parts."""
+    path = new_path(spark, "headline-model")
+    sinks.save_model(headline_model.fit(_news(spark, sf), arguments=HEADLINE_ARGUMENTS), path)
+    raw = headlines(spark, sf).select("id", "title", "published_at")
+    out = scoring.score_batch(raw, sinks.load_model(path), "logistic_regression")
+    shares = [F.col(f"probabilities.{c}") for c in ("down", "neutral", "up")]
+    picked = F.element_at(F.array(*shares), F.col("prediction_id").cast("int") + 1)
+    return out.select(
+        "id", "headline", "clean_text",
+        F.size("financial_keywords").cast("long").alias("n_keywords"),
+        F.col("sentiment.polarity").alias("polarity"),
+        (picked == F.greatest(*shares)).alias("class_of_largest"),
+        (F.abs(shares[0] + shares[1] + shares[2] - 1) < 2e-4).alias("sums_to_one"))
+
+
+@query("score_ensemble", s.twin(
+    "SELECT id, 4 AS n_models, true AS votes_add_up, true AS action_fits FROM headlines",
+    "headlines"))
+def score_ensemble(spark, sf):
+    """Four models fitted on one set of features vote on every headline; safety rules follow."""
+    train = _news(spark, sf).orderBy(F.xxhash64("id", "ticker"), "id").limit(FIT_ROWS)
+    front, models = headline_model.fit_all(
+        train, ARGUMENTS | {"logistic_regression": HEADLINE_ARGUMENTS})
+    raw = headlines(spark, sf).select("id", "title", "published_at")
+    voted = scoring.score_ensemble(front.transform(raw).select("id", "features"), models)
+    ruled = ensemble.safety_rules(voted)
+    calm = F.col("prediction") == F.when(F.col("safety_applied"), "NEUTRAL").otherwise(
+        F.col("raw_prediction"))
+    return ruled.select(
+        "id", F.col("n_models").cast("int").alias("n_models"),
+        (F.col("votes_down") + F.col("votes_neutral") + F.col("votes_up")
+         == F.col("n_models")).alias("votes_add_up"), calm.alias("action_fits"))

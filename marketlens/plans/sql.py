@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marketlens.functions.text import stop_words
 from marketlens.lexicons import DEFAULT_NOUNS, FUSED_WORDS, NOUN_SUFFIXES
-from marketlens.plans.tables import TITLES
+from marketlens.plans.tables import PHRASES, SHARPNESS
 
 
 # The same character classes in RE2 syntax.
@@ -47,14 +47,8 @@ def h(key: str) -> str:
             " AS BIGINT)")
 
 
-_TITLE = "CASE CAST(event_id % 10 AS INT) " + " ".join(
-    f"WHEN {i} THEN {quote(t)}" for i, t in enumerate(TITLES)) + " END"
-
-
-def _weight(k: str, c: int, early: int, late: int) -> str:
-    return (f"CASE WHEN id % 50 = 7 THEN CASE WHEN model IN ('m1', 'm2') THEN {early} "
-            f"ELSE {late} END ELSE {h(f'model, {quote(k)}')} % 97 + 1 + "
-            f"CASE WHEN fav = {c} THEN 300 ELSE 0 END END AS {k}")
+_PHRASE = "CASE CAST(event_id % 10 AS INT) " + " ".join(
+    f"WHEN {i} THEN {quote(t)}" for i, t in enumerate(PHRASES)) + " END"
 
 
 def normalise(text: str) -> str:
@@ -126,20 +120,29 @@ VIEWS = {
     "ticks_bars": _bars("events", "user_id",
                         "ts", "value", "1", ["ts", "event_id"]),
     "headlines": f"""SELECT event_id AS id, user_id AS ticker, ts AS published_at,
-                            {_TITLE} AS title
-                     FROM events""",
-    "weights": f"""SELECT id, model, {_weight('d', 0, 1, 52)}, {_weight('n', 1, 1, 1)},
-                          {_weight('u', 2, 98, 47)}
-                   FROM (SELECT id, model,
-                                CASE WHEN {h("model, 'f'")} % 4 = 0
-                                     THEN {h("model, 'g'")} % 3 ELSE {h("'b'")} % 3 END AS fav
-                         FROM headlines,
-                              (VALUES ('m1'), ('m2'), ('m3'), ('m4')) AS t(model))""",
-    "scores": """SELECT id, model, round(d / (d + n + u), 4) AS p_down,
-                        round(n / (d + n + u), 4) AS p_neutral,
-                        round(u / (d + n + u), 4) AS p_up FROM weights""",
-    "outcomes": f"""SELECT id, CASE WHEN {h("'yk'")} % 10 < 7 THEN {h("'b'")} % 3
-                                    ELSE {h("'yr'")} % 3 END AS label FROM headlines""",
+                            concat_ws(' ', {_PHRASE}, text) AS title
+                     FROM events LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0)
+                     ON conv_id = event_id % (SELECT max(conv_id) + 1 FROM conversations)""",
+    "entries": """SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+                         generate_subscripts(embedding, 1) - 1 AS f, len(embedding) AS width
+                  FROM embeddings""",
+    "centroids": "SELECT label AS c, f, avg(x) AS m FROM entries GROUP BY ALL",
+    "distances": """SELECT vec_id, c, 4 * f // width AS k, sum((x - m) * (x - m)) AS d
+                    FROM entries JOIN centroids USING (f) GROUP BY ALL""",
+    "sharpness": "SELECT * FROM (VALUES " + ", ".join(
+        f"({k}, {quote(m)}, {b!r}e0)" for k, (m, b) in enumerate(SHARPNESS.items()))
+        + ") AS t(k, model, b)",
+    "vector_scores": "SELECT vec_id, model, " + ", ".join(
+        f"coalesce(sum(exp(-d * b)) FILTER (c % 3 = {c}), 0) / sum(exp(-d * b)) AS {p}"
+        for c, p in enumerate(["p_down", "p_neutral", "p_up"]))
+        + " FROM distances JOIN sharpness USING (k) GROUP BY vec_id, model",
+    "by_vector": """SELECT event_id AS id, event_id % (SELECT count(*) FROM embeddings) AS vec_id
+                    FROM events""",
+    "scores": """SELECT id, model, round(p_down, 4) AS p_down,
+                        round(p_neutral, 4) AS p_neutral, round(p_up, 4) AS p_up
+                 FROM by_vector JOIN vector_scores USING (vec_id)""",
+    "outcomes": """SELECT id, label % 3 AS label FROM by_vector
+                   JOIN embeddings USING (vec_id)""",
     "scored": """SELECT s.*, o.label,
                         CASE WHEN p_down >= p_neutral AND p_down >= p_up THEN 0
                              WHEN p_neutral >= p_up THEN 1 ELSE 2 END AS prediction
@@ -159,7 +162,9 @@ VIEWS = {
                       GROUP BY doc_id, term""",
 }
 NEEDS = {
-    "weights": ["headlines"], "scores": ["weights"], "outcomes": ["headlines"],
+    "centroids": ["entries"], "distances": ["entries", "centroids"],
+    "vector_scores": ["distances", "sharpness"], "scores": ["by_vector", "vector_scores"],
+    "outcomes": ["by_vector"],
     "scored": ["scores", "outcomes"], "clean_words": ["clean_docs"], "grams": ["clean_words"],
     "term_counts": ["grams"],
 }

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.functions.bind import bind
 from marketlens.lexicons import Lexicon
 from marketlens.operators.ensemble import with_model_class
 
-# Titles of the headline view, by event_id % 10.
-TITLES = [
+# Opening phrases of the headline view, by event_id % 10; the rest of a headline is the first
+# turn of a conversation.
+PHRASES = [
     "Shares SURGE 12% after record profit, raising outlook!",
     "Chipmaker beats estimates; revenue growth accelerates",
     "Retailer’s shares plunge on weak demand — losses widen",
@@ -39,7 +39,9 @@ CORPUS_LEXICON = Lexicon(tuple(
 CORPUS_VALENCE = {"the": 1.5, "les": 2.0, "der": -1.5, "el": -2.5, "und": 0.5, "de": -0.5,
                   "la": 1.0}
 
-MODELS = ["m1", "m2", "m3", "m4"]
+#: Model k looks at the k-th quarter of a headline's vector; the larger the sharpness, the
+#: surer it is of the nearest centroid.
+SHARPNESS = {"m1": 10.0, "m2": 40.0, "m3": 160.0, "m4": 640.0}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,19 +93,21 @@ def ticks_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("ts", "event_id").alias("at")))
 
 
-def title_of(event_id: str = "event_id") -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in TITLES]),
-                        (F.col(event_id) % 10 + 1).cast("int"))
-
-
-def headlines_from(events: DataFrame) -> DataFrame:
-    return events.select(
+def headlines_from(events: DataFrame, sf_dir: str) -> DataFrame:
+    """A headline per event, also of a stream: a phrase and a conversation's first turn."""
+    turns = table(events.sparkSession, sf_dir, "conversations")
+    n = turns.agg(F.max("conv_id")).first()[0] + 1
+    texts = turns.where("turn = 0").select(F.col("conv_id").alias("_conv"), "text")
+    phrase = F.element_at(F.array(*[F.lit(t) for t in PHRASES]),
+                          (F.col("event_id") % 10 + 1).cast("int"))
+    joined = events.withColumn("_conv", F.col("event_id") % n).join(texts, "_conv", "left")
+    return joined.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("ticker"),
-        F.col("ts").alias("published_at"), title_of().alias("title"))
+        F.col("ts").alias("published_at"), F.concat_ws(" ", phrase, "text").alias("title"))
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headlines_from(table(spark, sf_dir, "events"))
+    return headlines_from(table(spark, sf_dir, "events"), sf_dir)
 
 
 def hash_of(key: Column | str) -> Column:
@@ -113,42 +117,61 @@ def hash_of(key: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integer class weights (d, n, u) per headline and model."""
-    base = headlines(spark, sf_dir).select(
-        "id", F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"))
-    model = F.col("model")
-    favourite = F.when(hash_of(F.concat(model, F.lit("f"))) % 4 == 0,
-                       hash_of(F.concat(model, F.lit("g"))) % 3).otherwise(hash_of("b") % 3)
-    picked = base.withColumn("_f", favourite)
-    special = F.col("id") % 50 == 7
-    early = model.isin("m1", "m2")
-    forced = {"d": F.when(early, 1).otherwise(52), "n": F.lit(1),
-              "u": F.when(early, 98).otherwise(47)}
-    return bind(picked, {
-        k: F.when(special, forced[k]).otherwise(
-            hash_of(F.concat(model, F.lit(k))) % 97 + 1
-            + F.when(F.col("_f") == c, 300).otherwise(0)).cast("long")
-        for c, k in enumerate("dnu")}).drop("_f")
+def _vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, model, p_down, p_neutral, p_up) of four nearest-centroid models.
+
+    A model weighs every label's centroid by exp(-sharpness d^2), d the distance in its quarter
+    of the vector; a class has the weights of the labels that fall on it modulo three.
+    """
+    raw = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    width = len(raw.select("x").first()[0])
+    means = raw.groupBy("label").agg(
+        F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(width)]).alias("mean"))
+    # One row per label of the table.
+    centroids = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean")))).scalar()
+    rows = raw.select("vec_id", "x", F.inline(centroids))
+    parts = []
+    for k, (model, sharpness) in enumerate(SHARPNESS.items()):
+        cut = [F.slice(c, k * width // 4 + 1, width // 4) for c in ("x", "mean")]
+        square = F.aggregate(F.zip_with(*cut, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                             lambda total, v: total + v)
+        parts.append(F.struct(F.lit(model).alias("model"),
+                              F.exp(-square * sharpness).alias("w")))
+    each = rows.select("vec_id", "label", F.inline(F.array(*parts)))
+    return each.groupBy("vec_id", "model").agg(*[
+        (F.sum(F.when(F.col("label") % 3 == c, F.col("w")).otherwise(0.0)) / F.sum("w")).alias(p)
+        for c, p in enumerate(["p_down", "p_neutral", "p_up"])])
+
+
+def _by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vec_id) of headlines: vectors are dealt to them in turn."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), (F.col("event_id") % n).alias("vec_id"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, model, p_down, p_neutral, p_up)."""
-    total = F.col("d") + F.col("n") + F.col("u")
-    return weights(spark, sf_dir).select(
-        "id", "model", *[(F.col(k) / total).alias(p) for k, p in
-                         zip("dnu", ["p_down", "p_neutral", "p_up"])])
+    return _by_vector(spark, sf_dir).join(_vector_scores(spark, sf_dir), "vec_id").select(
+        "id", "model", "p_down", "p_neutral", "p_up")
 
 
-def outcome() -> Column:
-    """Actual class of a headline id."""
-    return F.when(hash_of("yk") % 10 < 7, hash_of("b") % 3).otherwise(hash_of("yr") % 3) \
-            .cast("int")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label): actual class of a headline, that of its vector."""
+    labels = table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("label") % 3).cast("int").alias("label"))
+    return _by_vector(spark, sf_dir).join(labels, "vec_id").select("id", "label")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounded scores with predicted and actual class."""
-    return with_model_class(scores(spark, sf_dir)).withColumn("label", outcome())
+    labels = table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("label") % 3).cast("int").alias("label"))
+    known = _by_vector(spark, sf_dir).join(
+        _vector_scores(spark, sf_dir).join(labels, "vec_id"), "vec_id")
+    return with_model_class(known.select(
+        "id", "model", "p_down", "p_neutral", "p_up", "label"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

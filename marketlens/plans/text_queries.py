@@ -10,7 +10,8 @@ from marketlens.functions import text as tx
 from marketlens.lexicons import (
     DAMPENERS, DEFAULT_LEXICON, ENGLISH_STOP_WORDS, FINANCE_KEYWORDS, FINANCE_STOP_WORDS,
     INTENSIFIERS, NEGATIONS)
-from marketlens.operators import align, embedding, features, lemmas, vocabulary
+from marketlens.operators import (
+    align, embedding, features, lemmas, lexicon_scan, vocabulary)
 from marketlens.plans import sql as s
 from marketlens.plans.tables import (
     CORPUS_LEXICON, CORPUS_VALENCE, documents, headlines, printable, rounded, spread, table)
@@ -213,7 +214,7 @@ def token_lexicon_intersect(spark, sf):
     "ON contains(lower(coalesce(t.text, '')), l.term)", "headlines", t=ALL_TEXT,
     **{LEX: DEFAULT_ROWS}))
 def lexicon_substring_join(spark, sf):
-    terms = {t for t, *_ in DEFAULT_LEXICON.rows}
+    terms = DEFAULT_LEXICON.table(spark).select("term")
     return align.lexicon_substring_join(_all_text(spark, sf), terms, "text", ["origin", "id"])
 
 
@@ -223,9 +224,8 @@ def _counts(text: str, lexicon) -> str:
         f"contains(lower({text}), k))) AS {c}_count" for c in ("bullish", "bearish", "neutral"))
 
 
-def _lexicon_counts(df, text, lexicon):
-    return df.withColumns({f"{c}_count": lex.lexicon_count(text, c, lexicon)
-                           for c in ("bullish", "bearish", "neutral")})
+def _lexicon_counts(spark, df, text, lexicon):
+    return lexicon_scan.scan(df, text, lexicon.table(spark))
 
 
 COUNT_NAMES = ["bullish_count", "bearish_count", "neutral_count"]
@@ -235,9 +235,9 @@ COUNT_NAMES = ["bullish_count", "bearish_count", "neutral_count"]
     f"SELECT 'd' AS origin, doc_id AS id, {_counts('text', CORPUS_LEXICON)} FROM documents "
     f"UNION ALL SELECT 'h', id, {_counts('title', DEFAULT_LEXICON)} FROM headlines", "headlines"))
 def lexicon_counts(spark, sf):
-    docs = _lexicon_counts(_docs(spark, sf), "text", CORPUS_LEXICON).select(
+    docs = _lexicon_counts(spark, _docs(spark, sf), "text", CORPUS_LEXICON).select(
         F.lit("d").alias("origin"), F.col("doc_id").alias("id"), *COUNT_NAMES)
-    news = _lexicon_counts(_headlines(spark, sf), "title", DEFAULT_LEXICON).select(
+    news = _lexicon_counts(spark, _headlines(spark, sf), "title", DEFAULT_LEXICON).select(
         F.lit("h").alias("origin"), "id", *COUNT_NAMES)
     return printable(docs.unionByName(news))
 
@@ -250,7 +250,7 @@ COMBINED = f"concat(title, ' ', {s.clean('title')})"
 def combined_text_counts(spark, sf):
     news = _headlines(spark, sf).withColumn(
         "_t", lex.combined_text("title", tx.clean_text("title")))
-    return printable(_lexicon_counts(news, "_t", DEFAULT_LEXICON).select("id", *COUNT_NAMES))
+    return printable(_lexicon_counts(spark, news, "_t", DEFAULT_LEXICON).select("id", *COUNT_NAMES))
 
 
 def _polarity_sql(source: str, row: str, text: str, rows: str) -> dict[str, str]:
@@ -280,12 +280,46 @@ def lexicon_sentiment(spark, sf):
         "polarity_x_subjectivity": F.col("polarity") * F.col("subjectivity")})
 
 
+# A lexicon of corpus size: the words of the benchmark's texts, with classes and weights from
+# their md5.
+WORD_HASH = "CAST(concat('0x', substring(md5(term), 1, 6)) AS BIGINT)"
+WORD_ROWS = f"""SELECT term, CASE h % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END,
+    (h % 17 - 8) / 8.0e0, (h % 9) / 8.0e0
+    FROM (SELECT term, {WORD_HASH} AS h FROM
+          (SELECT DISTINCT unnest({LOWER_WORDS}) AS term FROM benchmark))"""
+
+
+def word_lexicon(spark, sf):
+    words = table(spark, sf, "benchmark").select(
+        F.explode(tx.split_words(F.lower(tx.null_text_to_empty("text")))).alias("term")).distinct()
+    h = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long")
+    label = F.when(h % 3 == 0, "bullish").when(h % 3 == 1, "bearish").otherwise("neutral")
+    return words.select("term", label.alias("class"), ((h % 17 - 8) / 8.0).alias("polarity"),
+                        ((h % 9) / 8.0).alias("subjectivity"))
+
+
+def _word_counts(label: str) -> str:
+    return (f"len(list_filter((SELECT list(term) FROM lexicon WHERE class = '{label}'), "
+            f"lambda k: contains(lower(coalesce(text, '')), k))) AS {label}_count")
+
+
+@query("lexicon_table_counts", s.twin(
+    f"SELECT doc_id, {', '.join(map(_word_counts, lexicon_scan.CLASSES))}, "
+    "coalesce(polarity, 0) AS polarity, coalesce(subjectivity, 0) AS subjectivity "
+    "FROM documents LEFT JOIN pol ON doc_id = k",
+    **_polarity_sql("documents", "doc_id", "coalesce(text, '')", WORD_ROWS)))
+def lexicon_table_counts(spark, sf):
+    """All documents against a lexicon that is a table, derived from another table's words."""
+    found = lexicon_scan.scan(_docs(spark, sf), "text", word_lexicon(spark, sf))
+    return printable(found.select("doc_id", *COUNT_NAMES, "polarity", "subjectivity"))
+
+
 # --- valence ---------------------------------------------------------------------------------
 
 def valence_views(source: str, row: str, text: str, valence: dict) -> dict[str, str]:
     """Views ending in `v(k, compound, positive, negative, neutral)`."""
-    bare = (f"list_transform({s.words(f'lower({text})')}, lambda w: regexp_replace("
-            r"regexp_replace(w, '[''’]', '', 'g'), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))")
+    bare = (f"list_transform({s.words(text)}, lambda w: regexp_replace("
+            r"regexp_replace(w, '[''’]', '', 'g'), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))")
     back = ", ".join(
         f"coalesce(lag(b, {i}) OVER (PARTITION BY k ORDER BY pos), 0) AS b{i}, "
         f"coalesce(lag(neg, {i}) OVER (PARTITION BY k ORDER BY pos), false) AS n{i}"
@@ -296,14 +330,25 @@ def valence_views(source: str, row: str, text: str, valence: dict) -> dict[str,
         "valence(w, v)": s.values(sorted((t, float(x)) for t, x in valence.items())),
         "vw": f"SELECT {row} AS k, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM "
               f"(SELECT {row}, list_filter({bare}, lambda w: w <> '') AS ws FROM {source})",
-        "facts": f"""SELECT k, pos, coalesce(v, 0.0e0) AS v,
+        "cased": """SELECT k, pos, lower(w) AS w, upper(w) = w AND lower(w) <> w AS up,
+                      bool_or(upper(w) = w AND lower(w) <> w) OVER (PARTITION BY k)
+                      AND bool_or(NOT (upper(w) = w AND lower(w) <> w)) OVER (PARTITION BY k) AS mixed
+                    FROM vw""",
+        "plain": f"""SELECT k, pos, w, up AND mixed AS loud, coalesce(v, 0.0e0) AS v,
                        CASE WHEN w IN {s.tuple_of(INTENSIFIERS)} THEN 0.293e0
                             WHEN w IN {s.tuple_of(DAMPENERS)} THEN -0.293e0 ELSE 0.0e0 END AS b,
                        w IN {s.tuple_of(NEGATIONS)} AS neg
-                     FROM vw LEFT JOIN valence USING (w)""",
+                     FROM cased LEFT JOIN valence USING (w)""",
+        "facts": """SELECT k, pos, neg,
+                      CASE WHEN loud AND v > 0 THEN v + 0.733e0
+                           WHEN loud AND v < 0 THEN v - 0.733e0 ELSE v END AS v,
+                      CASE WHEN loud AND b <> 0 THEN b + 0.733e0 ELSE b END AS b,
+                      min(pos) FILTER (w = 'but') OVER (PARTITION BY k) AS but FROM plain""",
         "ctx": f"SELECT *, {back} FROM facts",
-        "adj": f"""SELECT k, CASE WHEN v = 0 THEN 0.0e0
-                       WHEN n1 OR n2 OR n3 THEN {boosted} * -0.74e0 ELSE {boosted} END AS x FROM ctx""",
+        "adj": f"""SELECT k, (CASE WHEN v = 0 THEN 0.0e0
+                       WHEN n1 OR n2 OR n3 THEN {boosted} * -0.74e0 ELSE {boosted} END)
+                     * CASE WHEN pos < but THEN 0.5e0 WHEN pos > but THEN 1.5e0 ELSE 1.0e0 END AS x
+                   FROM ctx""",
         "sums": """SELECT k, sum(CAST(x AS DOUBLE)) AS total,
                           coalesce(sum(x + 1) FILTER (x > 0), 0) AS p,
                           coalesce(sum(x - 1) FILTER (x < 0), 0) AS g,
@@ -428,7 +473,7 @@ def tfidf_transform(spark, sf):
     turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
     turns = spread(turns, "row_id").select("row_id", tx.clean_text("text").alias("clean_text"))
-    return rounded(vocabulary.tfidf_transform(turns, vocab, "clean_text", "row_id"), "weight")
+    return rounded(vocabulary.tfidf_in_row(turns, vocab, "clean_text", "row_id"), "weight")
 
 
 @query("text_embedding", s.twin(
@@ -440,3 +485,18 @@ def tfidf_transform(spark, sf):
 def text_embedding(spark, sf):
     return printable(rounded(embedding.hashed_buckets(_docs(spark, sf), "text", "doc_id"),
                              "weight"))
+
+
+@query("text_embedding_vectors", s.twin(
+    "SELECT doc_id, 384 AS dim, coalesce(n_filled, 0) AS n_filled, "
+    "CASE WHEN n_filled > 0 THEN 1.0e0 ELSE 0.0e0 END AS length FROM documents LEFT JOIN "
+    "(SELECT doc_id, count(DISTINCT CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % 384) "
+    "AS n_filled FROM w GROUP BY doc_id) USING (doc_id)",
+    w=f"SELECT doc_id, unnest({LOWER_WORDS}) AS w FROM documents"))
+def text_embedding_vectors(spark, sf):
+    """The dense form: one array per document."""
+    rows = embedding.hashed_embedding(_docs(spark, sf), "text")
+    square = F.aggregate("embedding", F.lit(0.0), lambda t, v: t + v.cast("double") * v)
+    return rows.select("doc_id", F.size("embedding").alias("dim"),
+                       F.size(F.filter("embedding", lambda v: v != 0)).cast("long").alias("n_filled"),
+                       F.round(F.sqrt(square), 4).alias("length"))

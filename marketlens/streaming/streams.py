@@ -47,6 +47,26 @@ def stream_align(headlines: DataFrame, bars: DataFrame, close: str = "close",
     return stamped.join(labeled_bars(bars, close), ["ticker", "date"], "inner")
 
 
+def stream_align_late(headlines: DataFrame, labeled: DataFrame, time: str = "published_at",
+                      known: str = "known_at", wait: str = "7 days",
+                      lateness: str = "1 day") -> DataFrame:
+    """Stream-stream join of headlines with labelled bars that come later.
+
+    `labeled` has ticker, date, label and the time at which the bar was known. A headline waits
+    for its bar up to `wait` after it was published; both sides may be `lateness` behind their
+    stream's newest row. State older than that is freed.
+    """
+    stamped = dated(headlines, time).where(F.col("date").isNotNull()).withColumn(
+        "_at", F.col(time).cast("timestamp")).withWatermark("_at", lateness)
+    bars = labeled.select(F.col("ticker").alias("_ticker"), F.col("date").alias("_date"), "label",
+                          known).withWatermark(known, lateness)
+    return stamped.join(bars, (F.col("ticker") == F.col("_ticker"))
+                        & (F.col("date") == F.col("_date"))
+                        & (F.col(known) >= F.col("_at") - F.expr("INTERVAL 1 DAY"))
+                        & (F.col(known) <= F.col("_at") + F.expr(f"INTERVAL {wait}")),
+                        "inner").drop("_ticker", "_date", "_at")
+
+
 def write_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Exactly-once parquet append of everything available, then stop."""
     return (stream.writeStream.format("parquet").outputMode("append")

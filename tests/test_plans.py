@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import align, indicators, vocabulary
+from marketlens.operators import align, indicators, metrics, vocabulary
 from marketlens.plans import tables
 from marketlens.sources import prices, sinks
 from marketlens.sources.workspace import new_path, shared_folder
@@ -68,7 +68,8 @@ def test_stream_resumes_without_duplicates(spark, sf_dir):
     events.where(half).write.mode("append").parquet(folder)
 
     def run():
-        stream = tables.headlines_from(spark.readStream.schema(events.schema).parquet(folder))
+        stream = tables.headlines_from(
+            spark.readStream.schema(events.schema).parquet(folder), sf_dir)
         scored = streams.stream_score(stream).select("id", "prediction")
         streams.write_append(scored, out, f"{out}-checkpoint").awaitTermination()
         return spark.read.parquet(out).count()
@@ -76,17 +77,74 @@ def test_stream_resumes_without_duplicates(spark, sf_dir):
     first = run()
     assert run() == first
     events.where(~half).write.mode("append").parquet(folder)
-    assert run() == tables.headlines_from(events).count()
+    assert run() == tables.headlines_from(events, sf_dir).count()
     assert spark.read.parquet(out).select("id").distinct().count() == run()
 
 
 def test_watermarked_timeline_appends(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = tables.headlines_from(
-        streams.read_table_stream(spark, sf_dir, "events.parquet", schema))
+        streams.read_table_stream(spark, sf_dir, "events.parquet", schema), sf_dir)
     scored = streams.stream_score(stream).withColumn("ts", F.col("published_at").cast("timestamp"))
     timeline = streams.stream_timeline(scored, every="1 day")
     out = streams.run_to_table(timeline, new_path(spark, "timeline"))
     batch = tables.headlines(spark, sf_dir).select(F.to_date("published_at").alias("d")).distinct()
     days = out.count()
     assert 0 < days <= batch.count()
+
+
+def test_timeline_frees_state(spark, sf_dir):
+    """Days that the watermark has passed leave the state; late rows do not reopen them."""
+    folder = new_path(spark, "days")
+    start = "2024-01-01 00:00:00"
+    for day in range(4):
+        spark.range(48).select(
+            (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(
+                F.lit(day), F.col("id") % 24)).alias("published_at"),
+            F.lit("Shares surge").alias("title"), (F.col("id") % 3).alias("ticker"),
+        ).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    scored = streams.stream_score(stream).withColumn("ts", F.col("published_at").cast("timestamp"))
+    timeline = streams.stream_timeline(scored, every="1 hour", keys=["ticker"])
+    out = new_path(spark, "days-out")
+    query = streams.write_append(timeline, out, f"{out}-checkpoint")
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress
+            if p["stateOperators"]]
+    assert max(held) < 4 * 24 and held[-1] < 24
+    written = spark.read.parquet(out)
+    assert written.count() == written.select("window_start", "ticker").distinct().count()
+    assert written.agg(F.sum("n")).first()[0] + 2 * held[-1] >= 4 * 48 - 2 * 3 * 2
+
+
+def test_late_bar_meets_its_headline(spark):
+    """The bar's file arrives in a later run than the headline's."""
+    news, bars, out = (new_path(spark, n) for n in ("late-news", "late-bars", "late-out"))
+    spark.sql("SELECT 1 AS id, 'A' AS ticker, timestamp_ntz'2024-01-02 10:00:00' AS published_at "
+              "UNION ALL SELECT 2, 'B', timestamp_ntz'2024-01-02 11:00:00'").write.parquet(news)
+    one = ("SELECT '{}' AS ticker, date'2024-01-02' AS date, 2 AS label, "
+           "timestamp'2024-01-03 00:00:00' AS known_at")
+    spark.sql(one.format("A")).write.parquet(bars)
+
+    def run():
+        joined = streams.stream_align_late(
+            spark.readStream.schema(spark.read.parquet(news).schema).parquet(news),
+            spark.readStream.schema(spark.read.parquet(bars).schema).parquet(bars))
+        streams.write_append(joined.select("id", "label"), out,
+                             f"{out}-checkpoint").awaitTermination()
+        return sorted(r["id"] for r in spark.read.parquet(out).collect())
+
+    assert run() == [1]
+    spark.sql(one.format("B")).write.mode("append").parquet(bars)
+    assert run() == [1, 2]
+
+
+def test_roc_buckets_are_even_on_skewed_scores(spark):
+    df = spark.range(4000).select(
+        F.lit("m").alias("model"), (F.col("id") % 2).cast("int").alias("label"),
+        (F.pow(F.col("id") / 4000.0, 8) / 1000).alias("p"))
+    counts = metrics.score_counts(df, ["model"], {1: "p"})
+    placed = metrics._bucketed(counts, ["model", "class"], 64)
+    most = placed.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 4000 / 64

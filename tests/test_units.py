@@ -14,8 +14,8 @@ from marketlens.functions import lexicon as lex
 from marketlens.functions import text as tx
 from marketlens.lexicons import DEFAULT_LEXICON, Lexicon
 from marketlens.operators import (
-    align, embedding, ensemble, features, heuristic, indicators, lemmas, metrics, splits,
-    standardise, vocabulary)
+    align, embedding, ensemble, features, headline_model, heuristic, indicators, lemmas,
+    lexicon_scan, metrics, splits, standardise, vocabulary)
 from marketlens.sources import news, prices
 
 DAY = dt.date(2024, 1, 1)
@@ -181,7 +181,7 @@ def test_tfidf_by_hand(spark):
 
 def test_hashed_embedding_keeps_empty_rows(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "")], "id int, t string")
-    rows = {r["id"]: r["embedding"] for r in embedding.hashed_embedding(df, "t", "id", 16).collect()}
+    rows = {r["id"]: r["embedding"] for r in embedding.hashed_embedding(df, "t", 16).collect()}
     assert sum(x * x for x in rows[1]) == pytest.approx(1.0, abs=1e-6)
     assert rows[2] == [0.0] * 16
 
@@ -207,14 +207,63 @@ def test_lexicon_counts_and_polarity(spark):
         pytest.approx((0.75 + 0.75 - 0.25) / 3), 0.0]
 
 
-def test_lexicon_table_bound(spark):
+def test_lexicon_scan_equals_columns(spark):
+    """Tables give what literals give, in one block and in many."""
+    texts = ["Profits SURGE, surge sector steady", "", None, "sell-off no change risk risk",
+             "x\u00a0surge lawsuit\x1cplunge holds", "İstanbul hold"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    names = ["bullish", "bearish", "neutral"]
+    expected = df.select("i", *[lex.lexicon_count("t", c).alias(f"{c}_count") for c in names],
+                         *[lex.token_hits("t", DEFAULT_LEXICON.terms(c)).alias(f"{c}_tokens")
+                           for c in names],
+                         lex.polarity("t").alias("polarity"),
+                         lex.subjectivity("t").alias("subjectivity")).orderBy("i").collect()
+    for size in (lexicon_scan.BLOCK_BYTES, 300):
+        got = lexicon_scan.scan(df, "t", DEFAULT_LEXICON.table(spark), block_bytes=size)
+        assert got.drop("t").orderBy("i").collect() == expected
     table = DEFAULT_LEXICON.table(spark)
-    assert sorted(Lexicon.from_table(table).rows) == sorted(DEFAULT_LEXICON.rows)
-    large = spark.range(params.MAX_INLINE_TERMS + 1).select(
-        F.col("id").cast("string").alias("term"), F.lit("x").alias("class"),
-        F.lit(0.0).alias("polarity"), F.lit(0.0).alias("subjectivity"))
-    with pytest.raises(ValueError):
-        Lexicon.from_table(large)
+    for make in (features.sentiment_features, heuristic.heuristic_score):
+        assert (make(df, "t", lexicon=table).orderBy("i").collect()
+                == make(df, "t").orderBy("i").collect())
+
+
+def test_large_lexicon(spark):
+    """20,000 terms: prefixes of each other, multi-word, the empty and the null term."""
+    rng = random.Random(7)
+    terms = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))).strip()
+                    for _ in range(40_000)} - {""})
+    while len(terms) < 20_000:
+        terms.append(f"t{len(terms)}")
+    rows = [(t, rng.choice(["bullish", "bearish", "neutral"]), rng.randint(-8, 8) / 8, 0.5)
+            for t in terms] + [("", "bullish", 0.0, 0.0), (None, "bullish", 1.0, 1.0)]
+    table = spark.createDataFrame(rows, Lexicon.SCHEMA.fieldNames())
+    texts = ["".join(rng.choice("ABc ") for _ in range(300)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for size in (lexicon_scan.BLOCK_BYTES, 400_000):
+        got = lexicon_scan.scan(df, "t", table, block_bytes=size).orderBy("i").collect()
+        found = lexicon_scan.contained_terms(df, "t", table, block_bytes=size).orderBy("i")
+        for text, row, terms_row in zip(texts, got, found.collect()):
+            low = text.lower()
+            for label in ("bullish", "bearish", "neutral"):
+                assert row[f"{label}_count"] == sum(
+                    t in low for t, c, *_ in rows if t is not None and c == label)
+            weights = {t: p for t, _, p, _ in rows if t}
+            hits = [weights[w] for w in low.split() if w in weights]
+            assert row["polarity"] == pytest.approx(sum(hits) / len(hits) if hits else 0.0)
+            assert terms_row["terms"] == sorted(t for t, *_ in rows if t is not None and t in low)
+
+
+def test_lemmatize_by_table(spark):
+    rng = random.Random(5)
+    nouns = [f"noun{i}" for i in range(6000)] + ["lass", "loss", "losse", "woman", "city", "box"]
+    table = spark.createDataFrame([(n,) for n in nouns], "term string")
+    words = ["losses", "women", "cities", "boxes", "noun17s", "noun5999ses", "plain", None, "box"]
+    lists = [[rng.choice(words) for _ in range(6)] for _ in range(10)] + [None, []]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i int, w array<string>")
+    expected = df.select("i", tx.lemmatize("w", nouns).alias("w")).orderBy("i").collect()
+    for size in (lexicon_scan.BLOCK_BYTES, 100_000):
+        got = lexicon_scan.lemmatize(df, "w", table, block_bytes=size)
+        assert got.orderBy("i").collect() == expected
 
 
 def test_valence_rules(spark):
@@ -228,6 +277,18 @@ def test_valence_rules(spark):
     assert out[4]["v"]["neutral"] == 1.0
 
 
+def test_valence_capitals_and_contrast(spark):
+    """Hand-computed: total / sqrt(total^2 + 15)."""
+    cases = {"GOOD day": 2 + 0.733, "GOOD DAY": 2.0, "BAD day": -2 - 0.733,
+             "VERY good day": 2 + 0.293 + 0.733, "barely good": 2 - 0.293,
+             "good but bad": 2 * 0.5 - 2 * 1.5, "bad day, but a GOOD one": -2 * 0.5 + 2.733 * 1.5,
+             "but good": 2 * 1.5, "not good but bad": 2 * -0.74 * 0.5 - 2 * 1.5}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    out = lex.add_valence(df, "t", "v", {"good": 2.0, "bad": -2.0}).orderBy("i").collect()
+    for row, total in zip(out, cases.values()):
+        assert row["v"]["compound"] == pytest.approx(total / (total * total + 15) ** 0.5, abs=1e-4)
+
+
 def test_argmax_ties_and_requests(spark):
     df = spark.createDataFrame([(0.4, 0.4, 0.2), (0.2, 0.4, 0.4)], "a double, b double, c double")
     assert [r[0] for r in df.select(lab.argmax_class("a", "b", "c")).collect()] == [0, 1]
@@ -394,7 +455,7 @@ def test_repeated_ids_have_their_own_norms(spark):
     weights = vocabulary.tfidf_transform(docs, vocab, "clean_text", "id")
     norms = weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert {r["id"]: round(r["n"], 9) for r in norms} == {1: 2.0, 2: 1.0}
-    matrix = features.feature_matrix(docs, vocab, max_terms=10)
+    matrix = headline_model.feature_matrix(docs, vocab)
     rows = matrix.collect()
     assert len(rows) == 3 and len({str(r["features"]) for r in rows if r["id"] == 1}) == 1
 
