@@ -35,6 +35,8 @@ from marketlens.sources.workspace import new_path
 BINS = 32
 #: Features per split search, and per aggregation of quantiles.
 SPLIT_FEATURES, QUANTILE_FEATURES = 16, 256
+#: Bytes of binned features in a partition.
+PARTITION_BYTES = 16 << 20
 _remembered: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
 
 
@@ -197,7 +199,8 @@ def fit_boosting(train: DataFrame, features: str = "features", label: str = "lab
 
     known.select("label", "x", "key").mapInArrow(
         binned, "label int, key long, bins binary").write.parquet(path)
-    table = spark.read.parquet(path)
+    # A task per so many bytes: a job of this loop costs more than a small partition's work.
+    table = spark.read.parquet(path).coalesce(max(1, known.count() * size // PARTITION_BYTES))
     # Without anything to split on, one feature still gives the roots their sums.
     split_on = [j for j in range(size) if len(cuts[j])] or list(range(min(size, 1)))
     fit_id, done, gains = uuid.uuid4().hex, [], np.zeros(size)

@@ -504,10 +504,10 @@ def topk_features(spark, sf):
 # Labelled rows that a fit of the forest, the boosted trees or the kernel machine takes, chosen
 # by a hash of the id. The logistic model takes all. Models have their full size, but for the
 # rounds of the boosted trees: a round is a job per level, see the README.
-FIT_ROWS = 1000
+FIT_ROWS = 500
 # On thousands of term features the logistic solver is stopped after so many steps.
 HEADLINE_ARGUMENTS = {"max_iter": 50}
-ARGUMENTS = {"logistic_regression": {}, "svm": {}, "random_forest": {}, "gbt": {"rounds": 20}}
+ARGUMENTS = {"logistic_regression": {}, "svm": {}, "random_forest": {}, "gbt": {"rounds": 10}}
 
 
 def _bounded(rows, name):
@@ -669,22 +669,3 @@ def score_batch(spark, sf):
         F.col("sentiment.polarity").alias("polarity"),
         (picked == F.greatest(*shares)).alias("class_of_largest"),
         (F.abs(shares[0] + shares[1] + shares[2] - 1) < 2e-4).alias("sums_to_one"))
-
-
-@query("score_ensemble", s.twin(
-    "SELECT id, 4 AS n_models, true AS votes_add_up, true AS action_fits FROM headlines",
-    "headlines"))
-def score_ensemble(spark, sf):
-    """Four models fitted on one set of features vote on every headline; safety rules follow."""
-    train = _news(spark, sf).orderBy(F.xxhash64("id", "ticker"), "id").limit(FIT_ROWS)
-    front, models = headline_model.fit_all(
-        train, ARGUMENTS | {"logistic_regression": HEADLINE_ARGUMENTS})
-    raw = headlines(spark, sf).select("id", "title", "published_at")
-    voted = scoring.score_ensemble(front.transform(raw).select("id", "features"), models)
-    ruled = ensemble.safety_rules(voted)
-    calm = F.col("prediction") == F.when(F.col("safety_applied"), "NEUTRAL").otherwise(
-        F.col("raw_prediction"))
-    return ruled.select(
-        "id", F.col("n_models").cast("int").alias("n_models"),
-        (F.col("votes_down") + F.col("votes_neutral") + F.col("votes_up")
-         == F.col("n_models")).alias("votes_add_up"), calm.alias("action_fits"))
