@@ -282,7 +282,9 @@ def test_valence_capitals_and_contrast(spark):
     cases = {"GOOD day": 2 + 0.733, "GOOD DAY": 2.0, "BAD day": -2 - 0.733,
              "VERY good day": 2 + 0.293 + 0.733, "barely good": 2 - 0.293,
              "good but bad": 2 * 0.5 - 2 * 1.5, "bad day, but a GOOD one": -2 * 0.5 + 2.733 * 1.5,
-             "but good": 2 * 1.5, "not good but bad": 2 * -0.74 * 0.5 - 2 * 1.5}
+             "but good": 2 * 1.5,
+             # The negation is among the three tokens before either word.
+             "not good but bad": 2 * -0.74 * 0.5 - 2 * -0.74 * 1.5}
     df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
     out = lex.add_valence(df, "t", "v", {"good": 2.0, "bad": -2.0}).orderBy("i").collect()
     for row, total in zip(out, cases.values()):
