@@ -174,9 +174,12 @@ def node_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, keys): multiset size and band keys of every row."""
-    texts = docs.select("doc_id", node_id(docs["text"]).alias("node"), "text")
+def sign(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node, n, words, keys, carried columns): band keys of every row.
+
+    `n` is the size of the multiset, `words` the number of words.
+    """
+    texts = docs.select("doc_id", node_id(docs["text"]).alias("node"), "text", *carry)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,14 +188,20 @@ def sign(docs: DataFrame) -> DataFrame:
                 owner, value, count = shingles(texts[a:b])
                 sig = signatures(owner, value, count, b - a, BANDS * ROWS)
                 n = np.bincount(owner, count, b - a).astype(np.int64)
+                # Texts of one to four words are one shingle, too.
+                words = np.where(n > 1, n + SHINGLE - 1, 0)
+                for i in np.flatnonzero(n == 1):
+                    words[i] = len(texts[a + i].encode("utf-8").split())
                 keys = [k if m else k[:0] for k, m in zip(band_keys(sig), n)]
+                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(n), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "node", "n", "keys"])
+                    [part.column(0), part.column(1), pa.array(n), pa.array(words),
+                     pa.array(keys, pa.list_(pa.int64())), *part.columns[3:]],
+                    ["doc_id", "node", "n", "words", "keys", *carry])
 
-    schema = texts.select("doc_id", "node", F.lit(0).cast("long").alias("n"),
-                          F.array().cast("array<long>").alias("keys")).schema
+    number = F.lit(0).cast("long")
+    schema = texts.select("doc_id", "node", number.alias("n"), number.alias("words"),
+                          F.array().cast("array<long>").alias("keys"), *carry).schema
     return texts.mapInArrow(signed, schema)
 
 
@@ -327,13 +336,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, least: float = SIMILARITY,
-             block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node) of all documents and the class (node, root) of each node.
+             block: int = BLOCK, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node, words) of all documents and the class (node, root) of each node.
 
     Null texts count as empty; texts without words are alike only if equal. Ids may be null or
-    repeat. Only doc_id and text are read.
+    repeat. Only doc_id, text and the columns of `carry`, which the rows keep, are read.
     """
-    rows = stored(sign(docs), "signatures")
+    rows = stored(sign(docs, carry), "signatures")
     nodes = rows.groupBy("node").agg(
         F.first("n").alias("n"), F.first("keys").alias("keys"),
         F.min(F.coalesce("doc_id", F.lit(-1))).alias("id"))
@@ -369,7 +378,7 @@ def classify(docs: DataFrame, least: float = SIMILARITY,
         joined = components(links.union(found))
     classes = (rows.select("node").distinct().join(joined, "node", "left")
                .select("node", F.coalesce("root", "node").alias("root")))
-    return rows.select("doc_id", "node"), classes
+    return rows.select("doc_id", "node", "words", *carry), classes
 
 
 def assign(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:

@@ -2,10 +2,10 @@
 
 A document longer than a sequence fills whole sequences of its own; what is left, or a shorter
 document, is a piece. Two pieces conflict if they share a source or a duplicate cluster, which
-for a table of documents is the class of near-duplicates. Bins are ordered by their free room and carry a bitmap of their sources and one of their clusters.
-Pieces come longest first; each goes to the tightest bin with enough room that does not
-conflict, found by walking from the first bin with enough room to its successors, and opens a
-bin if there is none.
+for a table of documents is the class of near-duplicates. Bins are ordered by their free room
+and carry a bitmap of their sources and one of their clusters. Pieces come longest first; each
+goes to the tightest bin with enough room that does not conflict, found by walking from the
+first bin with enough room to its successors, and opens a bin if there is none.
 
 Pieces are dealt by hash into groups of bounded size, which pack independently; a group's
 last bins are all that the cut costs. A hot source is spread over all groups.
@@ -136,17 +136,19 @@ def pack_documents(docs: DataFrame, cluster: Column | None = None, **options: in
     Texts count lower-cased and without outer white space, so those of the same word sequence
     are one class, as are all without words. A `cluster` given takes the place of the classes.
     """
-    length = word_tokens(docs["text"]).alias("n_tokens")
     if cluster is not None:
+        length = word_tokens(docs["text"]).alias("n_tokens")
         return pack(docs.select("doc_id", "source", cluster.alias("cluster"), length), **options)
     space = F.lit("".join(map(chr, (32, *range(9, 14)))))
     plain = F.lower(F.btrim(F.coalesce("text", F.lit("")), space))
-    _, classes = neardup.classify(docs.select("doc_id", plain.alias("text")))
+    # Words and sources come out of the pass that reads the texts for their signatures.
+    rows, classes = neardup.classify(docs.select("doc_id", plain.alias("text"), "source"),
+                                     carry=("source",))
     # A node alone is its own root; only the others are joined, so that a hot one can be split.
     moved = stored(classes.where("node <> root"), "pack-classes")
     # Numbered before the join, so that its order does not matter.
-    rows = _numbered(docs.select(
-        "doc_id", "source", length, neardup.node_id(plain).alias("node")))
+    rows = _numbered(rows.select(
+        "doc_id", "source", (F.col("words") + 1).alias("n_tokens"), "node"))
     return _pack(rows.join(moved, "node", "left").withColumn(
         "cluster", F.coalesce("root", "node")), **options)
 
