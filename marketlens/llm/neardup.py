@@ -35,6 +35,8 @@ BANDS, ROWS = 25, 5
 SEED = 11
 #: Bytes of text whose signatures are drawn together.
 _BATCH_BYTES = 4 << 20
+#: Points drawn at a time when few elements are left.
+_DRAWS = 4096
 #: Mean members in a block of a bucket, and elements compared at a time.
 BLOCK, _COLUMNS = 512, 4096
 _GOLD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
@@ -54,32 +56,28 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     Words are what stands between ASCII white space, A-Z lower-cased. A text of one to four
     words is one shingle; a text without words has none.
     """
-    code: dict[bytes, int] = {}
-    all_ids, lengths = [], []
+    parts, lengths = [], []
     for text in texts:
         words = (text or "").encode("utf-8").lower().split()
-        all_ids.append(np.fromiter((code.setdefault(w, len(code)) for w in words),
-                                   np.int64, len(words)))
         # Short texts are filled up with an empty word, which no text has.
         if 0 < len(words) < SHINGLE:
-            fill = code.setdefault(b"", len(code))
-            all_ids.append(np.full(SHINGLE - len(words), fill))
-        lengths.append(max(len(words), SHINGLE) if words else 0)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, code), np.uint64, len(code))
-    ids = np.concatenate(all_ids) if all_ids else np.empty(0, np.int64)
-    lengths = np.array(lengths, np.int64)
+            words += [b""] * (SHINGLE - len(words))
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        lengths.append(len(words))
+    words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    n = len(ids) - SHINGLE + 1
+    n = len(words) - SHINGLE + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    words = hashes[ids]
     value = words[:n].copy()
     for i in range(1, SHINGLE):
         value = value * _GOLD + words[i:i + n]
     inside = owner[:n] == owner[SHINGLE - 1:]
     owner, value = owner[:n][inside], _mix(value[inside])
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+    # Texts stand one after another, so each one's part is sorted where it is.
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for start, end in zip(edges[:-1], edges[1:]):
+        value[start:end].sort()
     new = np.ones(len(value), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     first = np.flatnonzero(new)
@@ -109,20 +107,26 @@ def signatures(owner: np.ndarray, value: np.ndarray, count: np.ndarray, texts: i
     active = np.arange(len(key))
     while len(active):
         while len(active):
-            draw = _mix(key[active] + (turn[active] + np.uint64(1)) * _GOLD)
+            # The fewer elements are left, the more points of each are drawn at a time.
+            steps = np.arange(1, max(2, _DRAWS // len(active) + 1), dtype=np.uint64)
+            draw = _mix(key[active, None] + (turn[active, None] + steps) * _GOLD)
             uniform = (draw >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            ahead = time[active] - np.log1p(-uniform) / width[active]
-            on_time = ahead <= until[owner[active]]
-            active, draw = active[on_time], draw[on_time]
-            time[active] = ahead[on_time]
-            turn[active] += np.uint64(1)
+            gaps = -np.log1p(-uniform) / width[active, None]
+            ahead = np.cumsum(np.hstack([time[active, None], gaps]), axis=1)
+            on_time = ahead[:, 1:] <= until[owner[active], None]
+            drawn = on_time.sum(axis=1)
+            time[active] = ahead[np.arange(len(active)), drawn]
+            turn[active] += drawn.astype(np.uint64)
+            element, draw = np.repeat(active, drawn), draw[on_time]
+            moment = ahead[:, 1:][on_time]
+            active = active[on_time[:, -1]]
             more = _mix(draw ^ _B)
             slot = ((more >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-            place = below[active] + 1 + ((more & np.uint64(0xFFFFFFFF)).astype(np.float64)
-                                         * 2.0 ** -32 * width[active]).astype(np.int64)
-            counts = place <= count[active]
-            at = owner[active][counts] * slots + slot[counts]
-            moment = time[active][counts]
+            place = below[element] + 1 + ((more & np.uint64(0xFFFFFFFF)).astype(np.float64)
+                                          * 2.0 ** -32 * width[element]).astype(np.int64)
+            counts = place <= count[element]
+            at = owner[element][counts] * slots + slot[counts]
+            moment = moment[counts]
             np.minimum.at(best, at, moment)
             won = best[at] == moment
             out[at[won]] = draw[counts][won]
