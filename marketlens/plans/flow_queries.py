@@ -15,7 +15,7 @@ from marketlens.plans.dataset import build_dataset
 from marketlens.plans.learn_queries import HEUR_VIEWS, P
 from marketlens.plans.market_queries import ALIGNED, NAMED, TO_DAY
 from marketlens.plans.tables import (
-    bars, headlines, headlines_from, printable, rounded, table, ticks_bars)
+    bars, headlines, headlines_from, printable, rounded, spread_headlines, table, ticks_bars)
 from marketlens.plans.text_queries import VOCAB, _clean_docs
 from marketlens.sources import news, prices, sinks
 from marketlens.sources.workspace import new_path
@@ -55,7 +55,7 @@ COMPANY_NEWS = f"""SELECT title, CASE WHEN id % 3 = 0 THEN '' ELSE 'sum ' || id
 
 def _csv_news(spark, sf):
     """Written with synonym headers, quotes and line breaks; then read through the loader."""
-    feed = headlines(spark, sf).select(
+    feed = spread_headlines(spark, sf).select(
         F.col("title").alias("Headline"),
         F.concat(F.lit("row "), "id", F.lit('\nsays "'), "title", F.lit('"')).alias("Text"),
         F.when(F.col("id") % 9 == 0, F.lit("unknown")).otherwise(_stamp("published_at"))
@@ -77,7 +77,7 @@ def _articles(spark, sf):
         "title", F.concat(F.lit("body "), "id").alias("content"),
         F.struct(F.concat(F.lit("feed "), F.col("ticker") % 5).alias("name")).alias("source"),
         F.concat(F.lit("u/"), "id").alias("url"), _stamp("published_at").alias("publishedAt"))
-    pages = _pages(headlines(spark, sf), article)
+    pages = _pages(spread_headlines(spark, sf), article)
     payloads = pages.select(F.to_json(F.struct(F.col("items").alias("articles"))).alias("body"))
     path = new_path(spark, "articles")
     payloads.write.text(path)
@@ -89,7 +89,7 @@ def _company_news(spark, sf):
         F.col("title").alias("headline"),
         F.when(F.col("id") % 3 != 0, F.concat(F.lit("sum "), "id")).alias("summary"),
         F.lit("feed").alias("source"), epoch_seconds("published_at").alias("datetime"))
-    rows = headlines(spark, sf)
+    rows = spread_headlines(spark, sf)
     page = F.floor(F.col("id") / 100)
     payloads = (rows.groupBy("ticker", page.alias("page"))
                 .agg(F.to_json(F.collect_list(item)).alias("body")))
@@ -302,8 +302,8 @@ def validate_requests(spark, sf):
 HISTORY = "SELECT h.*, ts FROM heur h JOIN (SELECT event_id AS id, ts FROM events) USING (id)"
 
 
-def _history(spark, sf):
-    return heuristic.heuristic_score(headlines(spark, sf)).withColumnRenamed("published_at", "ts")
+def _history(spark, sf, source=headlines):
+    return heuristic.heuristic_score(source(spark, sf)).withColumnRenamed("published_at", "ts")
 
 
 DISPLAY = f"""SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time,
@@ -315,7 +315,7 @@ DISPLAY = f"""SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time,
 
 
 def _display(spark, sf):
-    rows = _history(spark, sf).withColumnRenamed("title", "headline")
+    rows = _history(spark, sf, spread_headlines).withColumnRenamed("title", "headline")
     return printable(reports.display_fields(rows.withColumn(
         "models_used", F.array("model_used", F.lit("m1")))))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marketlens.operators import align, indicators, metrics, vocabulary
-from marketlens.plans import tables
+from marketlens.plans import learn_queries, tables
 from marketlens.sources import prices, sinks
 from marketlens.sources.workspace import new_path, shared_folder
 from marketlens.streaming import streams
@@ -43,6 +43,18 @@ def test_term_counting_does_not_shuffle(spark, sf_dir):
     assert "Exchange" not in plan_of(vocabulary.document_terms(docs, "text", ["doc_id"]))
 
 
+def test_rows_of_one_split_reach_all_cores(spark):
+    """A file of one row group gives many splits, all but one of them empty."""
+    crowded = spark.range(0, 4000, 1, 16).where("id < 250")
+    per_task = tables.spread(crowded, "id").rdd.glom().map(len).collect()
+    assert sum(per_task) == 250 and max(per_task) < 50
+
+
+def test_training_rows_reach_all_cores(spark, sf_dir):
+    per_task = learn_queries._news(spark, sf_dir).rdd.glom().map(len).collect()
+    assert max(per_task) < sum(per_task) / 4
+
+
 def test_hot_key_join_keeps_all_rows(spark):
     """A third of the news on one instrument and day."""
     news = spark.range(3000).select(
