@@ -11,31 +11,25 @@ from pyspark.sql import types as T
 
 from marketlens import params
 from marketlens.functions.text import null_text_to_empty, split_words
-from marketlens.functions.vectors import add_run_lengths, sparse_vector
+from marketlens.functions.vectors import sparse_vector
 
 
 def hashed_counts(df: DataFrame, text: str, output: str,
                   dim: int = params.EMBEDDING_DIM) -> DataFrame:
     """Append array<struct<bucket, n>>, ascending: tokens counted in `dim` buckets by md5.
 
-    Tokens are counted first, so each distinct token is hashed once per row; nothing leaves
-    the row.
+    Only the sorted bucket numbers are counted, not the words; nothing leaves the row.
     """
     given = [c for c in df.columns if c != output]
-    words = df.withColumn("_words", split_words(F.lower(null_text_to_empty(text))))
-    counted = add_run_lengths(words, "_words", "_counts")
-    hashed = F.transform("_counts", lambda c: F.struct(
-        (F.conv(F.substring(F.md5(c["value"]), 1, 8), 16, 10).cast("long") % dim)
-        .cast("int").alias("bucket"), c["n"].alias("n")))
-    # Words that share a bucket stand together now; a bucket's count is the sum of theirs.
-    ordered = counted.select(*given, F.sort_array(hashed).alias("_b"))
-    ends = ordered.withColumn("_ends", F.array_compact(F.transform("_b", lambda b, i: F.when(
-        ~F.get("_b", i + 1)["bucket"].eqNullSafe(b["bucket"]), i))))
-    before = lambda i: F.coalesce(F.get("_ends", i - 1), F.lit(-1))
+    buckets = F.transform(split_words(F.lower(null_text_to_empty(text))), lambda w: (
+        F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+    ordered = df.select(*given, F.sort_array(buckets).alias("_b"))
+    ends = ordered.withColumn("_ends", F.array_compact(F.transform(
+        "_b", lambda b, i: F.when(~F.get("_b", i + 1).eqNullSafe(b), i))))
     return ends.select(*given, F.transform("_ends", lambda end, i: F.struct(
-        F.get("_b", end)["bucket"].alias("bucket"),
-        F.aggregate(F.slice("_b", before(i) + 2, end - before(i)), F.lit(0).cast("long"),
-                    lambda total, b: total + b["n"]).alias("n"))).alias(output))
+        F.get("_b", end).alias("bucket"),
+        (end - F.coalesce(F.get("_ends", i - 1), F.lit(-1))).cast("long").alias("n")))
+        .alias(output))
 
 
 def _unit_weights(counts: str) -> Column:
