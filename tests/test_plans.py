@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import align, indicators, metrics, vocabulary
-from marketlens.plans import learn_queries, tables
+from marketlens.functions import lexicon, text
+from marketlens.lexicons import DEFAULT_LEXICON
+from marketlens.operators import (
+    align, embedding, heuristic, indicators, lexicon_scan, metrics, vocabulary)
+from marketlens.plans import learn_queries, tables, text_queries
 from marketlens.sources import prices, sinks
 from marketlens.sources.workspace import new_path, shared_folder
 from marketlens.streaming import streams
@@ -55,6 +58,31 @@ def test_training_rows_reach_all_cores(spark, sf_dir):
     assert max(per_task) < sum(per_task) / 4
 
 
+def test_row_work_is_done_once(spark):
+    """No text is lower-cased, cut or searched by pattern again for every term or word."""
+    df = spark.createDataFrame([(1, "Not GOOD?! But 'good'")], "id int, t string")
+    assert "contains(lower" not in plan_of(df.select(text.finance_keywords("t"))).lower()
+    assert "regexp_replace" not in plan_of(df.select(lexicon.emphasis("t")))
+    assert "sort_array(transform(" in plan_of(embedding.hashed_counts(df, "t", "b"))
+    assert plan_of(heuristic.heuristic_score(df, "t")).count("split(") == 1
+    assert "MapInArrow" in plan_of(vocabulary.document_terms(df, "t", ["id"]))
+    assert "_words" not in plan_of(lexicon_scan.scan(df, "t", DEFAULT_LEXICON))
+
+
+def test_terms_of_many_rows_leave_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "BATCH_TERMS", 4)
+    df = spark.createDataFrame([(1, "aa bb aa"), (1, "aa bb aa"), (None, None), (2, "cc x \u00e9\u00e9")],
+                               "id int, t string")
+    rows = vocabulary.document_terms(df, "t", ["id"], 1, 2).collect()
+    once = [(1, "aa", 2), (1, "aa bb", 1), (1, "bb", 1), (1, "bb aa", 1)]
+    assert sorted(map(tuple, rows)) == sorted(
+        [*once, *once, (2, "cc", 1), (2, "\u00e9\u00e9", 1), (2, "cc \u00e9\u00e9", 1)])
+
+
+def test_lemmas_shuffle_no_pair_of_document_and_term(spark, sf_dir):
+    assert "doc_id" not in plan_of(text_queries.lemmatize(spark, sf_dir))
+
+
 def test_hot_key_join_keeps_all_rows(spark):
     """A third of the news on one instrument and day."""
     news = spark.range(3000).select(
