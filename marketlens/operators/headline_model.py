@@ -102,21 +102,26 @@ def fit_front(train: DataFrame, *, text: str = "title", max_terms: int = params.
               scale: bool = True, **options) -> tuple[PipelineModel, DataFrame]:
     """(stages from raw headlines to scaled features, the training rows with them).
 
-    The features are stored once, as (label, features) with an id if there is one, and every
-    fit reads that table. Scaling does not centre: none of the classifiers' scores depends on
-    it, and the vectors stay sparse.
+    The clean training rows are stored once: the vocabulary, the means and the features read
+    that table and not the joins behind `train`. So are the features, as (label, features) with
+    an id if there is one, and every fit reads that table. Scaling does not centre: none of the
+    classifiers' scores depends on it, and the vectors stay sparse.
     """
     cleaner = TextCleaner(inputCol=text, outputCol="clean_text")
-    clean = cleaner.transform(train)
-    vocabulary = fit_vocabulary(clean, "clean_text", max_terms)
     present = [c for c in MARKET_FEATURES if c in train.columns]
-    market = FillColumns.fit(train, present) if present else None
+    kept = ["label", *(c for c in ("id",) if c in train.columns)]
+    needed = {*kept, *present, options.get("time", "published_at"), options.get("model_embedding")}
+    path = new_path(train.sparkSession, "clean-training")
+    cleaner.transform(train).select("clean_text", *[
+        c for c in train.columns if c in needed - {"clean_text"}]).write.parquet(path)
+    clean = train.sparkSession.read.parquet(path)
+    vocabulary = fit_vocabulary(clean, "clean_text", max_terms)
+    market = FillColumns.fit(clean, present) if present else None
     raw = "_unscaled" if scale else "features"
-    stages: list[Transformer] = [cleaner, *feature_stages(
-        vocabulary, market=market, output=raw, **options)]
+    steps = feature_stages(vocabulary, market=market, output=raw, **options)
+    stages: list[Transformer] = [cleaner, *steps]
     path = new_path(train.sparkSession, "features")
-    kept = ["label", *(c for c in ("id",) if c in train.columns)]
-    PipelineModel(stages).transform(train).select(*kept, raw).write.parquet(path)
+    PipelineModel(steps).transform(clean).select(*kept, raw).write.parquet(path)
     rows = train.sparkSession.read.parquet(path)
     if scale:
         scaler = fit_vector_scaler(rows, raw, "features", center=False)

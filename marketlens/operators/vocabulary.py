@@ -74,6 +74,37 @@ def term_statistics(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
 
 
+def text_statistics(docs: DataFrame, text: str, low: int = params.NGRAM_MIN,
+                    high: int = params.NGRAM_MAX) -> DataFrame:
+    """`term_statistics` of the n-grams of `docs`, counted over many rows before they leave a
+    worker: no row per pair of document and n-gram is made."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = Counter(), Counter()
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(total, pa.string()), pa.array(map(found.__getitem__, total), pa.int64()),
+                 pa.array(total.values(), pa.int64())], ["term", "df", "ctf"])
+
+        for batch in batches:
+            for words in batch.column(0):
+                words, grams = words.as_py(), []
+                for size in range(low, high + 1):
+                    grams += (words if size == 1 else
+                              map(" ".join, zip(*(words[k:] for k in range(size)))))
+                found.update(set(grams))
+                total.update(grams)
+                if len(total) >= BATCH_TERMS:
+                    yield held()
+                    found, total = Counter(), Counter()
+        if total:
+            yield held()
+
+    parts = docs.select(scoring_tokens(text).alias("_tokens")).mapInArrow(
+        counted, "term string, df long, ctf long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+
+
 def document_frequency(terms: DataFrame, min_df: int = params.MIN_DOC_FREQ) -> DataFrame:
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return counts.where(F.col("df") >= min_df)
@@ -96,8 +127,7 @@ def fit_vocabulary(docs: DataFrame, text: str, max_terms: int | None = params.MA
                    min_df: int = params.MIN_DOC_FREQ, low: int = params.NGRAM_MIN,
                    high: int = params.NGRAM_MAX) -> DataFrame:
     """vocabulary(term, df, ctf, idf) with the smoothed inverse document frequency."""
-    terms = document_terms(docs, text, [], low, high)
-    picked = topk_vocabulary(term_statistics(terms), max_terms, min_df)
+    picked = topk_vocabulary(text_statistics(docs, text, low, high), max_terms, min_df)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     return picked.withColumn("idf", idf)

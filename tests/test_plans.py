@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import lexicon, text
 from marketlens.lexicons import DEFAULT_LEXICON
 from marketlens.operators import (
-    align, embedding, heuristic, indicators, lexicon_scan, metrics, vocabulary)
+    align, embedding, headline_model, heuristic, indicators, lexicon_scan, metrics, vocabulary)
 from marketlens.plans import learn_queries, tables, text_queries
 from marketlens.sources import prices, sinks
 from marketlens.sources.workspace import new_path, shared_folder
@@ -188,3 +188,26 @@ def test_roc_buckets_are_even_on_skewed_scores(spark):
     placed = metrics._bucketed(counts, ["model", "class"], 64)
     most = placed.groupBy("_bucket").count().agg(F.max("count")).first()[0]
     assert most <= 2 * 4000 / 64
+
+
+def test_training_rows_are_made_once(spark, sf_dir):
+    """The joins behind the training rows run once, not once per pass over them."""
+    rows = tables.headlines(spark, sf_dir).limit(300).select(
+        "id", "title", "published_at", (F.col("id") % 3).cast("int").alias("label"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    _, kept = headline_model.fit_front(rows.mapInArrow(watched, rows.schema))
+    assert kept.count() == 300 and seen.value == 300
+
+
+def test_term_totals_leave_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "BATCH_TERMS", 4)
+    df = spark.createDataFrame([("aa bb aa",), ("aa bb aa",), (None,), ("cc x éé aa",)], "t string")
+    found = vocabulary.text_statistics(df, "t", 1, 2)
+    counted = vocabulary.term_statistics(vocabulary.document_terms(df, "t", [], 1, 2))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, counted.collect()))
