@@ -200,7 +200,7 @@ def src_daily_series_json(spark, sf):
 def src_ohlcv_history(spark, sf):
     """Bars of every instrument are written partitioned; the slice is read by pruning."""
     path = new_path(spark, "bars")
-    sinks.write_bars(bars(spark, sf), path)
+    sinks.write_bars(bars(spark, sf), path, shared=True)
     return printable(prices.ohlcv_history(prices.read_bars(spark, path), 7, "1997-01-01",
                                           "2001-01-01")
                      .select(F.col("ticker").cast("long").alias("ticker"), "date", "open",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens import params, schemas
 from marketlens.functions.calendar import parse_epoch
 from marketlens.operators.align import concat_frames
+from marketlens.sources.sinks import BAR_FOLDER, bar_folder
 
 
 def flatten_quote(payloads: DataFrame, payload: Column | str, *keep: str) -> DataFrame:
@@ -44,15 +45,18 @@ def flatten_daily_series(payloads: DataFrame, payload: Column | str, fields: Ite
 
 def ohlcv_history(bars: DataFrame, ticker, start: str = "2020-01-01",
                   end: str | None = None) -> DataFrame:
-    """One instrument's bars in [start, end); both predicates reach the file scan."""
+    """One instrument's bars in [start, end); both predicates reach the file scan, and folders
+    shared by instruments are pruned."""
     end = end or dt.date.today().isoformat()
     day = F.col("date")
+    if BAR_FOLDER in bars.columns:
+        bars = bars.where(F.col(BAR_FOLDER) == bar_folder(F.lit(ticker))).drop(BAR_FOLDER)
     return bars.where((F.col("ticker") == ticker) & (day >= F.lit(start).cast("date"))
                       & (day < F.lit(end).cast("date")))
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars written by `sinks.write_bars` (partitioned by ticker for pruning)."""
+    """Bars written by `sinks.write_bars` (partitioned for pruning)."""
     return spark.read.parquet(path)
 
 

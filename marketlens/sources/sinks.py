@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,25 @@ def write_dataset(df: DataFrame, path: str, partition_by: str | None = None,
         df.write.mode(mode).parquet(path)
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    write_dataset(bars, path, "ticker")
+#: Folders of `write_bars` with `shared`, and the column that they are named after.
+BAR_FOLDERS, BAR_FOLDER = 64, "ticker_folder"
+
+
+def bar_folder(ticker: Column) -> Column:
+    """Folder of an instrument, the same for a number of any width and its text."""
+    return F.pmod(F.crc32(ticker.cast("string").cast("binary")), F.lit(BAR_FOLDERS)).cast("int")
+
+
+def write_bars(bars: DataFrame, path: str, shared: bool = False) -> None:
+    """One folder per instrument, for a few thousand at most: each costs a file, a move by the
+    committing driver and a listing. With `shared` instruments are dealt by hash over a fixed
+    number of folders, sorted inside them, so that a file's statistics tell where one is."""
+    if shared:
+        (bars.withColumn(BAR_FOLDER, bar_folder(F.col("ticker"))).hint("rebalance", BAR_FOLDER)
+         .sortWithinPartitions(BAR_FOLDER, "ticker", "date")
+         .write.mode("overwrite").partitionBy(BAR_FOLDER).parquet(path))
+    else:
+        write_dataset(bars, path, "ticker")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,12 +1,14 @@
 """Plan shapes that keep the queries scalable, and stream behaviour."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from marketlens.functions import lexicon, text
 from marketlens.lexicons import DEFAULT_LEXICON
 from marketlens.operators import (
     align, embedding, headline_model, heuristic, indicators, lexicon_scan, metrics, vocabulary)
-from marketlens.plans import learn_queries, tables, text_queries
+from marketlens.plans import flow_queries, learn_queries, tables, text_queries
 from marketlens.sources import prices, sinks
 from marketlens.sources.workspace import new_path, shared_folder
 from marketlens.streaming import streams
@@ -211,3 +213,27 @@ def test_term_totals_leave_in_parts(spark, monkeypatch):
     found = vocabulary.text_statistics(df, "t", 1, 2)
     counted = vocabulary.term_statistics(vocabulary.document_terms(df, "t", [], 1, 2))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, counted.collect()))
+
+
+def test_folders_do_not_grow_with_instruments(spark):
+    rows = spark.range(3000).select(
+        (F.col("id") % 1500).alias("ticker"), F.lit("2024-01-02").cast("date").alias("date"),
+        F.col("id").alias("close")).unionByName(spark.sql(
+            "SELECT CAST(NULL AS bigint) AS ticker, date'2024-01-02' AS date, -1L AS close"))
+    path = new_path(spark, "shared-bars")
+    sinks.write_bars(rows, path, shared=True)
+    assert len([f for f in os.listdir(path) if "=" in f]) <= sinks.BAR_FOLDERS + 1
+    back = prices.read_bars(spark, path)
+    assert back.count() == 3001
+    cut = prices.ohlcv_history(back, 7)
+    assert sorted(map(tuple, cut.select("ticker", "close").collect())) == [(7, 7), (7, 1507)]
+    assert f"PartitionFilters: [isnotnull({sinks.BAR_FOLDER}" in plan_of(cut)
+
+
+def test_history_query_writes_a_bounded_number_of_folders(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(flow_queries, "new_path",
+                        lambda s, n: made.append(new_path(s, n)) or made[-1])
+    monkeypatch.setattr(sinks, "BAR_FOLDERS", 3)
+    assert flow_queries.src_ohlcv_history(spark, sf_dir).count() > 0
+    assert len([f for f in os.listdir(made[0]) if "=" in f]) <= 3
