@@ -34,13 +34,22 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SEED = 11
 #: Bytes of text whose signatures are drawn together.
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 1 << 20
 #: Mean members in a block of a bucket, and elements compared at a time.
 BLOCK, _COLUMNS = 512, 4096
+#: Points that all processes of a batch draw together, at least, while enough are left.
+_DRAWS = 1 << 14
 _GOLD, _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
                                         0x94D049BB133111EB))
 
 
+#: Which bytes are white space, and the masks of the first bytes of eight.
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word from which it is hashed alone.
+_LONG_WORD = 64
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _A
@@ -48,38 +57,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of every word of `data`, eight bytes of all words at a time."""
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    # The eight bytes from every place on, as one number.
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    value = (ends - starts).astype(np.uint64)
+    at, left = starts, ends - starts
+    short = np.arange(len(starts))
+    for _ in range(_LONG_WORD // 8):
+        part = eight[at] & _FIRST[np.minimum(left, 8)]
+        value[short] = _mix(value[short] * _GOLD + part)
+        more = left > 8
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+        if not len(short):
+            return starts, value
+    # The few longer words one by one.
+    value[short] = [xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]]) for i in short]
+    return starts, value
+
+
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, count), ordered by both, of all texts.
 
     Words are what stands between ASCII white space, A-Z lower-cased. A text of one to four
     words is one shingle; a text without words has none.
     """
-    code: dict[bytes, int] = {}
-    all_ids, lengths = [], []
-    for text in texts:
-        words = (text or "").encode("utf-8").lower().split()
-        all_ids.append(np.fromiter((code.setdefault(w, len(code)) for w in words),
-                                   np.int64, len(words)))
-        # Short texts are filled up with an empty word, which no text has.
-        if 0 < len(words) < SHINGLE:
-            fill = code.setdefault(b"", len(code))
-            all_ids.append(np.full(SHINGLE - len(words), fill))
-        lengths.append(max(len(words), SHINGLE) if words else 0)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, code), np.uint64, len(code))
-    ids = np.concatenate(all_ids) if all_ids else np.empty(0, np.int64)
-    lengths = np.array(lengths, np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    n = len(ids) - SHINGLE + 1
+    coded = [(text or "").encode("utf-8") for text in texts]
+    begins = np.cumsum([0, *(len(text) + 1 for text in coded)])
+    starts, words = word_hashes(b" ".join(coded).lower())
+    lengths = np.diff(np.searchsorted(starts, begins))
+    # Short texts are filled up with an empty word, which no text has.
+    fill = np.where(lengths > 0, np.maximum(SHINGLE - lengths, 0), 0)
+    if fill.any():
+        words = np.insert(words, np.repeat(np.cumsum(lengths), fill), np.uint64(0))
+    owner = np.repeat(np.arange(len(texts)), lengths + fill)
+    n = len(words) - SHINGLE + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    words = hashes[ids]
     value = words[:n].copy()
     for i in range(1, SHINGLE):
         value = value * _GOLD + words[i:i + n]
     inside = owner[:n] == owner[SHINGLE - 1:]
     owner, value = owner[:n][inside], _mix(value[inside])
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+    # Texts lie one after another, so each sorts its own stretch.
+    ends = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    for a, b in zip((0, *ends.tolist()), (*ends.tolist(), len(owner))):
+        value[a:b].sort()
     new = np.ones(len(value), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     first = np.flatnonzero(new)
@@ -109,20 +136,27 @@ def signatures(owner: np.ndarray, value: np.ndarray, count: np.ndarray, texts: i
     active = np.arange(len(key))
     while len(active):
         while len(active):
-            draw = _mix(key[active] + (turn[active] + np.uint64(1)) * _GOLD)
+            # When few processes are left they draw several points at a time.
+            points = min(max(_DRAWS // len(active), 1), 256)
+            turns = np.arange(1, points + 1, dtype=np.uint64)
+            draw = _mix(key[active][:, None] + (turn[active][:, None] + turns) * _GOLD)
             uniform = (draw >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            ahead = time[active] - np.log1p(-uniform) / width[active]
-            on_time = ahead <= until[owner[active]]
-            active, draw = active[on_time], draw[on_time]
-            time[active] = ahead[on_time]
-            turn[active] += np.uint64(1)
+            ahead = -np.log1p(-uniform) / width[active][:, None]
+            ahead[:, 0] += time[active]
+            np.cumsum(ahead, axis=1, out=ahead)
+            on_time = ahead <= until[owner[active]][:, None]
+            passed = on_time.sum(axis=1)
+            moved = passed > 0
+            time[active[moved]] = ahead[moved, passed[moved] - 1]
+            turn[active] += passed.astype(np.uint64)
+            draw, moment, own = draw[on_time], ahead[on_time], np.repeat(active, passed)
+            active = active[passed == points]
             more = _mix(draw ^ _B)
             slot = ((more >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-            place = below[active] + 1 + ((more & np.uint64(0xFFFFFFFF)).astype(np.float64)
-                                         * 2.0 ** -32 * width[active]).astype(np.int64)
-            counts = place <= count[active]
-            at = owner[active][counts] * slots + slot[counts]
-            moment = time[active][counts]
+            place = below[own] + 1 + ((more & np.uint64(0xFFFFFFFF)).astype(np.float64)
+                                      * 2.0 ** -32 * width[own]).astype(np.int64)
+            counts = place <= count[own]
+            at, moment = owner[own][counts] * slots + slot[counts], moment[counts]
             np.minimum.at(best, at, moment)
             won = best[at] == moment
             out[at[won]] = draw[counts][won]
@@ -230,7 +264,12 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [multiset(*shingles([t.as_py()])).tobytes() for t in batch.column(2)]
+            texts, sets = batch.column(2).to_pylist(), []
+            for a, b in _slices(texts):
+                parts = shingles(texts[a:b])
+                cuts = np.searchsorted(parts[0], np.arange(b - a + 1)).tolist()
+                sets += [multiset(*(x[i:j] for x in parts)).tobytes()
+                         for i, j in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())],
                                              ["node", "set"])
 

@@ -209,3 +209,24 @@ def test_query(spark, sf_dir):
     found = nd.op7_neardup(spark, sf_dir).collect()
     assert {r["doc_id"]: r["class_id"] for r in found} == expected
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in found)
+
+
+def test_word_hashes_tell_words_apart():
+    """By all bytes and the length, wherever a word stands and however long it is."""
+    words = ["a", "aa", "a\0", "\0", "é", "w" * 8, "w" * 9, "w" * 16, "w" * 64, "w" * 65,
+             "w" * 65 + "x", "x" * 200]
+    blanks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  "]
+    text = "".join(w + blanks[i % 7] for i, w in enumerate(words * 2))
+    starts, hashes = nd.word_hashes(text.encode())
+    assert hashes[:len(words)].tolist() == hashes[len(words):].tolist()
+    assert len(set(hashes.tolist())) == len(words) == len(starts) / 2
+    assert [len(x) for x in nd.word_hashes(b"")] == [0, 0]
+
+
+def test_short_texts_take_few_rounds(monkeypatch):
+    """One shingle fills all slots by itself, many points at a time and not one after another."""
+    rounds = []
+    mix = nd._mix
+    monkeypatch.setattr(nd, "_mix", lambda x: rounds.append(1) or mix(x))
+    sig = nd.signatures(*nd.shingles(["a b c d e"]), 1, nd.BANDS * nd.ROWS)
+    assert (sig != 0).all() and len(rounds) < 200
