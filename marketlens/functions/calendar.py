@@ -6,6 +6,7 @@ Wall-clock values stay `timestamp_ntz`, so results do not depend on the session
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +38,35 @@ ZONED = r"\d:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
 ZONE = r"\s*(?:Z|UTC|GMT|([+-]\d{2}):?(\d{2}))$"
 
 
+# What a field of a format can look like: at least the texts that the parser takes for it.
+FIELD_SHAPES = {"yyyy": r"[+-]?\d+", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "a": r"\S+"}
+
+
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts that a format can fit."""
+    fields = re.findall(r"([A-Za-z])(\1*)|(.)", pattern)
+    return "".join(other or FIELD_SHAPES.get(c + more, r"\d+") for c, more, other in fields)
+
+
+# All clocks of a day are optional parts of one format, the longest first; the shape lets one of
+# them in.
+_CLOCKS = sorted(filter(None, CLOCK_FORMATS), key=len, reverse=True)
+_FORMATS = [(f"^{_shape(day)}(?:{'|'.join(map(_shape, _CLOCKS))})?$",
+             day + "".join(f"[{clock}]" for clock in _CLOCKS)) for day in DAY_FORMATS]
+
+
 def _wall_clock(text: Column) -> Column:
-    """Time as written, without its zone: ISO first, then the listed formats."""
+    """Time as written, without its zone: ISO first, then the listed formats.
+
+    A format is only tried on text of its shape, since a failed try costs as much as a hundred
+    such tests. The formats stand in a lambda: its text is made once, and all that code stays
+    out of the stage's one generated method, which the JVM does not compile beyond 8,000 bytes.
+    """
     plain = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s+", "")
-    tried = [F.try_to_timestamp(plain, F.lit(day + clock)).cast("timestamp_ntz")
-             for day in DAY_FORMATS for clock in CLOCK_FORMATS]
-    return F.coalesce(text.try_cast("timestamp_ntz"), *tried)
+    listed = F.transform(F.array(plain), lambda t: F.coalesce(*[
+        F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(pattern))).cast("timestamp_ntz")
+        for shape, pattern in _FORMATS]))
+    return F.coalesce(text.try_cast("timestamp_ntz"), listed[0])
 
 
 def parse_lenient(text: Column | str) -> Column:
@@ -57,8 +81,8 @@ def parse_lenient(text: Column | str) -> Column:
     hours = F.regexp_extract(text, ZONE, 1).try_cast("int")
     minutes = F.regexp_extract(text, ZONE, 2).try_cast("int")
     sign = F.when(F.startswith(F.regexp_extract(text, ZONE, 1), F.lit("-")), -1).otherwise(1)
-    offset = F.make_dt_interval(hours=hours, mins=minutes * sign)
-    return F.when(zoned & hours.isNotNull(), clock - offset).otherwise(clock)
+    offset = F.when(zoned, F.make_dt_interval(hours=hours, mins=minutes * sign))
+    return clock - F.coalesce(offset, F.make_dt_interval())
 
 
 def date_key(ts: Column | str) -> Column:

@@ -15,7 +15,8 @@ from marketlens.plans.dataset import build_dataset
 from marketlens.plans.learn_queries import HEUR_VIEWS, P
 from marketlens.plans.market_queries import ALIGNED, NAMED, TO_DAY
 from marketlens.plans.tables import (
-    bars, headlines, headlines_from, printable, rounded, spread_headlines, table, ticks_bars)
+    bars, headlines, headlines_from, printable, rounded, spread, spread_headlines, table,
+    ticks_bars)
 from marketlens.plans.text_queries import VOCAB, _clean_docs
 from marketlens.sources import news, prices, sinks
 from marketlens.sources.workspace import new_path
@@ -65,11 +66,14 @@ def _csv_news(spark, sf):
     return news.read_news_csv(spark, path)
 
 
-def _pages(rows, payload, size: int = 100):
-    """Payloads of at most `size` articles, as a paged feed returns them."""
-    page = F.floor(F.col("id") / size)
-    return (rows.groupBy(page.alias("page"))
-            .agg(F.collect_list(payload).alias("items")).drop("page"))
+def _paged(spark, sf, *keys: str, size: int = 100):
+    """Headlines with their page of `size` in a feed, dealt by `keys` and page.
+
+    Lists are collected where the rows are: before an exchange a task would make, sort and
+    send a list of one or two items for nearly every row.
+    """
+    page = F.floor(F.col("id") / size).alias("page")
+    return spread(headlines(spark, sf).select("*", page), *keys, "page")
 
 
 def _articles(spark, sf):
@@ -77,7 +81,7 @@ def _articles(spark, sf):
         "title", F.concat(F.lit("body "), "id").alias("content"),
         F.struct(F.concat(F.lit("feed "), F.col("ticker") % 5).alias("name")).alias("source"),
         F.concat(F.lit("u/"), "id").alias("url"), _stamp("published_at").alias("publishedAt"))
-    pages = _pages(spread_headlines(spark, sf), article)
+    pages = _paged(spark, sf).groupBy("page").agg(F.collect_list(article).alias("items"))
     payloads = pages.select(F.to_json(F.struct(F.col("items").alias("articles"))).alias("body"))
     path = new_path(spark, "articles")
     payloads.write.text(path)
@@ -89,9 +93,7 @@ def _company_news(spark, sf):
         F.col("title").alias("headline"),
         F.when(F.col("id") % 3 != 0, F.concat(F.lit("sum "), "id")).alias("summary"),
         F.lit("feed").alias("source"), epoch_seconds("published_at").alias("datetime"))
-    rows = spread_headlines(spark, sf)
-    page = F.floor(F.col("id") / 100)
-    payloads = (rows.groupBy("ticker", page.alias("page"))
+    payloads = (_paged(spark, sf, "ticker").groupBy("ticker", "page")
                 .agg(F.to_json(F.collect_list(item)).alias("body")))
     return news.flatten_company_news(payloads, "body", "ticker")
 

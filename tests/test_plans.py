@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from marketlens.functions import lexicon, text
+from marketlens.functions import calendar, lexicon, text
 from marketlens.lexicons import DEFAULT_LEXICON
 from marketlens.operators import (
     align, embedding, headline_model, heuristic, indicators, lexicon_scan, metrics, vocabulary)
@@ -85,6 +85,21 @@ def test_lemmas_shuffle_no_pair_of_document_and_term(spark, sf_dir):
     assert "doc_id" not in plan_of(text_queries.lemmatize(spark, sf_dir))
 
 
+def test_payloads_are_collected_after_one_exchange(spark, sf_dir):
+    """No task collects the pages of rows that another task shares them with."""
+    plan = plan_of(flow_queries._company_news(spark, sf_dir))
+    assert "partial_collect_list" in plan.split("Exchange hashpartitioning(ticker")[0]
+    assert "hashpartitioning(id" not in plan
+
+
+def test_times_are_tried_by_shape(spark):
+    """One try per day format, in a lambda, and only on text of its shape."""
+    df = spark.createDataFrame([("unknown",)], "t string")
+    plan = plan_of(df.select(calendar.parse_lenient("t")))
+    assert plan.lower().count("gettimestamp") <= len(calendar.DAY_FORMATS)
+    assert "lambda" in plan
+
+
 def test_hot_key_join_keeps_all_rows(spark):
     """A third of the news on one instrument and day."""
     news = spark.range(3000).select(

@@ -421,6 +421,23 @@ def test_lenient_dates(spark, text, expected):
     assert got["bad"] == (text is not None and text != "" and expected is None)
 
 
+def test_lenient_dates_equal_each_format(spark):
+    """The guarded formats accept what the listed ones accept, each by itself."""
+    days = ["Jan 5, 2024", "january 5, 2024", "May 05, 2024", "Jan  5, 2024", "5 Jan 2024", "x 1 2",
+            "05 March 2024", "1/5/2024", "01/05/2024", "2024/01/05", "2024/1/5", "20240105",
+            "-20240105", "Feb 30, 2024", "Jan 5, +12024", "unknown", "7", ""]
+    clocks = ["", " 10:20", " 10:20:30", " 2:30 PM", " 02:30 am", " 12:00 AM", " 13:30 PM", " 2:30",
+              " 10:20:30 PM", " 10:20 10:20", " 25:00", " 2:30 xx", " 10:20:30.5"]
+    df = spark.createDataFrame([(d + c,) for d in days for c in clocks], "t string")
+    each = [F.try_to_timestamp("t", F.lit(day + clock)).cast("timestamp_ntz")
+            for day in cal.DAY_FORMATS for clock in cal.CLOCK_FORMATS]
+    expected = F.coalesce(F.col("t").try_cast("timestamp_ntz"), *each)
+    rows = df.select("t", cal.parse_lenient("t").cast("string").alias("got"),
+                     expected.cast("string").alias("all")).collect()
+    assert [r for r in rows if r["got"] != r["all"]] == []
+    assert sum(r["got"] is not None for r in rows) > 50
+
+
 def test_articles_with_missing_dates_align(spark):
     body = '{"articles": [{"title": "a", "publishedAt": "2024-01-02T10:00:00Z"}, {"title": "b"}]}'
     articles = news.flatten_articles(spark.createDataFrame([(body,)], "v string"), F.col("v"))
