@@ -85,6 +85,15 @@ def test_lemmas_shuffle_no_pair_of_document_and_term(spark, sf_dir):
     assert "doc_id" not in plan_of(text_queries.lemmatize(spark, sf_dir))
 
 
+def test_only_inflected_tokens_are_shuffled(spark, sf_dir):
+    """Once to meet the vocabulary, once to choose; the text is cut by two patterns and a split."""
+    plan = plan_of(text_queries.lemmatize(spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning(token") == 1 and "SortAggregate" not in plan
+    df = spark.createDataFrame([("a",)], "t string")
+    cleaning = plan_of(df.select(text.clean_text("t").alias("c")))
+    assert cleaning.count("regexp_replace(") == 2 and "translate(" not in cleaning
+
+
 def test_payloads_are_collected_after_one_exchange(spark, sf_dir):
     """No task collects the pages of rows that another task shares them with."""
     plan = plan_of(flow_queries._company_news(spark, sf_dir))

@@ -146,6 +146,37 @@ def test_lemmas(spark):
     assert table == dict(zip(words, expected))
 
 
+def test_lemma_table_by_force(spark):
+    """Nulls, repeats, ties of length, tokens that the vocabulary lacks."""
+    words = ["men", "women", "man", "ladies", "lady", "losses", "loss", "losse", "gas", "s", "ses",
+             "", None, "axes", "ax", "axe", "leaves", "leaf", "plain", "omen", "oman", "a\n", "as\n"]
+    for kept in (words[::2], words[1::2], words, []):
+        known = {w for w in kept if w is not None}
+        expected = {}
+        for w in words:
+            forms = [w] + [w[:len(w) - len(a)] + b for a, b in lemmas.NOUN_SUFFIXES
+                           if w.endswith(a)] if w is not None else []
+            hits = [(len(f), i, f) for i, f in enumerate(forms) if f in known]
+            expected[w] = min(hits)[2] if hits else w
+        vocab = spark.createDataFrame([(w,) for w in kept * 2], "term string")
+        for unique, times in ((True, 1), (False, 3)):
+            tokens = spark.createDataFrame([(w,) for w in words * times], "term string")
+            rows = lemmas.lemma_table(tokens, vocab, unique=unique).collect()
+            assert sorted(map(tuple, rows), key=str) == sorted(expected.items(), key=str)
+
+
+def test_clean_tokens_equal_the_single_steps(spark):
+    points = [chr(c) for c in range(1, 0x2070)] + ["\u3000", "\u212a", "\ufeff", "\U0001f600"]
+    texts = ["".join(points), " a".join(points), *(f"ab{c}cd {c}cannot{c} x" for c in points[:300]),
+             "\x85 \u2003cannot, gon-na\twanna\r\nlemme2 got_ta banks ", "", None, "\x00banks\x00"]
+    bare = tx.remove_punctuation(tx.normalise_text("t"))
+    single = tx.lemmatize(tx.remove_stopwords(tx.tokenize(bare)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", single.alias("a"), tx.clean_tokens("t").alias("b"),
+                     tx.clean_text("t").alias("c")).collect()
+    assert [r["t"] for r in rows if r["a"] != r["b"] or " ".join(r["a"]) != r["c"]] == []
+
+
 def test_keywords_are_substrings(spark):
     assert text_values(spark, ["Sector talks, INTEREST RATE up"], tx.finance_keywords("t")) == [
         ["interest rate", "sec"]]
