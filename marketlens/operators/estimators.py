@@ -24,12 +24,15 @@ from marketlens.operators.kernel_svm import TOLERANCE, fit_margins
 from marketlens.operators.metrics import class_weights
 
 
-def balanced(train: DataFrame, label: str = "label") -> DataFrame:
-    return weight_join(train, class_weights(train, label), label)
+def balanced(train: DataFrame, label: str = "label", in_place: bool = False) -> DataFrame:
+    """Rows with the weight of their class. A shuffle by label would leave all rows in as many
+    tasks as there are classes; `in_place` sends the weights, one row per class, to the rows."""
+    weights = class_weights(train, label)
+    return weight_join(train, F.broadcast(weights) if in_place else weights, label)
 
 
 @contextmanager
-def prepared(train: DataFrame, features: str, label: str):
+def prepared(train: DataFrame, features: str, label: str, in_place: bool = False):
     """(rows, n): balanced, persisted training rows and their number.
 
     Fitting reads its input several times (count, class weights, solver set-up), so features
@@ -38,7 +41,7 @@ def prepared(train: DataFrame, features: str, label: str):
     narrow = train.select(features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = narrow.count()
-        yield balanced(narrow, label), n
+        yield balanced(narrow, label, in_place), n
     finally:
         narrow.unpersist()
 
@@ -57,7 +60,7 @@ def scale_gamma(train: DataFrame, vector: str) -> float:
 def fit_logistic(train: DataFrame, features: str = "features", label: str = "label",
                  C: float = 1.0, max_iter: int = 2000) -> PipelineModel:
     """Multinomial logistic regression with L2 penalty 1 / (C n) and balanced classes."""
-    with prepared(train, features, label) as (rows, n):
+    with prepared(train, features, label, in_place=True) as (rows, n):
         stage = LogisticRegression(
             featuresCol=features, labelCol=label, weightCol="weight", family="multinomial",
             regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,

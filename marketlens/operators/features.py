@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.calendar import TEMPORAL_FEATURES, temporal_features
 from marketlens.functions.lexicon import (
-    add_valence, lexicon_count, polarity, subjectivity)
+    add_valence, emphasis, lexicon_count, polarity, subjectivity, tallied_scores)
 from marketlens.lexicons import DEFAULT_LEXICON, Lexicon
+from marketlens.operators import word_scores
 from marketlens.operators.indicators import MARKET_FEATURES
 from marketlens.operators.lexicon_scan import CLASSES, scan
 
@@ -41,7 +42,22 @@ def sentiment_features(df: DataFrame, text: str, match_text: Column | None = Non
         found = scan(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_own"),
                                source.alias("_match")), "_match", lexicon, token_text="_own")
         base = found.select("_row.*", *[F.col(c).alias(n) for n, c in names.items()])
-    base = add_valence(base, valence_text, "_v")
+    return _derived(add_valence(base, valence_text, "_v"))
+
+
+def sentiment_in_batches(df: DataFrame, text: str, lexicon: Lexicon = DEFAULT_LEXICON
+                         ) -> DataFrame:
+    """`sentiment_features` of one text, several times as fast: the words are looked up in Arrow
+    batches, and what is rounded or divided is computed by the same expressions."""
+    found = word_scores.append_sums(df, text, "_sums", lexicon)
+    mean = {f"sentiment_{c}": F.coalesce(F.try_divide(f"_sums.{c}", "_sums.hits"), F.lit(0.0))
+            for c in ("polarity", "subjectivity")}
+    counts = {f"{c}_keyword_count": F.col(f"_sums.{c}") for c in CLASSES}
+    score = tallied_scores(F.col("_sums"), F.col("_sums.words"), emphasis(text))
+    return _derived(found.withColumns({**mean, **counts, "_v": score})).drop("_sums")
+
+
+def _derived(base: DataFrame) -> DataFrame:
     return base.withColumns({
         "sentiment_intensity": F.abs("sentiment_polarity"),
         "polarity_x_subjectivity": F.col("sentiment_polarity") * F.col("sentiment_subjectivity"),

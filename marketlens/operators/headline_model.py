@@ -11,9 +11,7 @@ import json
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import (
-    CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler, VectorSizeHint)
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.sql import DataFrame
 
 from marketlens import params
@@ -23,38 +21,39 @@ from marketlens.operators.estimators import FITTERS
 from marketlens.operators.features import SENTIMENT_FEATURES
 from marketlens.operators.indicators import MARKET_FEATURES
 from marketlens.operators.stages import (
-    CalendarColumns, FillColumns, HashedTokens, NgramTokens, SentimentColumns, SublinearCounts,
-    TextCleaner)
+    CalendarColumns, FillColumns, SentimentColumns, TextCleaner, TextVectors)
 from marketlens.operators.standardise import fit_vector_scaler
 from marketlens.operators.vocabulary import fit_vocabulary
 from marketlens.sources.workspace import new_path
 
 
-def term_stages(vocabulary: DataFrame, text: str, output: str = "tfidf") -> list[Transformer]:
-    """Stages from clean text to unit-length TF-IDF weights; positions follow the term order.
+def text_stages(vocabulary: DataFrame | None, text: str, output: str = "tfidf",
+                embedding: str | None = None, size: int = params.EMBEDDING_DIM
+                ) -> tuple[list[Transformer], list[str]]:
+    """(stages from clean text to unit-length TF-IDF weights and bucket counts, their columns).
 
-    The vocabulary's rows, at most its `max_terms`, come to the driver to become a stage.
+    Positions of weights follow the term order. The vocabulary's rows, at most its `max_terms`,
+    come to the driver to become a stage; without any there is no column of weights.
     """
-    terms = sorted((r["term"], float(r["idf"])) for r in vocabulary.select("term", "idf").collect())
-    if not terms:
-        return []
-    size = len(terms)
-    return [
-        NgramTokens(inputCol=text, outputCol="_grams"),
-        CountVectorizerModel.from_vocabulary([t for t, _ in terms], inputCol="_grams",
-                                             outputCol="_counts"),
-        SublinearCounts(inputCol="_counts", outputCol="_damped", size=size),
-        ElementwiseProduct(inputCol="_damped", outputCol="_weights",
-                           scalingVec=Vectors.dense([idf for _, idf in terms])),
-        Normalizer(inputCol="_weights", outputCol=output, p=2.0),
-        VectorSizeHint(inputCol=output, size=size, handleInvalid="optimistic")]
+    rows = [] if vocabulary is None else vocabulary.select("term", "idf").collect()
+    terms = sorted((r["term"], float(r["idf"])) for r in rows)
+    made = {**({output: len(terms)} if terms else {}), **({embedding: size} if embedding else {})}
+    if not made:
+        return [], []
+    vectors = TextVectors(inputCol=text, outputCol=output, terms=[t for t, _ in terms],
+                          idf=[w for _, w in terms], embeddingCol=embedding, size=size)
+    return [vectors, *[VectorSizeHint(inputCol=c, size=n, handleInvalid="optimistic")
+                       for c, n in made.items()]], list(made)
+
+
+def term_stages(vocabulary: DataFrame, text: str, output: str = "tfidf") -> list[Transformer]:
+    """Stages from clean text to unit-length TF-IDF weights."""
+    return text_stages(vocabulary, text, output)[0]
 
 
 def embedding_stages(text: str, output: str = "embedding",
                      size: int = params.EMBEDDING_DIM) -> list[Transformer]:
-    return [HashedTokens(inputCol=text, outputCol="_buckets", size=size),
-            Normalizer(inputCol="_buckets", outputCol=output, p=2.0),
-            VectorSizeHint(inputCol=output, size=size, handleInvalid="optimistic")]
+    return text_stages(None, text, embedding=output, size=size)[0]
 
 
 def feature_stages(vocabulary: DataFrame, *, text: str = "clean_text",
@@ -65,16 +64,13 @@ def feature_stages(vocabulary: DataFrame, *, text: str = "clean_text",
     """Stages from clean text to one vector: term weights, embedding, sentiment, [a model's
     embedding], market and calendar columns, in that order. `lexicon` may be the path of a
     lexicon table; `market` fills the market columns."""
-    stages, inputs = term_stages(vocabulary, text), []
-    if stages:
-        inputs.append("tfidf")
-    if use_embedding:
-        stages += embedding_stages(text)
-        inputs.append("embedding")
+    vectors, inputs = text_stages(vocabulary, text,
+                                  embedding="embedding" if use_embedding else None)
+    # The sentiment comes first, so that no vector passes through its Arrow function.
     if isinstance(lexicon, Lexicon):
-        stages.append(SentimentColumns(inputCol=text, lexicon=json.dumps(lexicon.rows)))
+        stages = [SentimentColumns(inputCol=text, lexicon=json.dumps(lexicon.rows)), *vectors]
     else:
-        stages.append(SentimentColumns(inputCol=text, lexiconPath=lexicon))
+        stages = [SentimentColumns(inputCol=text, lexiconPath=lexicon), *vectors]
     inputs += SENTIMENT_FEATURES
     if model_embedding:
         inputs.append(model_embedding)

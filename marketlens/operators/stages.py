@@ -3,7 +3,7 @@
 Every step from a raw headline to the assembled vector is a `Transformer` that can be saved,
 so one `PipelineModel` on disk holds all that scoring needs: cleaning, vocabulary, term
 weights, embedding, sentiment, calendar, padding, scaling and the classifier. Nothing is
-shuffled and no Python runs on the executors (but for a lexicon given as a table).
+shuffled; the words of a text are counted and looked up in Arrow batches with NumPy.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from marketlens import params
 from marketlens.functions.calendar import TEMPORAL_FEATURES, temporal_features
-from marketlens.functions.text import adjacent, clean_text
-from marketlens.functions.vectors import sparse_parts, sparse_vector
+from marketlens.functions.lexicon import lower_words
+from marketlens.functions.text import clean_text
 from marketlens.lexicons import DEFAULT_LEXICON, DEFAULT_NOUNS, Lexicon
-from marketlens.operators.embedding import hashed_counts
-from marketlens.operators.features import sentiment_features
+from marketlens.operators import token_arrays
+from marketlens.operators.features import sentiment_features, sentiment_in_batches
 from marketlens.operators.vocabulary import scoring_tokens
 
 
@@ -52,57 +52,40 @@ class TextCleaner(_Stage):
         return dataset.withColumn(self.getOutputCol(), cleaned)
 
 
-class NgramTokens(_Stage):
-    """Clean text to all its n-grams of scoring tokens."""
+class TextVectors(_Stage):
+    """Clean text to sparse vectors of unit length, in one Arrow function.
 
+    `outputCol` holds the TF-IDF weights of `terms`: all n-grams of scoring tokens are counted,
+    n is damped to 1 + ln n and multiplied by the term's `idf`. `embeddingCol` holds the
+    white-space tokens counted in `size` buckets by md5. Either may be left out.
+    """
+
+    terms = Param(Params._dummy(), "terms", "vocabulary", TypeConverters.toListString)
+    idf = Param(Params._dummy(), "idf", "factor of each term", TypeConverters.toListFloat)
     low = Param(Params._dummy(), "low", "shortest n-gram", TypeConverters.toInt)
     high = Param(Params._dummy(), "high", "longest n-gram", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, low=None, high=None):
-        super().__init__()
-        self._setDefault(low=params.NGRAM_MIN, high=params.NGRAM_MAX)
-        self._given(self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        tokens = dataset.withColumn("_tokens", scoring_tokens(self.getInputCol()))
-        grams = adjacent("_tokens", self.getOrDefault("low"), self.getOrDefault("high"))
-        return tokens.withColumn(self.getOutputCol(), grams).drop("_tokens")
-
-
-class SublinearCounts(_Stage):
-    """Sparse counts n to 1 + ln n."""
-
-    size = Param(Params._dummy(), "size", "length of the vectors", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, size=None):
-        super().__init__()
-        self._given(self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        indices, values = sparse_parts(self.getInputCol())
-        damped = F.transform(values, lambda n: 1 + F.log(n))
-        return dataset.withColumn(self.getOutputCol(), sparse_vector(
-            indices, damped, self.getOrDefault("size")))
-
-
-class HashedTokens(_Stage):
-    """White-space tokens counted in `size` buckets by md5, as a sparse vector."""
-
+    embeddingCol = Param(Params._dummy(), "embeddingCol", "column of buckets",
+                         TypeConverters.toString)
     size = Param(Params._dummy(), "size", "number of buckets", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, size=None):
+    def __init__(self, *, inputCol=None, outputCol=None, terms=None, idf=None, low=None, high=None,
+                 embeddingCol=None, size=None):
         super().__init__()
-        self._setDefault(size=params.EMBEDDING_DIM)
+        self._setDefault(terms=[], idf=[], low=params.NGRAM_MIN, high=params.NGRAM_MAX,
+                         embeddingCol="", size=params.EMBEDDING_DIM)
         self._given(self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        size = self.getOrDefault("size")
-        counted = hashed_counts(dataset, self.getInputCol(), "_b", size)
-        return counted.withColumn(self.getOutputCol(), sparse_vector(
-            F.col("_b.bucket"), F.col("_b.n"), size)).drop("_b")
+        text, terms, size = self.getInputCol(), self.getOrDefault("terms"), self.getOrDefault("size")
+        makers = {}
+        if terms:
+            makers[self.getOutputCol()] = (scoring_tokens(text), token_arrays.term_weights(
+                terms, *map(self.getOrDefault, ("idf", "low", "high"))), len(terms))
+        if self.getOrDefault("embeddingCol"):
+            makers[self.getOrDefault("embeddingCol")] = (
+                lower_words(text), token_arrays.bucket_weights(size), size)
+        return token_arrays.append_vectors(dataset, makers) if makers else dataset
 
 
 class SentimentColumns(_Stage):
@@ -122,10 +105,11 @@ class SentimentColumns(_Stage):
         self._given(self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        path = self.getOrDefault("lexiconPath")
-        lexicon = (dataset.sparkSession.read.parquet(path) if path else
-                   Lexicon(tuple(map(tuple, json.loads(self.getOrDefault("lexicon"))))))
-        return sentiment_features(dataset, self.getInputCol(), lexicon=lexicon)
+        path, text = self.getOrDefault("lexiconPath"), self.getInputCol()
+        if path:
+            return sentiment_features(dataset, text, lexicon=dataset.sparkSession.read.parquet(path))
+        rows = json.loads(self.getOrDefault("lexicon"))
+        return sentiment_in_batches(dataset, text, Lexicon(tuple(map(tuple, rows))))
 
 
 class CalendarColumns(_Stage):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from marketlens import params
 from marketlens.functions.text import adjacent, null_text_to_empty
 from marketlens.functions.vectors import sparse_parts, sparse_vector
+from marketlens.operators import token_arrays
 from marketlens.sources.workspace import new_path
 
 
@@ -79,26 +81,16 @@ def text_statistics(docs: DataFrame, text: str, low: int = params.NGRAM_MIN,
     """`term_statistics` of the n-grams of `docs`, counted over many rows before they leave a
     worker: no row per pair of document and n-gram is made."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = Counter(), Counter()
-
-        def held() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(total, pa.string()), pa.array(map(found.__getitem__, total), pa.int64()),
-                 pa.array(total.values(), pa.int64())], ["term", "df", "ctf"])
-
         for batch in batches:
-            for words in batch.column(0):
-                words, grams = words.as_py(), []
-                for size in range(low, high + 1):
-                    grams += (words if size == 1 else
-                              map(" ".join, zip(*(words[k:] for k in range(size)))))
-                found.update(set(grams))
-                total.update(grams)
-                if len(total) >= BATCH_TERMS:
-                    yield held()
-                    found, total = Counter(), Counter()
-        if total:
-            yield held()
+            for part in token_arrays.parts(batch):
+                words = token_arrays.words_of(part.column(0))
+                for row, gram, terms in token_arrays.grams(words, low, high):
+                    n = len(terms)
+                    once = token_arrays.count_pairs(row, gram, n)[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [terms, pa.array(np.bincount(once, minlength=n), pa.int64()),
+                         pa.array(np.bincount(gram, minlength=n), pa.int64())],
+                        ["term", "df", "ctf"])
 
     parts = docs.select(scoring_tokens(text).alias("_tokens")).mapInArrow(
         counted, "term string, df long, ctf long")

@@ -1,13 +1,16 @@
 """Plan shapes that keep the queries scalable, and stream behaviour."""
 
+import datetime as dt
 import os
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from marketlens.functions import calendar, lexicon, text
 from marketlens.lexicons import DEFAULT_LEXICON
 from marketlens.operators import (
-    align, embedding, headline_model, heuristic, indicators, lexicon_scan, metrics, vocabulary)
+    align, embedding, estimators, headline_model, heuristic, indicators, lexicon_scan, metrics,
+    vocabulary)
 from marketlens.plans import flow_queries, learn_queries, tables, text_queries
 from marketlens.sources import prices, sinks
 from marketlens.sources.workspace import new_path, shared_folder
@@ -261,3 +264,12 @@ def test_history_query_writes_a_bounded_number_of_folders(spark, sf_dir, monkeyp
     monkeypatch.setattr(sinks, "BAR_FOLDERS", 3)
     assert flow_queries.src_ohlcv_history(spark, sf_dir).count() > 0
     assert len([f for f in os.listdir(made[0]) if "=" in f]) <= 3
+
+
+def test_class_weights_come_to_the_rows(spark):
+    """The logistic fit must not deal its rows by label: that is three tasks at any size."""
+    rows = spark.range(100).select((F.col("id") % 3).cast("int").alias("label"), "id")
+    plan = plan_of(estimators.balanced(rows, in_place=True))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, estimators.balanced(rows, in_place=True).collect())) == sorted(
+        map(tuple, estimators.balanced(rows).collect()))

@@ -1,9 +1,11 @@
 """Hand-computed edge cases."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from marketlens.functions import text as tx
 from marketlens.lexicons import DEFAULT_LEXICON, Lexicon
 from marketlens.operators import (
     align, embedding, ensemble, features, headline_model, heuristic, indicators, lemmas,
-    lexicon_scan, metrics, splits, standardise, vocabulary)
+    lexicon_scan, metrics, splits, standardise, token_arrays, vocabulary)
 from marketlens.sources import news, prices
 
 DAY = dt.date(2024, 1, 1)
@@ -514,3 +516,48 @@ def test_vector_stats_cover_every_position(spark):
     df = spark.createDataFrame([([1.0] * 70,), ([3.0] * 70,)], "x array<double>")
     stats = standardise.vector_stats(df, "x").collect()
     assert len(stats) == 70 and all((r["mean"], r["std"]) == (2.0, 1.0) for r in stats)
+
+
+def test_sentiment_in_batches_equals_expressions(spark, monkeypatch):
+    """Words, capitals, negation, contrast, edges and terms with a space, over cut batches."""
+    monkeypatch.setattr(token_arrays, "PART_WORDS", 5)
+    texts = ["VERY strong but NOT a surge!", "SURGE", "'Weak' sell-off; no change?? risk!!!!!",
+             "never ever barely risk, but fraud BUT growth", "", None, "  ", "... !",
+             "Don't  fall’s ÉCU losses\n(record)", "no\tchange in-line"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(2)
+    for lexicon in (DEFAULT_LEXICON, Lexicon((("", "bullish", 0.5, 0.5), ("risk", "bearish", 0.1, 0.3),
+                                              ("risk", "neutral", 0.2, 0.7)))):
+        one, two = (f(df, "t", lexicon=lexicon) for f in (
+            features.sentiment_features, features.sentiment_in_batches))
+        assert one.dtypes == two.dtypes
+        assert one.orderBy("id").collect() == two.orderBy("id").collect()
+
+
+def test_term_vectors_over_cut_batches(spark, monkeypatch):
+    """N-grams stay inside their rows; unknown prefixes and rows without words count nothing."""
+    monkeypatch.setattr(token_arrays, "PART_WORDS", 3)
+    docs = spark.createDataFrame(
+        [(1, "aa bb cc aa bb"), (2, "bb cc"), (3, None), (4, ""), (5, "dd aa bb cc x"), (5, "zz")],
+        "id int, t string").coalesce(1)
+    vocab = spark.createDataFrame([("aa bb cc", 2.0), ("bb", 3.0), ("bb cc", 1.5), ("cc aa", 1.0),
+                                   ("a b c d", 1.0)], "term string, idf double")
+    rows = PipelineModel(headline_model.text_stages(vocab, "t", embedding="e", size=7)[0]
+                         ).transform(docs).collect()
+    place = {"aa bb cc": 1, "bb": 2, "bb cc": 3, "cc aa": 4}
+    expected = {1: {"aa bb cc": 2.0, "bb": 3 * (1 + math.log(2)), "bb cc": 1.5, "cc aa": 1.0},
+                2: {"bb": 3.0, "bb cc": 1.5}, 5: {"aa bb cc": 2.0, "bb": 3.0, "bb cc": 1.5}}
+    for r in rows:
+        raw = expected.get(r["id"], {}) if r["t"] != "zz" else {}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        assert dict(zip(r["tfidf"].indices.tolist(), r["tfidf"].values)) == pytest.approx(
+            {place[t]: x / length for t, x in raw.items()})
+        assert r["tfidf"].size == 5 and r["e"].size == 7
+    buckets = {r["id"]: r["b"] for r in embedding.hashed_counts(docs, "t", "b", 7).collect()
+               if r["t"] != "zz"}
+    for r in rows:
+        if r["t"] != "zz":
+            assert r["e"].indices.tolist() == [b["bucket"] for b in buckets[r["id"]]]
+    found = vocabulary.text_statistics(docs, "t", 2, 3).collect()
+    assert {r["term"]: (r["df"], r["ctf"]) for r in found} == {
+        "aa bb": (2, 3), "bb cc": (3, 3), "cc aa": (1, 1), "dd aa": (1, 1), "aa bb cc": (2, 2),
+        "bb cc aa": (1, 1), "cc aa bb": (1, 1), "dd aa bb": (1, 1)}
