@@ -273,3 +273,25 @@ def test_class_weights_come_to_the_rows(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted(map(tuple, estimators.balanced(rows, in_place=True).collect())) == sorted(
         map(tuple, estimators.balanced(rows).collect()))
+
+
+def news_tables(spark, folder, repeated):
+    """Events of three users on twelve days, some of them twice, and conversations."""
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 6, i % 24), i % 3, 10.0 + i * i % 17)
+            for i in range(72)]
+    rows += [rows[i] for i in repeated]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double") \
+        .write.parquet(f"{folder}/events.parquet")
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(["strong growth", "weak sales", ""])],
+                          "conv_id long, turn int, text string") \
+        .write.parquet(f"{folder}/conversations.parquet")
+    return folder
+
+
+def test_sink_model_scores_rows_in_place(spark, tmp_path):
+    """Vectors are not shuffled to meet by id; a repeated id has every pair of its rows."""
+    df = learn_queries.sink_model(spark, news_tables(spark, str(tmp_path), [5]))
+    assert "LeftAnti" in plan_of(df)
+    rows = df.collect()
+    assert all(r["same_scores"] and r["same_features"] for r in rows)
+    assert Counter(r["id"] for r in rows) == {**{i: 1 for i in range(72)}, 5: 8}
