@@ -295,3 +295,10 @@ def test_sink_model_scores_rows_in_place(spark, tmp_path):
     rows = df.collect()
     assert all(r["same_scores"] and r["same_features"] for r in rows)
     assert Counter(r["id"] for r in rows) == {**{i: 1 for i in range(72)}, 5: 8}
+
+
+def test_feature_matrix_reads_stored_rows(spark, tmp_path):
+    df = learn_queries.feature_matrix(spark, news_tables(spark, str(tmp_path), []))
+    plan = plan_of(df)
+    assert "Join" not in plan and "Window" not in plan and "Exchange" not in plan
+    assert df.count() > 20
