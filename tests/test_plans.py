@@ -289,12 +289,12 @@ def news_tables(spark, folder, repeated):
 
 
 def test_sink_model_scores_rows_in_place(spark, tmp_path):
-    """Vectors are not shuffled to meet by id; a repeated id has every pair of its rows."""
+    """Vectors are not shuffled to meet by id; rows of a repeated id meet all with all."""
     df = learn_queries.sink_model(spark, news_tables(spark, str(tmp_path), [5]))
     assert "LeftAnti" in plan_of(df)
     rows = df.collect()
     assert all(r["same_scores"] and r["same_features"] for r in rows)
-    assert Counter(r["id"] for r in rows) == {**{i: 1 for i in range(72)}, 5: 8}
+    assert Counter(r["id"] for r in rows) == {**{i: 1 for i in range(72)}, 5: 16}
 
 
 def test_feature_matrix_reads_stored_rows(spark, tmp_path):
