@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext, keyword_only
 from pyspark.ml import Transformer
@@ -27,9 +26,11 @@ from pyspark.ml.param.shared import HasInputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens import params
 from marketlens.operators.arrays import matrix, pack, unpack
+from marketlens.operators.token_arrays import append_columns
 from marketlens.sources.workspace import new_path
 
 BINS = 32
@@ -133,33 +134,36 @@ class BoostedTreesModel(Transformer, HasInputCol, DefaultParamsReadable, Default
         x = vector_to_array(self.getInputCol())
         # Only features that some tree asks for leave the JVM.
         asked = F.array(*[F.get(x, F.lit(i)) for i in used]) if used else F.array(F.lit(0.0))
-        return dataset.withColumn("probability", _probabilities(packed)(asked))
+        found = append_columns(dataset, [asked], [
+            T.StructField("_probability", T.ArrayType(T.DoubleType()))], _probabilities(packed))
+        return found.withColumn("probability", array_to_vector("_probability")).drop("_probability")
 
 
 def _probabilities(packed: str):
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = unpack(packed)
-        place = {int(f): i for i, f in enumerate(model["used"])}
-        feature = np.vectorize(lambda f: place.get(int(f), -1), otypes=[np.int64])(
-            model["feature"])
-        for rows in batches:
-            x = np.stack(rows.to_numpy()) if len(rows) else np.empty((0, max(len(place), 1)))
-            margins = np.zeros((len(x), feature.shape[1]))
-            for r in range(feature.shape[0]):
-                for c in range(feature.shape[1]):
-                    own, node = feature[r, c], np.zeros(len(x), np.int64)
-                    while True:
-                        inner = np.flatnonzero(own[node] >= 0)
-                        if not len(inner):
-                            break
-                        at = node[inner]
-                        left = x[inner, own[at]] <= model["cut"][r, c, at]
-                        node[inner] = 2 * at + 2 - left
-                    margins[:, c] += model["value"][r, c, node]
-            yield pd.Series(list(softmax(margins)))
-
-    udf = F.pandas_udf(scored, "array<double>")
-    return lambda column: array_to_vector(udf(column))
+    held = []
+
+    def scored(given: list[pa.Array]) -> list[pa.Array]:
+        if not held:
+            model = unpack(packed)
+            place = {int(f): i for i, f in enumerate(model["used"])}
+            held.append((model, np.vectorize(lambda f: place.get(int(f), -1), otypes=[np.int64])(
+                model["feature"])))
+        (model, feature), x = held[0], matrix(given[0])
+        margins = np.zeros((len(x), feature.shape[1]))
+        for r in range(feature.shape[0]):
+            for c in range(feature.shape[1]):
+                own, node = feature[r, c], np.zeros(len(x), np.int64)
+                while True:
+                    inner = np.flatnonzero(own[node] >= 0)
+                    if not len(inner):
+                        break
+                    at = node[inner]
+                    left = x[inner, own[at]] <= model["cut"][r, c, at]
+                    node[inner] = 2 * at + 2 - left
+                margins[:, c] += model["value"][r, c, node]
+        return [pa.array(list(softmax(margins)), pa.list_(pa.float64()))]
+
+    return scored
 
 
 def fit_boosting(train: DataFrame, features: str = "features", label: str = "label",

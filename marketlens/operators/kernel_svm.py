@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
@@ -26,9 +25,11 @@ from pyspark.ml.param.shared import HasInputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens import params
 from marketlens.operators.arrays import matrix, pack, unpack
+from marketlens.operators.token_arrays import append_columns
 from marketlens.sources.workspace import new_path
 
 #: Rows of a block, violators that a partition may add in a round, and when a row violates.
@@ -98,18 +99,20 @@ class KernelMargins(Transformer, HasInputCol, DefaultParamsReadable, DefaultPara
     def _transform(self, dataset: DataFrame) -> DataFrame:
         packed = self.getOrDefault("machines")
 
-        def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = unpack(packed)
-            for rows in batches:
-                out = np.empty((len(rows), len(model["bias"])))
-                for a in range(0, len(rows), 1024):
-                    x = np.stack(rows.iloc[a:a + 1024].to_numpy())
-                    kernel = rbf(x, model["vectors"], float(model["gamma"]))
-                    out[a:a + 1024] = kernel @ model["weights"].T + model["bias"]
-                yield pd.Series(list(out))
-
-        udf = F.pandas_udf(margins, "array<double>")
-        found = dataset.withColumn("_margins", udf(vector_to_array(self.getInputCol())))
+        held = []
+
+        def margins(given: list[pa.Array]) -> list[pa.Array]:
+            if not held:
+                held.append(unpack(packed))
+            model, x = held[0], matrix(given[0])
+            out = np.empty((len(x), len(model["bias"])))
+            for a in range(0, len(x), 1024):
+                kernel = rbf(x[a:a + 1024], model["vectors"], float(model["gamma"]))
+                out[a:a + 1024] = kernel @ model["weights"].T + model["bias"]
+            return [pa.array(list(out), pa.list_(pa.float64()))]
+
+        found = append_columns(dataset, [vector_to_array(self.getInputCol())],
+                               [T.StructField("_margins", T.ArrayType(T.DoubleType()))], margins)
         return found.withColumns({
             f"raw_{c}": array_to_vector(F.array(F.get("_margins", F.lit(c))))
             for c in params.CLASSES}).drop("_margins")
